@@ -13,8 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import bounded_broadcast
-
 
 def distinct_values(df: DataFrame, col: str) -> DataFrame:
     return df.select(col).distinct()
@@ -32,13 +30,16 @@ def category_index(df: DataFrame, col: str, index_col: str | None = None) -> Dat
     return values.select(col, (F.row_number().over(Window.orderBy(col)) - 1).alias(index_col))
 
 
-def with_category_index(df: DataFrame, cols: Sequence[str],
-                        max_broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Adds ``<col>_idx`` for each categorical column (null stays null)."""
+def with_category_index(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Adds ``<col>_idx`` for each categorical column (null stays null).
+
+    The index table is derived (one row per category), so the join strategy
+    is left to AQE: it broadcasts the index once its size is known to be
+    under the threshold, else keeps a shuffle join.
+    """
     out = df
     for c in cols:
-        idx = bounded_broadcast(category_index(df, c), max_broadcast_rows)
-        out = out.join(idx, c, "left")
+        out = out.join(category_index(df, c), c, "left")
     return out
 
 

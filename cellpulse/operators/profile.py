@@ -52,10 +52,15 @@ def thresholds(df: DataFrame, cols: Sequence[str], buckets: int = 5) -> DataFram
 
 def flag_above(df: DataFrame, cols: Sequence[str], thr: DataFrame,
                keep: Sequence[str] = ()) -> DataFrame:
-    """``c`` -> 1 when the value is strictly above ``thr.t_<c>``, else 0 (int)."""
+    """``c`` -> 1 when the value is strictly above ``thr.t_<c>``, else 0 (int).
+
+    The threshold row is bound once as a struct column, so the plan holds one
+    scalar subquery however many columns read it.
+    """
     limits = thr.select(F.struct(*[f"t_{c}" for c in cols]).alias("t")).scalar()
-    return df.select(*keep, *[F.when(F.col(c) > limits[f"t_{c}"], 1).otherwise(0).alias(c)
-                              for c in cols])
+    bound = df.withColumn("__t", limits)
+    return bound.select(*keep, *[F.when(F.col(c) > F.col(f"__t.t_{c}"), 1).otherwise(0).alias(c)
+                                 for c in cols])
 
 
 def bucket_index(x: Column, mn: Column, mx: Column, buckets: int) -> Column:
@@ -70,24 +75,26 @@ def bucket_index(x: Column, mn: Column, mx: Column, buckets: int) -> Column:
 def histogram(df: DataFrame, cols: Sequence[str], buckets: int = 5) -> DataFrame:
     """Long histogram (feature, bucket, lo, n) with every bucket, empty ones too.
 
-    Two single-row aggregates: min/max (scalar subquery), then all
-    ``len(cols) * buckets`` counts in one pass; the one row is unpivoted.
+    Two single-row aggregates: min/max of every column (one scalar subquery,
+    bound once as a struct column), then all ``len(cols) * buckets`` counts in
+    one pass; the one result row is unpivoted.
     """
     stats = df.select(F.struct(*[F.min(c).alias(f"mn_{c}") for c in cols],
                                *[F.max(c).alias(f"mx_{c}") for c in cols]).alias("s")).scalar()
+    bound = df.select(*cols, stats.alias("__s"))
     counts = []
     for c in cols:
-        mn, mx = stats[f"mn_{c}"], stats[f"mx_{c}"]
+        mn, mx = F.col(f"__s.mn_{c}"), F.col(f"__s.mx_{c}")
         b = bucket_index(F.col(c), mn, mx, buckets)
         for i in range(buckets):
             counts.append(F.count_if(b == i).alias(f"{c}__{i}"))
-    one = df.agg(*counts)
+    one = bound.agg(F.any_value("__s").alias("__s"), *counts)
     pairs = ", ".join(f"'{c}', {i}, `{c}__{i}`" for c in cols for i in range(buckets))
-    long = one.selectExpr(f"stack({len(cols) * buckets}, {pairs}) as (feature, bucket, n)")
+    long = one.selectExpr("__s", f"stack({len(cols) * buckets}, {pairs}) as (feature, bucket, n)")
     bucket = F.col("bucket").cast("int")
     lo = None
     for c in cols:
-        mn, mx = stats[f"mn_{c}"], stats[f"mx_{c}"]
+        mn, mx = F.col(f"__s.mn_{c}"), F.col(f"__s.mx_{c}")
         edge = mn + bucket.cast("double") * (mx - mn) / F.lit(float(buckets))
         lo = F.when(F.col("feature") == c, edge) if lo is None else lo.when(F.col("feature") == c, edge)
     return long.select("feature", bucket.alias("bucket"), lo.alias("lo"),

@@ -108,13 +108,14 @@ def nearest_centre(points: DataFrame, centres: DataFrame, area: str = "areaid",
 
 def located_with_tags(located: DataFrame, tags: DataFrame, key: str = "user_id",
                       date=None, hour=None, area=None, cluster=None,
-                      date_col: str = "dt", hour_col: str = "hr",
-                      max_broadcast_rows: int = 1_000_000) -> DataFrame:
+                      date_col: str = "dt", hour_col: str = "hr") -> DataFrame:
     """Located records (optionally filtered) left-joined with the tag row of their key.
 
-    The filters apply before the join. Tags have one row per key: a checked
-    small table is broadcast; otherwise the join shuffles and AQE splits a
-    hot key's partition on the located side.
+    The filters apply before the join. Tags have one row per key and are
+    derived, so their size is only known once computed: the join is left to
+    AQE, which broadcasts the tag side when its materialised shuffle is under
+    ``spark.sql.adaptive.autoBroadcastJoinThreshold`` and otherwise keeps a
+    sort-merge join whose skewed (hot key) partitions it splits.
     """
     cond = F.lit(True)
     for col, val in ((date_col, date), (hour_col, hour), ("areaid", area), ("clusterid", cluster)):
@@ -122,5 +123,4 @@ def located_with_tags(located: DataFrame, tags: DataFrame, key: str = "user_id",
             cond = cond & (F.col(col) == val)
     left = located.where(cond)
     right = tags.withColumnRenamed(key, f"tag_{key}")
-    right = bounded_broadcast(right, max_broadcast_rows)
     return left.join(right, left[key] == right[f"tag_{key}"], "left")

@@ -1,0 +1,72 @@
+"""Invariants of the original analysis, checked on the driver tables."""
+
+import os
+
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from cellpulse.constants import SKIPPED_PERIODS
+from cellpulse.plans.device import DeviceInputs
+from cellpulse.plans.profile import ProfileInputs
+from cellpulse.plans.spatial import SpatialInputs
+from cellpulse.session import scratch_path
+from cellpulse.streaming import usage as stream
+from conftest import SF_CHECK, SF_SMALL
+
+
+def test_labelled_rows_are_periods_times_targets(spark):
+    d = DeviceInputs(spark, SF_CHECK)
+    n_targets = d.targets.count()
+    periods = d.snap.where(~F.col("period").isin(list(SKIPPED_PERIODS))).select("period").distinct()
+    assert d.labeled.count() == n_targets * periods.count()
+    assert d.labeled.select("user_id", "period").distinct().count() == d.labeled.count()
+
+
+def test_rows_to_score_equal_targets(spark):
+    q = entry.queries()
+    assert q["target_scoring_rows"](spark, SF_CHECK).count() == q["target_list"](spark, SF_CHECK).count()
+
+
+def test_changes_exist_for_ten_periods_not_skipped(spark):
+    counts = {r.period: r.n for r in entry.queries()["switch_counts"](spark, SF_CHECK).collect()}
+    assert set(counts) == set(range(1, 13)) - set(SKIPPED_PERIODS)
+
+
+def test_profile_rows_one_per_user_and_preserved(spark):
+    p = ProfileInputs(spark, SF_CHECK)
+    users = p.events.select("user_id").distinct().count()
+    assert p.prof.count() == users == p.norm.count() == p.tags.count()
+
+
+def test_padded_wide_rows_and_unpivot_equals_log(spark):
+    s = SpatialInputs(spark, SF_CHECK)
+    assert len(s.wide.columns) == 50
+    assert s.long.exceptAll(s.log.select(*s.long.columns)).count() == 0
+    assert s.long.count() == s.log.count()
+
+
+def test_split_parts_sum_to_whole(spark):
+    split = {r.split: r.n for r in entry.queries()["holdout_split"](spark, SF_CHECK).collect()}
+    assert sum(split.values()) == spark.read.parquet(f"{SF_CHECK}/events.parquet").count()
+
+
+def test_left_join_with_unique_right_keeps_left_count(spark):
+    s = SpatialInputs(spark, SF_CHECK)
+    filtered = s.clus.where((F.col("areaid") == 0) & (F.col("hr") == 10)).count()
+    assert entry.queries()["located_with_tags"](spark, SF_CHECK).count() == filtered
+
+
+def test_located_points_sit_in_one_area(spark):
+    s = SpatialInputs(spark, SF_CHECK)
+    assert s.area.count() == s.area.select("user_id", "dt", "hr").distinct().count()
+
+
+def test_usage_stream_partials_fold_to_profile(spark):
+    out = scratch_path(spark, "t-stream")
+    q = stream.start_partial_sums(stream.event_stream(spark, SF_SMALL, "events.parquet"), out)
+    q.awaitTermination(120)
+    got = stream.read_usage_sums(spark, out)
+    want = ProfileInputs(spark, SF_SMALL).prof
+    assert got.count() == want.count()
+    assert got.exceptAll(want.select(*got.columns)).count() == 0
+    assert os.path.isdir(out)
