@@ -30,25 +30,30 @@ def category_index(df: DataFrame, col: str, index_col: str | None = None) -> Dat
     return values.select(col, (F.row_number().over(Window.orderBy(col)) - 1).alias(index_col))
 
 
-def with_category_index(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def with_category_index(df: DataFrame, cols: Sequence[str],
+                        source: DataFrame | None = None) -> DataFrame:
     """Adds ``<col>_idx`` for each categorical column (null stays null).
 
+    The dictionary is built from ``source`` (default ``df``), e.g. the whole
+    device log, so an index does not depend on which rows were selected.
     The index table is derived (one row per category), so the join strategy
     is left to AQE: it broadcasts the index once its size is known to be
-    under the threshold, else keeps a shuffle join.
+    under the threshold, else keeps a shuffle join (skew-split on a hot value).
     """
     out = df
     for c in cols:
-        out = out.join(category_index(df, c), c, "left")
+        out = out.join(category_index(df if source is None else source, c), c, "left")
     return out
 
 
 def feature_rows(labeled: DataFrame, categorical: Sequence[str] = ("vendor",),
                  numeric: Sequence[str] = ("dtype", "voice", "sms"),
-                 keep: Sequence[str] = ("period", "user_id", "label")) -> DataFrame:
+                 keep: Sequence[str] = ("period", "user_id", "label"),
+                 dictionary: DataFrame | None = None) -> DataFrame:
     """Complete rows only (a null feature means no record in the previous
-    period), with an index column per categorical feature."""
+    period), with an index column per categorical feature, indexed against
+    ``dictionary`` (default: the rows themselves)."""
     feats = list(categorical) + list(numeric)
     complete = labeled.dropna(subset=feats)
-    indexed = with_category_index(complete, categorical)
+    indexed = with_category_index(complete, categorical, dictionary)
     return indexed.select(*keep, *categorical, *[f"{c}_idx" for c in categorical], *numeric)

@@ -73,7 +73,29 @@ def location_log(events: DataFrame) -> DataFrame:
     """
     dt = F.to_date("ts")
     hr = F.hour("ts").cast("int")
-    top = F.max("event_id")
+    x, y = _coords(F.max("event_id"))
     return (events.groupBy("user_id", dt.alias("dt"), hr.alias("hr"))
-                  .agg((F.lit(121.4) + (top % 170) / F.lit(1000.0)).alias("x"),
-                       (F.lit(31.17) + (top % 131) / F.lit(1000.0)).alias("y")))
+                  .agg(x.alias("x"), y.alias("y")))
+
+
+def _coords(top):
+    """The fixed rule from an hour's largest event id to an (x, y) point."""
+    return (F.lit(121.4) + (top % 170) / F.lit(1000.0),
+            F.lit(31.17) + (top % 131) / F.lit(1000.0))
+
+
+def wide_locations(events: DataFrame, hours: int = 24) -> DataFrame:
+    """Wide rows (user, date, x0, y0 .. x23, y23; 0 = no point) straight from events.
+
+    Equal to ``pivot_hours(location_log(events))`` but in one aggregation:
+    the largest event id of each hour is a conditional max, so map tasks
+    combine before the single shuffle on (user, date).
+    """
+    hr = F.hour("ts")
+    tops = [F.max(F.when(hr == h, F.col("event_id"))).alias(f"_t{h}") for h in range(hours)]
+    agg = events.groupBy("user_id", F.to_date("ts").alias("dt")).agg(*tops)
+    cols = []
+    for h in range(hours):
+        x, y = _coords(F.col(f"_t{h}"))
+        cols += [F.coalesce(x, F.lit(0.0)).alias(f"x{h}"), F.coalesce(y, F.lit(0.0)).alias(f"y{h}")]
+    return agg.select("user_id", "dt", *cols)

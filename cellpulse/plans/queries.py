@@ -103,7 +103,8 @@ def category_index(spark, sf_dir):
 
 @register("feature_rows")
 def feature_rows(spark, sf_dir):
-    return features.feature_rows(DeviceInputs(spark, sf_dir).labeled, CATEGORICAL, NUMERIC)
+    d = DeviceInputs(spark, sf_dir)
+    return features.feature_rows(d.labeled, CATEGORICAL, NUMERIC, dictionary=d.snap)
 
 
 # --- profile ----------------------------------------------------------------
@@ -285,8 +286,14 @@ def _row_key() -> F.Column:
     return F.concat_ws("-", F.col("user_id"), F.col("period"))
 
 
+def _complete_rows(labeled: DataFrame) -> DataFrame:
+    """Labelled rows with every feature present; the forest pipeline indexes
+    the categorical columns itself (StringIndexer keeps their arity)."""
+    return labeled.dropna(subset=CATEGORICAL + NUMERIC)
+
+
 def _split_rows(spark, sf_dir):
-    rows = features.feature_rows(DeviceInputs(spark, sf_dir).labeled, CATEGORICAL, NUMERIC)
+    rows = _complete_rows(DeviceInputs(spark, sf_dir).labeled)
     return model.holdout_split(rows, _row_key(), (8, 1))
 
 
@@ -311,8 +318,7 @@ def rf_grid_cv(spark, sf_dir):
 def predict_target(spark, sf_dir):
     """Forest fitted on all labelled rows scores each target's last-period record."""
     d = DeviceInputs(spark, sf_dir)
-    rows = features.feature_rows(d.labeled, CATEGORICAL, NUMERIC)
-    fitted = model.fit_forest(rows, CATEGORICAL, NUMERIC, **FOREST_PARAMS)
+    fitted = model.fit_forest(_complete_rows(d.labeled), CATEGORICAL, NUMERIC, **FOREST_PARAMS)
     current = change.rows_in_period(d.snap, d.targets, LAST_PERIOD)
     return model.score(fitted, current, ["user_id"])
 

@@ -22,7 +22,8 @@ class SpatialInputs:
 
     @property
     def wide(self) -> DataFrame:
-        return op.pivot_hours(self.log, KEYS)
+        """The wide hourly rows (one shuffle; equals pivot_hours(log))."""
+        return fixtures.wide_locations(self.events)
 
     @property
     def long(self) -> DataFrame:

@@ -39,9 +39,7 @@ oracle("feature_rows", """
 select l.period, l.user_id, l.label, l.vendor, v.vendor_idx, l.dtype, l.voice, l.sms
 from labeled l join (
   select vendor, cast(row_number() over (order by vendor) - 1 as int) as vendor_idx
-  from (select distinct vendor from labeled
-        where vendor is not null and dtype is not null and voice is not null
-          and sms is not null) d) v on l.vendor = v.vendor
+  from (select distinct vendor from snap where vendor is not null) d) v on l.vendor = v.vendor
 where l.dtype is not null and l.voice is not null and l.sms is not null""", "labeled")
 
 # --- profile ----------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from cellpulse.constants import SKIPPED_PERIODS
+from cellpulse.operators.spatial import pivot_hours
 from cellpulse.plans.device import DeviceInputs
 from cellpulse.plans.profile import ProfileInputs
 from cellpulse.plans.spatial import SpatialInputs
@@ -43,6 +44,9 @@ def test_padded_wide_rows_and_unpivot_equals_log(spark):
     assert len(s.wide.columns) == 50
     assert s.long.exceptAll(s.log.select(*s.long.columns)).count() == 0
     assert s.long.count() == s.log.count()
+    pivoted = pivot_hours(s.log, ["user_id", "dt"])
+    assert s.wide.exceptAll(pivoted.select(*s.wide.columns)).count() == 0
+    assert s.wide.count() == pivoted.count()
 
 
 def test_split_parts_sum_to_whole(spark):
