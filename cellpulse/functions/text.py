@@ -49,3 +49,9 @@ def zero_pad(c, width: int = 2) -> Column:
 def to_line(cols: Sequence, sep: str = ",") -> Column:
     """One text line from several columns (nulls are skipped, as concat_ws does)."""
     return F.concat_ws(sep, *[_col(c).cast("string") for c in cols])
+
+
+def array_to_columns(arr, names: Sequence[str]) -> list[Column]:
+    """One column per array element, named in order (vector -> record)."""
+    arr = _col(arr)
+    return [arr[i].alias(n) for i, n in enumerate(names)]

@@ -1,45 +1,50 @@
 """Usage-profile operators: sum per key, L2 normalisation, histogram thresholds, tags.
 
 Per-feature statistics (min, max, bucket counts) are single-row aggregates
-over the whole frame. They reach the row-wise expressions as scalar
-subqueries, which Spark runs once and inlines as constants: no cross join,
-no driver round trip and no single-partition window.
+over the whole frame. They reach the row-wise expressions as one scalar
+subquery bound as a struct column, which Spark runs once and inlines: no
+cross join, no driver round trip and no single-partition window.
+
+The per-column expressions are SQL text (``F.expr`` / ``selectExpr``): one
+call per expression instead of one per operator keeps plan building cheap
+for 20-column profiles; the plan is the same.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def q(name: str) -> str:
+    """Backtick-quoted identifier for SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def sum_by_key(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
     """Group-by sum of ``cols`` per ``key``, columns keep their names (partial + final aggregate)."""
-    return df.groupBy(key).agg(*[F.sum(c).alias(c) for c in cols])
+    return df.groupBy(key).agg(*[F.expr(f"sum({q(c)}) as {q(c)}") for c in cols])
 
 
-def l2_norm(cols: Sequence[str]) -> Column:
+def l2_norm_sql(cols: Sequence[str]) -> str:
     """sqrt(c1*c1 + c2*c2 + ...), summed left to right."""
-    total = None
-    for c in cols:
-        sq = F.col(c) * F.col(c)
-        total = sq if total is None else total + sq
-    return F.sqrt(total)
+    return "sqrt(" + " + ".join(f"{q(c)} * {q(c)}" for c in cols) + ")"
 
 
 def l2_normalize(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Divide ``cols`` by their row's L2 norm; an all-zero row stays as it is."""
-    n = "__norm"
-    out = df.withColumn(n, l2_norm(cols))
-    out = out.select(*[F.when(F.col(n) == 0, F.col(c)).otherwise(F.col(c) / F.col(n)).alias(c)
-                       if c in cols else F.col(c) for c in df.columns])
-    return out
+    wanted = set(cols)
+    with_norm = df.selectExpr("*", f"{l2_norm_sql(cols)} as __norm")
+    return with_norm.selectExpr(*[
+        f"case when __norm = 0 then {q(c)} else {q(c)} / __norm end as {q(c)}"
+        if c in wanted else q(c) for c in df.columns])
 
 
-def _edge(mn: Column, mx: Column, index: int, buckets: int) -> Column:
+def edge_sql(mn: str, mx: str, index, buckets: int) -> str:
     """Left edge of bucket ``index`` of ``buckets`` equal-width buckets: min + i*(max-min)/b."""
-    return mn + F.lit(float(index)) * (mx - mn) / F.lit(float(buckets))
+    return f"{mn} + cast({index} as double) * ({mx} - {mn}) / {float(buckets)!r}D"
 
 
 def thresholds(df: DataFrame, cols: Sequence[str], buckets: int = 5) -> DataFrame:
@@ -47,7 +52,8 @@ def thresholds(df: DataFrame, cols: Sequence[str], buckets: int = 5) -> DataFram
 
     A constant column (max = min) gets its value, so nothing exceeds it.
     """
-    return df.agg(*[_edge(F.min(c), F.max(c), buckets - 1, buckets).alias(f"t_{c}") for c in cols])
+    return df.agg(*[F.expr(edge_sql(f"min({q(c)})", f"max({q(c)})", buckets - 1, buckets)
+                           + f" as {q('t_' + c)}") for c in cols])
 
 
 def flag_above(df: DataFrame, cols: Sequence[str], thr: DataFrame,
@@ -59,17 +65,17 @@ def flag_above(df: DataFrame, cols: Sequence[str], thr: DataFrame,
     """
     limits = thr.select(F.struct(*[f"t_{c}" for c in cols]).alias("t")).scalar()
     bound = df.withColumn("__t", limits)
-    return bound.select(*keep, *[F.when(F.col(c) > F.col(f"__t.t_{c}"), 1).otherwise(0).alias(c)
-                                 for c in cols])
+    return bound.selectExpr(*[q(k) for k in keep], *[
+        f"case when {q(c)} > __t.{q('t_' + c)} then 1 else 0 end as {q(c)}" for c in cols])
 
 
-def bucket_index(x: Column, mn: Column, mx: Column, buckets: int) -> Column:
+def bucket_sql(x: str, mn: str, mx: str, buckets: int) -> str:
     """Equal-width bucket of ``x`` in [mn, mx]; the top edge closes the last bucket.
 
     (x - min) / (max - min) * buckets, truncated; a constant column is bucket 0.
     """
-    raw = F.floor((x - mn) / (mx - mn) * F.lit(float(buckets))).cast("int")
-    return F.when(mx == mn, F.lit(0)).otherwise(F.least(raw, F.lit(buckets - 1)))
+    raw = f"cast(floor(({x} - {mn}) / ({mx} - {mn}) * {float(buckets)!r}D) as int)"
+    return f"case when {mx} = {mn} then 0 else least({raw}, {buckets - 1}) end"
 
 
 def histogram(df: DataFrame, cols: Sequence[str], buckets: int = 5) -> DataFrame:
@@ -79,23 +85,15 @@ def histogram(df: DataFrame, cols: Sequence[str], buckets: int = 5) -> DataFrame
     bound once as a struct column), then all ``len(cols) * buckets`` counts in
     one pass; the one result row is unpivoted.
     """
-    stats = df.select(F.struct(*[F.min(c).alias(f"mn_{c}") for c in cols],
-                               *[F.max(c).alias(f"mx_{c}") for c in cols]).alias("s")).scalar()
-    bound = df.select(*cols, stats.alias("__s"))
+    stats = df.select(F.struct(*[F.expr(f"min({q(c)}) as mn_{i}") for i, c in enumerate(cols)],
+                               *[F.expr(f"max({q(c)}) as mx_{i}") for i, c in enumerate(cols)])
+                      .alias("s")).scalar()
+    bound = df.select(*[q(c) for c in cols], stats.alias("__s"))
     counts = []
-    for c in cols:
-        mn, mx = F.col(f"__s.mn_{c}"), F.col(f"__s.mx_{c}")
-        b = bucket_index(F.col(c), mn, mx, buckets)
-        for i in range(buckets):
-            counts.append(F.count_if(b == i).alias(f"{c}__{i}"))
-    one = bound.agg(F.any_value("__s").alias("__s"), *counts)
-    pairs = ", ".join(f"'{c}', {i}, `{c}__{i}`" for c in cols for i in range(buckets))
-    long = one.selectExpr("__s", f"stack({len(cols) * buckets}, {pairs}) as (feature, bucket, n)")
-    bucket = F.col("bucket").cast("int")
-    lo = None
-    for c in cols:
-        mn, mx = F.col(f"__s.mn_{c}"), F.col(f"__s.mx_{c}")
-        edge = mn + bucket.cast("double") * (mx - mn) / F.lit(float(buckets))
-        lo = F.when(F.col("feature") == c, edge) if lo is None else lo.when(F.col("feature") == c, edge)
-    return long.select("feature", bucket.alias("bucket"), lo.alias("lo"),
-                       F.col("n").cast("long").alias("n"))
+    for i, c in enumerate(cols):
+        b = bucket_sql(q(c), f"__s.mn_{i}", f"__s.mx_{i}", buckets)
+        counts += [F.expr(f"count_if({b} = {j}) as n_{i}_{j}") for j in range(buckets)]
+    one = bound.agg(F.expr("any_value(__s) as __s"), *counts)
+    rows = ", ".join(f"'{c}', {j}, {edge_sql(f'__s.mn_{i}', f'__s.mx_{i}', j, buckets)}, n_{i}_{j}"
+                     for i, c in enumerate(cols) for j in range(buckets))
+    return one.selectExpr(f"stack({len(cols) * buckets}, {rows}) as (feature, bucket, lo, n)")

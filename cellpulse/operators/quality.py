@@ -26,12 +26,12 @@ def column_profile(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataF
     """
     aggs = []
     for c in cols:
-        v = F.col(c)
-        ok = F.when(~F.isnan(v), v)
-        aggs += [F.count(ok).alias(f"{c}__n"), F.round(F.avg(ok), digits).alias(f"{c}__mean"),
-                 F.round(F.stddev_pop(ok), digits).alias(f"{c}__stdev"),
-                 F.max(ok).alias(f"{c}__max"), F.min(ok).alias(f"{c}__min"),
-                 F.count_if(v.isNull() | F.isnan(v)).alias(f"{c}__nan")]
+        ok = f"case when not isnan(`{c}`) then `{c}` end"
+        aggs += [F.expr(f"count({ok}) as `{c}__n`"),
+                 F.expr(f"round(avg({ok}), {digits}) as `{c}__mean`"),
+                 F.expr(f"round(stddev_pop({ok}), {digits}) as `{c}__stdev`"),
+                 F.expr(f"max({ok}) as `{c}__max`"), F.expr(f"min({ok}) as `{c}__min`"),
+                 F.expr(f"count_if(`{c}` is null or isnan(`{c}`)) as `{c}__nan`")]
     one = df.agg(*aggs)
     fields = ("n", "mean", "stdev", "max", "min", "nan")
     body = ", ".join(f"'{c}', " + ", ".join(f"`{c}__{f}`" for f in fields) for c in cols)

@@ -22,9 +22,9 @@ def pivot_hours(log: DataFrame, keys: Sequence[str], hour: str = "hr", x: str =
     """
     cols = []
     for h in range(hours):
-        at = F.col(hour) == h
-        cols.append(F.coalesce(F.max(F.when(at, F.col(x))), F.lit(0.0)).alias(f"x{h}"))
-        cols.append(F.coalesce(F.max(F.when(at, F.col(y))), F.lit(0.0)).alias(f"y{h}"))
+        for v in (x, y):
+            cols.append(F.expr(f"coalesce(max(case when `{hour}` = {h} then `{v}` end), 0D) "
+                               f"as {v}{h}"))
     return log.groupBy(*keys).agg(*cols)
 
 
@@ -34,11 +34,9 @@ def unpivot_hours(wide: DataFrame, keys: Sequence[str], hours: int = HOURS,
 
     A generator (``stack``) in one projection: no shuffle, stays in codegen.
     """
-    args = [F.lit(hours)]
-    for h in range(hours):
-        args += [F.lit(h), F.col(f"x{h}"), F.col(f"y{h}")]
-    long = wide.select(*keys, F.stack(*args).alias(hour, "x", "y"))
-    return long.where((F.col("x") != 0) & (F.col("y") != 0))
+    args = ", ".join(f"{h}, x{h}, y{h}" for h in range(hours))
+    long = wide.selectExpr(*[f"`{k}`" for k in keys], f"stack({hours}, {args}) as (`{hour}`, x, y)")
+    return long.where("x != 0 and y != 0")
 
 
 def area_table(spark: SparkSession, boxes=AREA_BOXES) -> DataFrame:

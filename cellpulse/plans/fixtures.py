@@ -55,14 +55,12 @@ def usage_rows(events: DataFrame, keep=()) -> DataFrame:
     Counter = event type (5) x six-hour band (4), in the order of
     ``EVENT_TYPES`` then band; several rows per user, like the raw profile.
     """
-    band = F.floor(F.hour("ts") / 6)
-    amount = F.floor("value").cast("double")
     counters = []
     for i, name in enumerate(PROFILE_COLUMNS):
         etype, b = EVENT_TYPES[i // BANDS], i % BANDS
-        counters.append(F.when((F.col("event_type") == etype) & (band == b), amount)
-                        .otherwise(F.lit(0.0)).alias(name))
-    return events.select("user_id", *keep, *counters)
+        counters.append(f"case when event_type = '{etype}' and floor(hour(ts) / 6) = {b} "
+                        f"then cast(floor(value) as double) else 0D end as {name}")
+    return events.selectExpr("user_id", *keep, *counters)
 
 
 def location_log(events: DataFrame) -> DataFrame:
@@ -71,17 +69,15 @@ def location_log(events: DataFrame) -> DataFrame:
     The coordinates come from the hour's largest event id, so they are
     deterministic and spread over and beyond the area boxes.
     """
-    dt = F.to_date("ts")
-    hr = F.hour("ts").cast("int")
-    x, y = _coords(F.max("event_id"))
-    return (events.groupBy("user_id", dt.alias("dt"), hr.alias("hr"))
-                  .agg(x.alias("x"), y.alias("y")))
+    x, y = _coords_sql("max(event_id)")
+    return (events.groupBy("user_id", F.to_date("ts").alias("dt"),
+                           F.hour("ts").cast("int").alias("hr"))
+                  .agg(F.expr(f"{x} as x"), F.expr(f"{y} as y")))
 
 
-def _coords(top):
+def _coords_sql(top: str) -> tuple[str, str]:
     """The fixed rule from an hour's largest event id to an (x, y) point."""
-    return (F.lit(121.4) + (top % 170) / F.lit(1000.0),
-            F.lit(31.17) + (top % 131) / F.lit(1000.0))
+    return f"121.4D + ({top} % 170) / 1000.0D", f"31.17D + ({top} % 131) / 1000.0D"
 
 
 def wide_locations(events: DataFrame, hours: int = 24) -> DataFrame:
@@ -91,11 +87,11 @@ def wide_locations(events: DataFrame, hours: int = 24) -> DataFrame:
     the largest event id of each hour is a conditional max, so map tasks
     combine before the single shuffle on (user, date).
     """
-    hr = F.hour("ts")
-    tops = [F.max(F.when(hr == h, F.col("event_id"))).alias(f"_t{h}") for h in range(hours)]
+    tops = [F.expr(f"max(case when hour(ts) = {h} then event_id end) as _t{h}")
+            for h in range(hours)]
     agg = events.groupBy("user_id", F.to_date("ts").alias("dt")).agg(*tops)
     cols = []
     for h in range(hours):
-        x, y = _coords(F.col(f"_t{h}"))
-        cols += [F.coalesce(x, F.lit(0.0)).alias(f"x{h}"), F.coalesce(y, F.lit(0.0)).alias(f"y{h}")]
-    return agg.select("user_id", "dt", *cols)
+        x, y = _coords_sql(f"_t{h}")
+        cols += [f"coalesce({x}, 0D) as x{h}", f"coalesce({y}, 0D) as y{h}"]
+    return agg.selectExpr("user_id", "dt", *cols)

@@ -143,11 +143,13 @@ def tag_sum(spark, sf_dir):
 
 @register("profile_as_array")
 def profile_as_array(spark, sf_dir):
+    """Record -> 20-element array -> record; reports the ends and the size."""
     arr = F.array(*PROFILE_COLUMNS)
-    return (ProfileInputs(spark, sf_dir).prof
+    back = (ProfileInputs(spark, sf_dir).prof
             .select("user_id", arr.alias("v"))
-            .select("user_id", F.col("v")[0].alias("arr_0"), F.col("v")[19].alias("arr_19"),
-                    F.size("v").alias("arr_size")))
+            .select("user_id", "v", *text.array_to_columns("v", PROFILE_COLUMNS)))
+    return back.select("user_id", F.col("fa").alias("arr_0"), F.col("ft").alias("arr_19"),
+                       F.size("v").alias("arr_size"))
 
 
 # --- spatial ----------------------------------------------------------------
@@ -316,11 +318,14 @@ def rf_grid_cv(spark, sf_dir):
 
 @register("predict_target")
 def predict_target(spark, sf_dir):
-    """Forest fitted on all labelled rows scores each target's last-period record."""
+    """Forest fitted on all labelled rows scores each target's last-period
+    record; the predictions go through the text sink and are read back."""
     d = DeviceInputs(spark, sf_dir)
     fitted = model.fit_forest(_complete_rows(d.labeled), CATEGORICAL, NUMERIC, **FOREST_PARAMS)
     current = change.rows_in_period(d.snap, d.targets, LAST_PERIOD)
-    return model.score(fitted, current, ["user_id"])
+    path = scratch_path(spark, "predictions")
+    io.write_predictions(model.score(fitted, current, ["user_id"]), path)
+    return io.read_predictions(spark, path)
 
 
 # --- sources and sinks (write, read back) -------------------------------------
@@ -350,19 +355,16 @@ def profile_project_fill(spark, sf_dir):
     columns 6, 7 and 22 dropped and blanks filled; summed per user."""
     ev = read_table(spark, sf_dir, "events")
     raw = fixtures.usage_rows(ev, keep=["event_id", "value"])
-    extra = {6: (F.col("event_id") % 2).cast("string"),
-             7: F.when(F.col("event_id") % 3 == 0, "1").otherwise(""),
-             22: F.col("value").cast("string")}
+    extra = {6: "cast(event_id % 2 as string)",
+             7: "case when event_id % 3 = 0 then '1' else '' end",
+             22: "cast(value as string)"}
     counters = iter(PROFILE_COLUMNS)
-    cols = [F.col("user_id").cast("string")]
+    cols = ["cast(user_id as string) as _c0"]
     for i in range(1, 24):
-        if i in extra:
-            cols.append(extra[i])
-        else:
-            c = F.col(next(counters))
-            cols.append(F.when(c == 0, F.lit(None)).otherwise(c).cast("string"))
+        expr = extra.get(i) or f"cast(nullif({next(counters)}, 0D) as string)"
+        cols.append(f"{expr} as _c{i}")
     path = scratch_path(spark, "profile")
-    io.write_raw(raw.select(*[c.alias(f"_c{i}") for i, c in enumerate(cols)]), path)
+    io.write_raw(raw.selectExpr(*cols), path)
     return prof_op.sum_by_key(io.read_profiles(spark, path), "user_id", PROFILE_COLUMNS)
 
 

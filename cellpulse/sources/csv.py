@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import PROFILE_COLUMNS
-from ..functions.text import blank_to_zero, strip_quotes
 
 # Record schemas used by our own writers (names follow the fixtures).
 DEVICE_LOG_SCHEMA = "period int, user_id bigint, vendor string, dtype int, voice int, sms int"
@@ -81,9 +80,9 @@ def write_ids(df: DataFrame, path: str) -> None:
 
 def write_wide_locations(df: DataFrame, path: str, hours: int = 24) -> None:
     """Wide rows as CSV with a missing point (0) written as an empty field."""
-    cols = [F.when(F.col(c) == 0, F.lit(None)).otherwise(F.col(c)).alias(c)
-            if c[0] in "xy" and c[1:].isdigit() else F.col(c) for c in df.columns]
-    df.select(*cols).write.mode("overwrite").option("nullValue", "").csv(path)
+    coords = {f"{a}{h}" for h in range(hours) for a in "xy"}
+    cols = [f"nullif(`{c}`, 0D) as `{c}`" if c in coords else f"`{c}`" for c in df.columns]
+    df.selectExpr(*cols).write.mode("overwrite").option("nullValue", "").csv(path)
 
 
 def read_wide_locations(spark: SparkSession, path: str,
@@ -116,10 +115,10 @@ def read_profiles(spark: SparkSession, path: str, key: str = "user_id", key_type
     kept = [i for i in range(width) if i not in set(drop)]
     if len(kept) != len(names) + 1:
         raise ValueError(f"{len(kept)} kept columns for a key and {len(names)} names")
-    key_col = strip_quotes("_c0").cast(key_type).alias(key)
-    vals = [blank_to_zero(strip_quotes(f"_c{i}")).cast("double").alias(n)
+    key_col = f"cast(translate(_c0, '\"', '') as {key_type}) as `{key}`"
+    vals = [f"cast(coalesce(nullif(translate(_c{i}, '\"', ''), ''), '0') as double) as `{n}`"
             for i, n in zip(kept[1:], names)]
-    return df.select(key_col, *vals)
+    return df.selectExpr(key_col, *vals)
 
 
 def write_raw(df: DataFrame, path: str) -> None:
@@ -127,6 +126,17 @@ def write_raw(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("nullValue", "").csv(path)
 
 
+def write_predictions(df: DataFrame, path: str, key: str = "user_id",
+                      prediction: str = "prediction") -> None:
+    """Prediction sink: one text line ``key,prediction`` per scored row."""
+    df.selectExpr(f"concat_ws(',', `{key}`, `{prediction}`) as value").write.mode("overwrite").text(path)
+
+
+def read_predictions(spark: SparkSession, path: str, key: str = "user_id", key_type: str = "bigint",
+                     prediction: str = "prediction") -> DataFrame:
+    return spark.read.schema(f"`{key}` {key_type}, `{prediction}` int").csv(path)
+
+
 def write_tags(df: DataFrame, path: str) -> None:
     """Tag rows as text lines key,f1,...,f20 (the tag sink)."""
     df.write.mode("overwrite").csv(path)

@@ -16,7 +16,7 @@ SNAP = "user_id bigint, period int, vendor string, dtype int, voice int, sms int
 
 
 def rows(df, *order):
-    return [tuple(r) for r in df.orderBy(*order).collect()]
+    return [tuple(r) for r in (df.orderBy(*order) if order else df).collect()]
 
 
 # --- change detection ------------------------------------------------------------
@@ -274,3 +274,17 @@ def test_bounded_broadcast_respects_bound(spark, n):
     df = spark.range(2)
     out = bounded_broadcast(df, n)
     assert (out is df) == (n < 2)
+
+
+def test_prediction_sink_round_trip(spark):
+    path = scratch_path(spark, "t-pred")
+    df = spark.createDataFrame([(5, 1), (6, 0)], "user_id bigint, prediction int")
+    io.write_predictions(df, path)
+    assert sorted(r.value for r in spark.read.text(path).collect()) == ["5,1", "6,0"]
+    assert rows(io.read_predictions(spark, path), "user_id") == [(5, 1), (6, 0)]
+
+
+def test_array_to_columns_inverts_array(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 3.0)], "a double, b double, c double")
+    back = df.select(F.array("a", "b", "c").alias("v")).select(*text.array_to_columns("v", ["a", "b", "c"]))
+    assert rows(back) == rows(df)
