@@ -111,13 +111,15 @@ def score(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFrame
 def forest_grid_cv(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str],
                    grid: Mapping[str, Sequence], fold_col: str = "fold", label: str = "label",
                    parallelism: int = 4, metric: str = "f1", seed: int = 1) -> DataFrame:
-    """Grid x k-fold search; one row per grid point with its mean metric.
+    """Grid x k-fold search; one row per grid point with the mean and spread
+    of its metric over the folds.
 
     Folds come from ``fold_col`` (a hash fold) so they are reproducible; the
     grid points train in parallel. The result is grid-sized.
     """
     checkpoint_root(df.sparkSession)
-    pipe = forest_pipeline(categorical, numeric, label, seed=seed)
+    pipe = forest_pipeline(categorical, numeric, label, seed=seed, cacheNodeIds=True,
+                           checkpointInterval=10)
     rf = pipe.getStages()[-1]
     builder = ParamGridBuilder()
     for name, values in grid.items():
@@ -131,7 +133,7 @@ def forest_grid_cv(df: DataFrame, categorical: Sequence[str], numeric: Sequence[
         model = cv.fit(data)
     finally:
         data.unpersist()
-    rows = [tuple(pm[rf.getParam(n)] for n in grid) + (float(m),)
-            for pm, m in zip(maps, model.avgMetrics)]
-    cols = list(grid) + [f"mean_{metric}"]
+    rows = [tuple(pm[rf.getParam(n)] for n in grid) + (float(m), float(sd))
+            for pm, m, sd in zip(maps, model.avgMetrics, model.stdMetrics)]
+    cols = list(grid) + [f"mean_{metric}", f"std_{metric}"]
     return df.sparkSession.createDataFrame(rows, cols)

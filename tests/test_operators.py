@@ -288,3 +288,13 @@ def test_array_to_columns_inverts_array(spark):
     df = spark.createDataFrame([(1.0, 2.0, 3.0)], "a double, b double, c double")
     back = df.select(F.array("a", "b", "c").alias("v")).select(*text.array_to_columns("v", ["a", "b", "c"]))
     assert rows(back) == rows(df)
+
+
+def test_device_log_header_dropped_by_content(spark):
+    path = scratch_path(spark, "t-hdr")
+    os.makedirs(path)
+    with open(f"{path}/a.csv", "w") as f:
+        f.write('"201501","abc","3G"\n"MONTH","IMSI","NET"\n"201502","def","4G"\n')
+    df = io.read_device_logs(spark, path, schema="month string, imsi string, net string",
+                             header=False, header_text="IMSI", header_col="imsi")
+    assert rows(df, "month") == [("201501", "abc", "3G"), ("201502", "def", "4G")]
