@@ -6,19 +6,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..constants import SKIPPED_PERIODS
 from ..operators import change
+from ..session import materialize
 from ..sources.tables import read_table
 from . import fixtures
 
 
 class DeviceInputs:
-    """The derived device frames for one data directory, built lazily."""
+    """The derived device frames for one data directory.
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    With ``reuse=True`` the per-(user, period) snapshot is computed once and
+    written with a reliable ``checkpoint`` to the shared checkpoint folder:
+    queries that read it several times (targets, change set, labels, scoring)
+    then scan ``events`` once, not once per use, and a lost executor does not
+    replay the event aggregation.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, reuse: bool = False):
+        self.spark = spark
         self.events = read_table(spark, sf_dir, "events")
+        self.reuse = reuse
+        self._snap: DataFrame | None = None
 
     @property
     def snap(self) -> DataFrame:
-        return fixtures.device_snapshot(self.events)
+        if self._snap is None:
+            snap = fixtures.device_snapshot(self.events)
+            if self.reuse:
+                snap = materialize(snap)
+            self._snap = snap
+        return self._snap
 
     @property
     def targets(self) -> DataFrame:

@@ -6,13 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..constants import PROFILE_COLUMNS
 from ..operators import profile as op
+from ..session import materialize
 from ..sources.tables import read_table
 from . import fixtures
 
 
 class ProfileInputs:
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    """Derived profile frames for one data directory.
+
+    With ``reuse=True`` the normalised profile (one row per user) is
+    materialised once in the shared checkpoint folder, so the threshold
+    subquery and the flags read it instead of aggregating ``events`` twice.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, reuse: bool = False):
         self.events = read_table(spark, sf_dir, "events")
+        self.reuse = reuse
+        self._norm: DataFrame | None = None
 
     @property
     def raw(self) -> DataFrame:
@@ -24,7 +34,10 @@ class ProfileInputs:
 
     @property
     def norm(self) -> DataFrame:
-        return op.l2_normalize(self.prof, PROFILE_COLUMNS)
+        if self._norm is None:
+            norm = op.l2_normalize(self.prof, PROFILE_COLUMNS)
+            self._norm = materialize(norm) if self.reuse else norm
+        return self._norm
 
     @property
     def thresholds(self) -> DataFrame:

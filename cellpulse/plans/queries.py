@@ -55,38 +55,38 @@ def target_list(spark, sf_dir):
 
 @register("device_switch")
 def device_switch(spark, sf_dir):
-    return DeviceInputs(spark, sf_dir).switch
+    return DeviceInputs(spark, sf_dir, reuse=True).switch
 
 
 @register("switch_one_period")
 def switch_one_period(spark, sf_dir):
-    return DeviceInputs(spark, sf_dir).switch.where(F.col("period") == LAST_PERIOD)
+    return DeviceInputs(spark, sf_dir, reuse=True).switch.where(F.col("period") == LAST_PERIOD)
 
 
 @register("switch_counts")
 def switch_counts(spark, sf_dir):
-    return change.counts_per_period(DeviceInputs(spark, sf_dir).switch)
+    return change.counts_per_period(DeviceInputs(spark, sf_dir, reuse=True).switch)
 
 
 @register("label_prev_period")
 def label_prev_period(spark, sf_dir):
-    return DeviceInputs(spark, sf_dir).labeled
+    return DeviceInputs(spark, sf_dir, reuse=True).labeled
 
 
 @register("label_one_period")
 def label_one_period(spark, sf_dir):
-    return DeviceInputs(spark, sf_dir).labeled.where(F.col("period") == LAST_PERIOD)
+    return DeviceInputs(spark, sf_dir, reuse=True).labeled.where(F.col("period") == LAST_PERIOD)
 
 
 @register("target_scoring_rows")
 def target_scoring_rows(spark, sf_dir):
-    d = DeviceInputs(spark, sf_dir)
+    d = DeviceInputs(spark, sf_dir, reuse=True)
     return change.rows_in_period(d.snap, d.targets, LAST_PERIOD)
 
 
 @register("label_counts")
 def label_counts(spark, sf_dir):
-    return DeviceInputs(spark, sf_dir).labeled.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return DeviceInputs(spark, sf_dir, reuse=True).labeled.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- features ---------------------------------------------------------------
@@ -103,7 +103,7 @@ def category_index(spark, sf_dir):
 
 @register("feature_rows")
 def feature_rows(spark, sf_dir):
-    d = DeviceInputs(spark, sf_dir)
+    d = DeviceInputs(spark, sf_dir, reuse=True)
     return features.feature_rows(d.labeled, CATEGORICAL, NUMERIC, dictionary=d.snap)
 
 
@@ -126,18 +126,18 @@ def tag_thresholds(spark, sf_dir):
 
 @register("feature_histogram")
 def feature_histogram(spark, sf_dir):
-    return prof_op.histogram(ProfileInputs(spark, sf_dir).norm, PROFILE_COLUMNS[:5])
+    return prof_op.histogram(ProfileInputs(spark, sf_dir, reuse=True).norm, PROFILE_COLUMNS[:5])
 
 
 @register("tag_flags")
 def tag_flags(spark, sf_dir):
-    return ProfileInputs(spark, sf_dir).tags
+    return ProfileInputs(spark, sf_dir, reuse=True).tags
 
 
 @register("tag_sum")
 def tag_sum(spark, sf_dir):
     """Tag rows stored twice per user are re-aggregated to one row per user."""
-    tags = ProfileInputs(spark, sf_dir).tags
+    tags = ProfileInputs(spark, sf_dir, reuse=True).tags
     return prof_op.sum_by_key(tags.unionByName(tags), "user_id", PROFILE_COLUMNS)
 
 
@@ -186,7 +186,7 @@ def cluster_centres(spark, sf_dir):
 @register("located_with_tags")
 def located_with_tags(spark, sf_dir):
     clus = SpatialInputs(spark, sf_dir).clus
-    tags = ProfileInputs(spark, sf_dir).tags
+    tags = ProfileInputs(spark, sf_dir, reuse=True).tags
     return spatial_op.located_with_tags(clus, tags, area=0, hour=10)
 
 
@@ -196,7 +196,7 @@ def sql_report_filter(spark, sf_dir):
     tag = uuid.uuid4().hex[:8]
     loc, tg = f"located_{tag}", f"usertag_{tag}"
     SpatialInputs(spark, sf_dir).clus.createOrReplaceTempView(loc)
-    ProfileInputs(spark, sf_dir).tags.createOrReplaceTempView(tg)
+    ProfileInputs(spark, sf_dir, reuse=True).tags.createOrReplaceTempView(tg)
     fcols = ", ".join(f"u.{c}" for c in PROFILE_COLUMNS)
     return spark.sql(f"""
         select s.user_id, s.dt, s.hr, s.x, s.y, s.areaid, s.clusterid,
@@ -295,7 +295,7 @@ def _complete_rows(labeled: DataFrame) -> DataFrame:
 
 
 def _split_rows(spark, sf_dir):
-    rows = _complete_rows(DeviceInputs(spark, sf_dir).labeled)
+    rows = _complete_rows(DeviceInputs(spark, sf_dir, reuse=True).labeled)
     return model.holdout_split(rows, _row_key(), (8, 1))
 
 
@@ -320,7 +320,7 @@ def rf_grid_cv(spark, sf_dir):
 def predict_target(spark, sf_dir):
     """Forest fitted on all labelled rows scores each target's last-period
     record; the predictions go through the text sink and are read back."""
-    d = DeviceInputs(spark, sf_dir)
+    d = DeviceInputs(spark, sf_dir, reuse=True)
     fitted = model.fit_forest(_complete_rows(d.labeled), CATEGORICAL, NUMERIC, **FOREST_PARAMS)
     current = change.rows_in_period(d.snap, d.targets, LAST_PERIOD)
     path = scratch_path(spark, "predictions")
@@ -370,7 +370,7 @@ def profile_project_fill(spark, sf_dir):
 
 @register("tag_roundtrip")
 def tag_roundtrip(spark, sf_dir):
-    tags = ProfileInputs(spark, sf_dir).tags
+    tags = ProfileInputs(spark, sf_dir, reuse=True).tags
     path = scratch_path(spark, "tags")
     io.write_tags(tags, path)
     return io.read_tags(spark, path)
@@ -388,7 +388,7 @@ def multi_path_union(spark, sf_dir):
 
 @register("record_to_line")
 def record_to_line(spark, sf_dir):
-    sw = DeviceInputs(spark, sf_dir).switch
+    sw = DeviceInputs(spark, sf_dir, reuse=True).switch
     return sw.select("period", "user_id", text.to_line(
         ["period", "user_id", "n_vendor", "n_type", "b_vendor", "b_type"]).alias("line"))
 

@@ -71,6 +71,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/cellpulse/{name}-{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and keep it in the shared checkpoint folder.
+
+    For a frame that several branches of one plan read: they all read the
+    checkpoint instead of recomputing it, lineage is cut, and a lost
+    executor does not replay the work (unlike ``localCheckpoint`` or cache).
+    """
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` only when it provably has at most ``max_rows`` rows.
 
