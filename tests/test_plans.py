@@ -16,7 +16,10 @@ AREA_KEYS = {"area_assign", "nearest_centre", "cluster_centres", "located_with_t
              "sql_report_filter", "top_rows", "hex_to_decimal", "multi_path_union"}
 # Keys that aggregate raw events by user: the aggregate must be partial before the shuffle.
 EVENT_AGGREGATES = {"period_snapshot", "profile_sum", "unpivot_hours", "distinct_users",
-                    "device_switch", "tag_flags"}
+                    "l2_normalize", "category_distinct"}
+# Keys that read a derived frame several times and use its materialised copy.
+MATERIALISED = {"device_switch", "label_prev_period", "feature_rows", "target_scoring_rows",
+                "tag_flags", "tag_sum", "feature_histogram"}
 
 
 def plan_text(df) -> str:
@@ -55,3 +58,8 @@ def test_events_scan_is_pruned(plans, key):
 def test_event_aggregates_are_partial_before_shuffle(plans, key):
     plan = plans[key]
     assert "partial_" in plan or re.search(r"HashAggregate\(keys=\[[^\]]+\], functions=\[\]", plan)
+
+
+@pytest.mark.parametrize("key", sorted(MATERIALISED))
+def test_materialised_queries_do_not_rescan_events(plans, key):
+    assert "events.parquet" not in plans[key]
