@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import bounded_broadcast, materialize
+
 
 def distinct_values(df: DataFrame, col: str) -> DataFrame:
     return df.select(col).distinct()
@@ -21,13 +23,27 @@ def distinct_values(df: DataFrame, col: str) -> DataFrame:
 def category_index(df: DataFrame, col: str, index_col: str | None = None) -> DataFrame:
     """(value, index): 0-based rank of each distinct non-null value in ascending order.
 
-    The ranking window has no partition key, so it runs in one task, but
-    only over the distinct values of a categorical column (its cardinality),
-    after a partial + final distinct aggregate has shrunk the data.
+    Distributed, with no single-task step over the values: the distinct
+    values are range-partitioned and sorted (``orderBy``), numbered with
+    ``monotonically_increasing_id`` (partition id in the high bits, position
+    in the low 33 bits) and materialised so every reader sees the same
+    numbering. A value's rank is the number of values in earlier partitions
+    (a running sum over one row per partition, a bounded table) plus its
+    position in its own partition.
     """
     index_col = index_col or f"{col}_idx"
     values = df.select(col).where(F.col(col).isNotNull()).distinct()
-    return values.select(col, (F.row_number().over(Window.orderBy(col)) - 1).alias(index_col))
+    numbered = materialize(values.orderBy(col).select(
+        col, F.monotonically_increasing_id().alias("_id")))
+    numbered = numbered.select(col, F.shiftright("_id", 33).alias("_part"),
+                               F.col("_id").bitwiseAND((1 << 33) - 1).alias("_pos"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+                       .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0))
+                               .alias("_offset")))
+    partitions = numbered.rdd.getNumPartitions()
+    return (numbered.join(bounded_broadcast(offsets, max(partitions, 1)), "_part")
+                    .select(col, (F.col("_offset") + F.col("_pos")).cast("int").alias(index_col)))
 
 
 def with_category_index(df: DataFrame, cols: Sequence[str],

@@ -298,3 +298,17 @@ def test_device_log_header_dropped_by_content(spark):
     df = io.read_device_logs(spark, path, schema="month string, imsi string, net string",
                              header=False, header_text="IMSI", header_col="imsi")
     assert rows(df, "month") == [("201501", "abc", "3G"), ("201502", "def", "4G")]
+
+
+def test_category_index_across_many_partitions(spark):
+    vals = spark.range(1000).selectExpr("format_string('v%04d', cast((id * 7919) % 1000 as int)) as v")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")   # keep several range partitions for the tiny input
+    try:
+        idx = features.category_index(vals.repartition(7), "v")
+        got = rows(idx, "v")
+        parts = {r._p for r in idx.select(F.spark_partition_id().alias("_p")).collect()}
+    finally:
+        spark.conf.set(key, "true")
+    assert got == [(f"v{i:04d}", i) for i in range(1000)]
+    assert len(parts) > 1
