@@ -54,7 +54,8 @@ def _inside(x, y, a: DataFrame):
 
 
 def assign_area(points: DataFrame, areas: DataFrame, x: str = "x", y: str = "y",
-                max_broadcast_rows: int = 100_000, cell: float = 0.01) -> DataFrame:
+                max_broadcast_rows: int = 100_000, cell: float = 0.01,
+                known_rows: int | None = None) -> DataFrame:
     """Points inside a box (closed bounds) get its ``areaid``; others are dropped.
 
     A small, checked box table is broadcast and tested against every point
@@ -64,7 +65,7 @@ def assign_area(points: DataFrame, areas: DataFrame, x: str = "x", y: str = "y",
     one row per box that holds it.
     """
     px, py = F.col(x), F.col(y)
-    small = bounded_broadcast(areas, max_broadcast_rows)
+    small = bounded_broadcast(areas, max_broadcast_rows, known_rows)
     if small is not areas:
         a = small.alias("_a")
         return (points.join(a, _inside(px, py, a), "inner")
@@ -82,12 +83,14 @@ def assign_area(points: DataFrame, areas: DataFrame, x: str = "x", y: str = "y",
 
 
 def nearest_centre(points: DataFrame, centres: DataFrame, area: str = "areaid",
-                   x: str = "x", y: str = "y", max_broadcast_rows: int = 100_000) -> DataFrame:
+                   x: str = "x", y: str = "y", max_broadcast_rows: int = 100_000,
+                   known_rows: int | None = None) -> DataFrame:
     """Adds ``clusterid``: the closest centre of the point's area (squared
     Euclidean distance), ties to the lowest id; null if the area has none.
 
     The centres of each area are gathered into one array (k per area, a
-    model-sized bound), the array table is broadcast after a size check, and
+    model-sized bound), the array table (no more rows than centres) is
+    broadcast after a size check on the centres, and
     each point picks its minimum with ``array_min(transform(...))``: no
     fan-out of points, no shuffle, no per-point group-by.
     """
@@ -100,7 +103,9 @@ def nearest_centre(points: DataFrame, centres: DataFrame, area: str = "areaid",
         return F.struct((dx * dx + dy * dy).alias("d"), c["clusterid"].alias("clusterid"))
 
     best = F.array_min(F.transform("_c", dist))
-    return (points.join(bounded_broadcast(per_area, max_broadcast_rows), area, "left")
+    rows = known_rows if known_rows is not None else centres.limit(max_broadcast_rows + 1).count()
+    per_area = F.broadcast(per_area) if rows <= max_broadcast_rows else per_area
+    return (points.join(per_area, area, "left")
                   .select(*points.columns, best["clusterid"].alias("clusterid")))
 
 

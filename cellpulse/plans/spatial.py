@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..constants import AREA_BOXES, CLUSTER_CENTRES
 from ..operators import spatial as op
 from ..sources.tables import read_table
 from . import fixtures
@@ -39,8 +40,9 @@ class SpatialInputs:
 
     @property
     def area(self) -> DataFrame:
-        return op.assign_area(self.long, self.areas)
+        return op.assign_area(self.long, self.areas, known_rows=len(AREA_BOXES))
 
     @property
     def clus(self) -> DataFrame:
-        return op.nearest_centre(self.area, self.centres)
+        return op.nearest_centre(self.area, self.centres,
+                                 known_rows=sum(len(c) for c in CLUSTER_CENTRES.values()))

@@ -82,16 +82,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                      known_rows: int | None = None) -> DataFrame:
     """Broadcast ``df`` only when it provably has at most ``max_rows`` rows.
 
-    The check reads at most ``max_rows + 1`` rows. Beyond the bound the frame
-    is returned as is, so the planner falls back to a shuffle join (and AQE
-    may still broadcast it from runtime statistics).
+    ``known_rows`` is an exact size the caller already holds (a table built
+    from a fixed list); otherwise the check reads at most ``max_rows + 1``
+    rows. Beyond the bound the frame is returned as is, so the planner falls
+    back to a shuffle join (and AQE may still broadcast it from runtime
+    statistics).
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    rows = known_rows if known_rows is not None else df.limit(max_rows + 1).count()
+    return F.broadcast(df) if rows <= max_rows else df
 
 
 def env_int(name: str, default: int) -> int:
