@@ -74,3 +74,12 @@ def test_usage_stream_partials_fold_to_profile(spark):
     assert got.count() == want.count()
     assert got.exceptAll(want.select(*got.columns)).count() == 0
     assert os.path.isdir(out)
+
+
+def test_written_wide_rows_always_have_fifty_fields(spark):
+    from cellpulse.operators.quality import field_count_profile
+    from cellpulse.sources import csv as io
+    path = scratch_path(spark, "t-wide-fields")
+    io.write_wide_locations(SpatialInputs(spark, SF_SMALL).wide, path)
+    prof = field_count_profile(spark.read.text(path), "value", [","]).first()
+    assert (prof.min, prof.max, prof.stdev) == (50.0, 50.0, 0.0)
