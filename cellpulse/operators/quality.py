@@ -51,7 +51,7 @@ def field_count_profile(lines: DataFrame, line_col: str, seps: Sequence[str]) ->
     counts = lines.select(*[token_count(F.col(line_col), s).cast("double").alias(f"s{i}")
                             for i, s in enumerate(seps)])
     prof = column_profile(counts, [f"s{i}" for i in range(len(seps))])
-    label = F.col("column")
-    for i, s in enumerate(seps):
-        label = F.when(F.col("column") == f"s{i}", F.lit(s)).otherwise(label)
-    return prof.withColumn("column", label).withColumnRenamed("column", "sep")
+    names = " ".join(f"when 's{i}' then '{s.replace(chr(39), chr(39) * 2)}'"
+                     for i, s in enumerate(seps))
+    return prof.selectExpr(f"case `column` {names} end as sep", "n", "mean", "stdev", "max",
+                           "min", "nan")

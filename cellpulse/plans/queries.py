@@ -237,15 +237,13 @@ def column_profile(spark, sf_dir):
 
 def device_lines(events: DataFrame) -> DataFrame:
     """Quoted 11-field device-log lines; the model field holds commas on some rows."""
-    model_name = F.when(F.col("event_id") % 7 == 0,
-                        F.concat_ws(",", "event_type", F.upper("event_type"), F.lit("X5")))
-    model_name = model_name.otherwise(F.col("event_type"))
-    fields = [F.col("event_id"), F.col("user_id"), F.col("event_type"),
-              F.floor(F.col("value") / 100).cast("int"), F.floor("value").cast("int"),
-              (F.col("event_id") % 100).cast("int"), model_name, F.hour("ts"),
-              F.dayofmonth("ts"), F.length("props"), F.col("event_id") % 2]
-    inner = F.concat_ws('","', *[f.cast("string") for f in fields])
-    return events.select(F.concat(F.lit('"'), inner, F.lit('"')).alias("line"))
+    model_name = ("case when event_id % 7 = 0 then concat_ws(',', event_type, upper(event_type), "
+                  "'X5') else event_type end")
+    fields = ["event_id", "user_id", "event_type", "cast(floor(value / 100) as int)",
+              "cast(floor(value) as int)", "cast(event_id % 100 as int)", model_name, "hour(ts)",
+              "day(ts)", "length(props)", "event_id % 2"]
+    inner = ", ".join(f"cast({f} as string)" for f in fields)
+    return events.selectExpr(f"""concat('"', concat_ws('","', {inner}), '"') as line""")
 
 
 @register("field_count_profile")

@@ -46,20 +46,20 @@ def build_session(master: str | None = None, app_name: str = "cellpulse",
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder the session checkpoints to (``spark.checkpoint.dir``).
 
-    The cluster owns this setting. Only a local-mode session without one
-    (tests, a laptop) gets a fresh folder of its own; a cluster session
-    without one is an error, because a machine-local folder would not be
-    visible to other executors and would not survive losing one.
+    The cluster owns this setting; Spark derives a per-application folder
+    from it. Only a local-mode session without one (a laptop, a bare test
+    session) gets a fresh folder of its own; a cluster session without one
+    is an error, because a machine-local folder would not be visible to
+    other executors and would not survive losing one.
     """
     sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    root = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         root = tempfile.mkdtemp(prefix="cellpulse-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
     return root

@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -14,10 +13,14 @@ SF_CHECK = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from cellpulse.session import build_session
-    # Tests run in local mode, where no shared checkpoint folder is configured.
-    ckpt = tempfile.mkdtemp(prefix="cellpulse-test-ckpt-")
-    s = build_session("local[4]", "cellpulse-tests", shuffle_partitions=4,
-                      extra={"spark.checkpoint.dir": ckpt})
+    # The checkpoint folder comes from the session's configuration; only when
+    # none is configured does cellpulse.session.checkpoint_root make one.
+    s = build_session("local[4]", "cellpulse-tests", shuffle_partitions=4)
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+def local_path(uri: str) -> str:
+    """Local file-system path of a ``file:`` URI (tests write fixture files by hand)."""
+    return uri[len("file:"):] if uri.startswith("file:") else uri

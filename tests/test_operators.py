@@ -11,6 +11,7 @@ from cellpulse.functions import text
 from cellpulse.operators import change, features, model, profile, quality, spatial
 from cellpulse.session import scratch_path
 from cellpulse.sources import csv as io
+from conftest import local_path
 
 SNAP = "user_id bigint, period int, vendor string, dtype int, voice int, sms int"
 
@@ -220,8 +221,8 @@ def test_device_csv_quoted_comma_and_header_per_file(spark):
 
 def test_wide_rows_short_and_long_lines(spark):
     path = scratch_path(spark, "t-wide")
-    os.makedirs(path)
-    with open(f"{path}/part.csv", "w") as f:
+    os.makedirs(local_path(path))
+    with open(f"{local_path(path)}/part.csv", "w") as f:
         f.write("7,2024-01-02,1.5,2.5\n")                                    # short row
         f.write("8,2024-01-02," + ",".join(["1"] * 48) + ",9,9\n")         # extra fields
         f.write("9,2024-01-03,,3.0," + ",".join(["0"] * 46) + "\n")       # empty field
@@ -234,10 +235,10 @@ def test_wide_rows_short_and_long_lines(spark):
 
 def test_profile_reader_drops_positions_and_fills_blanks(spark):
     path = scratch_path(spark, "t-prof")
-    os.makedirs(path)
+    os.makedirs(local_path(path))
     vals = [str(i) for i in range(1, 24)]
     vals[0] = ""                      # blank -> 0
-    with open(f"{path}/part.csv", "w") as f:
+    with open(f"{local_path(path)}/part.csv", "w") as f:
         f.write('"IMEI",' + ",".join(["h"] * 23) + "\n")
         f.write('"42",' + ",".join(vals) + "\n")
     df = io.read_profiles(spark, path, header_text="IMEI")
@@ -292,8 +293,8 @@ def test_array_to_columns_inverts_array(spark):
 
 def test_device_log_header_dropped_by_content(spark):
     path = scratch_path(spark, "t-hdr")
-    os.makedirs(path)
-    with open(f"{path}/a.csv", "w") as f:
+    os.makedirs(local_path(path))
+    with open(f"{local_path(path)}/a.csv", "w") as f:
         f.write('"201501","abc","3G"\n"MONTH","IMSI","NET"\n"201502","def","4G"\n')
     df = io.read_device_logs(spark, path, schema="month string, imsi string, net string",
                              header=False, header_text="IMSI", header_col="imsi")

@@ -12,7 +12,7 @@ from cellpulse.plans.profile import ProfileInputs
 from cellpulse.plans.spatial import SpatialInputs
 from cellpulse.session import scratch_path
 from cellpulse.streaming import usage as stream
-from conftest import SF_CHECK, SF_SMALL
+from conftest import SF_CHECK, SF_SMALL, local_path
 
 
 def test_labelled_rows_are_periods_times_targets(spark):
@@ -73,7 +73,7 @@ def test_usage_stream_partials_fold_to_profile(spark):
     want = ProfileInputs(spark, SF_SMALL).prof
     assert got.count() == want.count()
     assert got.exceptAll(want.select(*got.columns)).count() == 0
-    assert os.path.isdir(out)
+    assert os.path.isdir(local_path(out))
 
 
 def test_written_wide_rows_always_have_fifty_fields(spark):
