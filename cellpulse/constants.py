@@ -82,6 +82,14 @@ CLUSTER_CENTRES = {
 # ---------------------------------------------------------------------------
 SKIPPED_PERIODS = (1, 9)
 
+# ---------------------------------------------------------------------------
+# Device model: the period scored, and the features (one categorical column,
+# three numeric columns) of the previous period's record.
+# ---------------------------------------------------------------------------
+LAST_PERIOD = 12
+DEVICE_CATEGORICAL = ["vendor"]
+DEVICE_NUMERIC = ["dtype", "voice", "sms"]
+
 # ---------------------------------------------------------------------------
 # Random-forest settings of the original training run, and the
 # grid searched with 3-fold cross-validation.

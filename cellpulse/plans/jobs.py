@@ -13,16 +13,15 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import FOREST_PARAMS
+from ..constants import DEVICE_CATEGORICAL, DEVICE_NUMERIC, FOREST_PARAMS, LAST_PERIOD
 from ..operators import change, model, spatial
 from ..sources import csv as io
 from .device import DeviceInputs
 from .profile import ProfileInputs
 from .spatial import SpatialInputs
 
-CATEGORICAL = ["vendor"]
-NUMERIC = ["dtype", "voice", "sms"]
-LAST_PERIOD = 12
+CATEGORICAL = DEVICE_CATEGORICAL
+NUMERIC = DEVICE_NUMERIC
 
 
 def device_job(spark: SparkSession, data: str, out: str, **forest) -> None:

@@ -10,10 +10,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import CV_FOLDS, FOREST_GRID, FOREST_PARAMS, PROFILE_COLUMNS
+from ..constants import (CV_FOLDS, DEVICE_CATEGORICAL, DEVICE_NUMERIC, FOREST_GRID,
+                         FOREST_PARAMS, LAST_PERIOD, PROFILE_COLUMNS)
 from ..functions import text
 from ..operators import change, features, model, quality
 from ..operators import profile as prof_op
@@ -29,9 +30,8 @@ from .spatial import SpatialInputs
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
-LAST_PERIOD = 12
-CATEGORICAL = ["vendor"]
-NUMERIC = ["dtype", "voice", "sms"]
+CATEGORICAL = DEVICE_CATEGORICAL
+NUMERIC = DEVICE_NUMERIC
 
 
 def register(name: str):
@@ -282,7 +282,7 @@ def classification_metrics(spark, sf_dir):
     return model.binary_metrics(_conf(spark, sf_dir))
 
 
-def _row_key() -> F.Column:
+def _row_key() -> Column:
     return F.concat_ws("-", F.col("user_id"), F.col("period"))
 
 
