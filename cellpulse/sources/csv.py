@@ -171,16 +171,18 @@ def write_centres(centres: DataFrame, root: str, area: str = "areaid",
 
 def read_centres(spark: SparkSession, paths: Sequence[str],
                  area_pattern: str = r"area=(\d+)") -> DataFrame:
-    """Centre files -> (areaid, clusterid, cx, cy); clusterid = line number in the file.
+    """Centre files -> (areaid, clusterid, cx, cy); clusterid = line number in the area.
 
-    Line order is taken from ``monotonically_increasing_id``, which grows
-    with the read order inside a partition; a centre file is one small
-    split. The numbering window is partitioned by area (k rows each).
+    Lines are numbered in file-name order, then line order within a file
+    (``monotonically_increasing_id`` grows with the read order inside a
+    partition; a centre file is small enough to be a single split). The
+    numbering window is partitioned by area, which holds one model's centres.
     """
     df = spark.read.schema(CENTRE_SCHEMA).csv(list(paths))
     df = df.select(F.regexp_extract(F.col("_metadata.file_path"), area_pattern, 1)
                    .cast("int").alias("areaid"),
+                   F.col("_metadata.file_path").alias("_file"),
                    F.monotonically_increasing_id().alias("_pos"), "cx", "cy")
-    w = Window.partitionBy("areaid").orderBy("_pos")
+    w = Window.partitionBy("areaid").orderBy("_file", "_pos")
     return df.select("areaid", (F.row_number().over(w) - 1).cast("int").alias("clusterid"),
                      "cx", "cy")

@@ -313,3 +313,15 @@ def test_category_index_across_many_partitions(spark):
         spark.conf.set(key, "true")
     assert got == [(f"v{i:04d}", i) for i in range(1000)]
     assert len(parts) > 1
+
+
+def test_centres_numbered_across_several_files_in_name_order(spark):
+    root = scratch_path(spark, "t-cent-files")
+    area = f"{local_path(root)}/area=07"
+    os.makedirs(area)
+    with open(f"{area}/part-b.csv", "w") as f:           # bigger file, read second by name
+        f.write("3.0,3.0\n4.0,4.0\n5.0,5.0\n")
+    with open(f"{area}/part-a.csv", "w") as f:
+        f.write("1.0,1.0\n2.0,2.0\n")
+    got = rows(io.read_centres(spark, [f"{root}/area=07"]), "clusterid")
+    assert got == [(7, i, float(i + 1), float(i + 1)) for i in range(5)]
