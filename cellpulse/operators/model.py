@@ -77,7 +77,7 @@ def binary_metrics(conf: DataFrame) -> DataFrame:
         F.try_divide(F.greatest(tp + fn, fp + tn), total).alias("majority_share"))
 
 
-def forest_pipeline(categorical: Sequence[str], numeric: Sequence[str], label: str = "label",
+def forest_estimator(categorical: Sequence[str], numeric: Sequence[str], label: str = "label",
                     **params) -> Pipeline:
     """StringIndexer (sorted values, unseen -> extra index) + VectorAssembler + forest."""
     idx = [StringIndexer(inputCol=c, outputCol=f"{c}__ix", stringOrderType="alphabetAsc",
@@ -98,7 +98,7 @@ def fit_forest(train: DataFrame, categorical: Sequence[str], numeric: Sequence[s
     data = train.select(label, *categorical, *numeric).withColumn(label, F.col(label).cast("double"))
     data = data.persist()
     try:
-        return forest_pipeline(categorical, numeric, label, **params).fit(data)
+        return forest_estimator(categorical, numeric, label, **params).fit(data)
     finally:
         data.unpersist()
 
@@ -118,7 +118,7 @@ def forest_grid_cv(df: DataFrame, categorical: Sequence[str], numeric: Sequence[
     grid points train in parallel. The result is grid-sized.
     """
     checkpoint_root(df.sparkSession)
-    pipe = forest_pipeline(categorical, numeric, label, seed=seed, cacheNodeIds=True,
+    pipe = forest_estimator(categorical, numeric, label, seed=seed, cacheNodeIds=True,
                            checkpointInterval=10)
     rf = pipe.getStages()[-1]
     builder = ParamGridBuilder()

@@ -50,7 +50,7 @@ class ProfileInputs:
                              keep=["user_id"])
 
 
-def tag_pipeline(usage: DataFrame, key: str = "user_id", cols=PROFILE_COLUMNS,
+def tags_from_usage(usage: DataFrame, key: str = "user_id", cols=PROFILE_COLUMNS,
                  buckets: int = 5) -> DataFrame:
     """The whole chain on any raw usage frame: sum -> normalise -> threshold -> flag."""
     norm = op.l2_normalize(op.sum_by_key(usage, key, cols), cols)
