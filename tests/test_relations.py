@@ -83,3 +83,11 @@ def test_written_wide_rows_always_have_fifty_fields(spark):
     io.write_wide_locations(SpatialInputs(spark, SF_SMALL).wide, path)
     prof = field_count_profile(spark.read.text(path), "value", [","]).first()
     assert (prof.min, prof.max, prof.stdev) == (50.0, 50.0, 0.0)
+
+
+def test_tags_from_usage_equals_registered_tags(spark):
+    from cellpulse.plans.fixtures import usage_rows
+    from cellpulse.plans.profile import tags_from_usage
+    p = ProfileInputs(spark, SF_SMALL)
+    got = tags_from_usage(usage_rows(p.events))
+    assert got.exceptAll(p.tags).count() == 0 and got.count() == p.tags.count()
