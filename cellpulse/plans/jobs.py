@@ -68,9 +68,12 @@ def main(argv=None) -> None:
     ap.add_argument("--data", required=True, help="folder with the parquet tables")
     ap.add_argument("--out", required=True, help="shared output folder")
     ap.add_argument("--master", default=None)
+    ap.add_argument("--input-bytes", type=int, default=None,
+                    help="total input size; sizes scan splits and shuffle partitions")
     args = ap.parse_args(argv)
-    from ..session import build_session
-    spark = build_session(args.master, f"cellpulse-{args.job}")
+    from ..session import build_session, scale_conf
+    extra = scale_conf(args.input_bytes) if args.input_bytes else None
+    spark = build_session(args.master, f"cellpulse-{args.job}", extra=extra)
     JOBS[args.job](spark, args.data, f"{args.out.rstrip('/')}/{args.job}")
 
 

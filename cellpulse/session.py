@@ -45,6 +45,28 @@ def build_session(master: str | None = None, app_name: str = "cellpulse",
     return builder.getOrCreate()
 
 
+def scale_conf(input_bytes: int, split_bytes: int = 256 << 20,
+               shuffle_ratio: float = 0.25) -> dict[str, str]:
+    """Partition settings derived from the size of the input.
+
+    Scan splits of ``split_bytes``; the initial shuffle partition count
+    assumes a shuffle carries at most ``shuffle_ratio`` of the input (every
+    shuffle of raw rows here is a partial aggregate) at ``split_bytes`` per
+    partition, and AQE coalesces down from it to the advisory size.
+    E.g. 100 TB (1e14 bytes) -> 256 MB splits (~373k scan tasks) and ~93k initial
+    shuffle partitions.
+    """
+    parts = max(8, int(input_bytes * shuffle_ratio) // split_bytes)
+    size = str(split_bytes)
+    return {
+        "spark.sql.files.maxPartitionBytes": size,
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": size,
+    }
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the session checkpoints to (``spark.checkpoint.dir``).
 

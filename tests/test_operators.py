@@ -325,3 +325,11 @@ def test_centres_numbered_across_several_files_in_name_order(spark):
         f.write("1.0,1.0\n2.0,2.0\n")
     got = rows(io.read_centres(spark, [f"{root}/area=07"]), "clusterid")
     assert got == [(7, i, float(i + 1), float(i + 1)) for i in range(5)]
+
+
+def test_scale_conf_sizes_partitions_from_input():
+    from cellpulse.session import scale_conf
+    conf = scale_conf(100 * 10**12)
+    assert conf["spark.sql.files.maxPartitionBytes"] == str(256 << 20)
+    assert int(conf["spark.sql.shuffle.partitions"]) == int(100 * 10**12 * 0.25) // (256 << 20)
+    assert int(scale_conf(10)["spark.sql.shuffle.partitions"]) == 8
