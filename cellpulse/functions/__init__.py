@@ -1,0 +1 @@
+"""Scalar column functions built from Spark SQL built-ins."""

@@ -1,0 +1 @@
+"""DataFrame-in, DataFrame-out operators: change detection, profiles, spatial, features, quality, model."""
