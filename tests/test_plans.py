@@ -63,3 +63,17 @@ def test_event_aggregates_are_partial_before_shuffle(plans, key):
 @pytest.mark.parametrize("key", sorted(MATERIALISED))
 def test_materialised_queries_do_not_rescan_events(plans, key):
     assert "events.parquet" not in plans[key]
+
+
+def test_period_filter_prunes_device_log_folders(spark):
+    from pyspark.sql import functions as F
+
+    from cellpulse.plans.device import DeviceInputs
+    from cellpulse.session import scratch_path
+    from cellpulse.sources import csv as io
+    path = scratch_path(spark, "t-prune")
+    io.write_device_logs(DeviceInputs(spark, SF_SMALL).snap, path)
+    one = io.read_device_logs(spark, path).where(F.col("period") == 12)
+    plan = plan_text(one)
+    assert re.search(r"PartitionFilters: \[[^\]]*period[^\]]*= 12", plan), plan
+    assert one.count() == DeviceInputs(spark, SF_SMALL).targets.count()
