@@ -23,8 +23,12 @@ from ..session import checkpoint_root
 
 
 def hash_bucket(key: Column, k: int) -> Column:
-    """Stable bucket 0..k-1: first 8 hex digits of md5(key) as an integer, mod k."""
-    h = F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint")
+    """Stable bucket 0..k-1: first 8 hex digits of md5(key) as an integer, mod k.
+
+    A null key hashes like the empty string, so every row gets a bucket.
+    """
+    text = F.coalesce(key.cast("string"), F.lit(""))
+    h = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
     return (h % k).cast("int")
 
 

@@ -333,3 +333,9 @@ def test_scale_conf_sizes_partitions_from_input():
     assert conf["spark.sql.files.maxPartitionBytes"] == str(256 << 20)
     assert int(conf["spark.sql.shuffle.partitions"]) == int(100 * 10**12 * 0.25) // (256 << 20)
     assert int(scale_conf(10)["spark.sql.shuffle.partitions"]) == 8
+
+
+def test_hash_split_keeps_null_keys(spark):
+    df = spark.createDataFrame([(None,), (1,), (None,)], "k int")
+    out = model.holdout_split(df, F.col("k"))
+    assert out.where(F.col("split").isNull()).count() == 0 and out.count() == 3
