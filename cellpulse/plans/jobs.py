@@ -49,13 +49,18 @@ def profile_job(spark: SparkSession, data: str, out: str) -> None:
     io.write_tags(p.tags, f"{out}/tags")
 
 
-def spatial_job(spark: SparkSession, data: str, out: str, area: int = 0, hour: int = 10) -> None:
-    """Located records (one folder per area) and the tag report for one area and hour."""
+def spatial_job(spark: SparkSession, data: str, out: str, area: int = 0, hour: int = 10,
+                tags: str | None = None) -> None:
+    """Located records (one folder per area) and the tag report for one area and hour.
+
+    ``tags`` is the tag folder a profile job wrote; without it the tags are
+    derived here (a second pass over the events).
+    """
     located = SpatialInputs(spark, data).clus
     io.write_located_by_area(located, f"{out}/located")
     back = io.read_located(spark, [f"{out}/located/area=*"])
-    tags = ProfileInputs(spark, data, reuse=True).tags
-    report = spatial.located_with_tags(back, tags, area=area, hour=hour)
+    tag_rows = io.read_tags(spark, tags) if tags else ProfileInputs(spark, data, reuse=True).tags
+    report = spatial.located_with_tags(back, tag_rows, area=area, hour=hour)
     report.write.mode("overwrite").parquet(f"{out}/report")
 
 
@@ -68,13 +73,18 @@ def main(argv=None) -> None:
     ap.add_argument("--data", required=True, help="folder with the parquet tables")
     ap.add_argument("--out", required=True, help="shared output folder")
     ap.add_argument("--master", default=None)
+    ap.add_argument("--tags", default=None, help="spatial: tag folder written by the profile job")
     ap.add_argument("--input-bytes", type=int, default=None,
                     help="total input size; sizes scan splits and shuffle partitions")
     args = ap.parse_args(argv)
     from ..session import build_session, scale_conf
     extra = scale_conf(args.input_bytes) if args.input_bytes else None
     spark = build_session(args.master, f"cellpulse-{args.job}", extra=extra)
-    JOBS[args.job](spark, args.data, f"{args.out.rstrip('/')}/{args.job}")
+    out = f"{args.out.rstrip('/')}/{args.job}"
+    if args.job == "spatial":
+        spatial_job(spark, args.data, out, tags=args.tags)
+    else:
+        JOBS[args.job](spark, args.data, out)
 
 
 if __name__ == "__main__":

@@ -26,5 +26,8 @@ def test_profile_and_spatial_jobs(spark):
     out2 = scratch_path(spark, "t-job-spatial")
     jobs.spatial_job(spark, SF_SMALL, out2)
     report = spark.read.parquet(f"{out2}/report")
+    out3 = scratch_path(spark, "t-job-spatial-tags")
+    jobs.spatial_job(spark, SF_SMALL, out3, tags=f"{out}/tags")
+    assert spark.read.parquet(f"{out3}/report").exceptAll(report).count() == 0
     assert report.columns[:7] == ["user_id", "dt", "hr", "x", "y", "areaid", "clusterid"]
     assert report.where("areaid != 0 or hr != 10").count() == 0
