@@ -48,6 +48,8 @@ def read_device_logs(spark: SparkSession, path: str, schema: str = DEVICE_LOG_SC
     header is not on line one can instead be cleaned by content: rows whose
     ``header_col`` contains ``header_text`` are dropped. Partition folders
     (``period=N``) become the typed partition column given in ``schema``.
+    Encodings outside Spark's standard set (e.g. GBK for Chinese vendor
+    names) need ``spark.sql.legacy.javaCharsets=true`` in the session.
     """
     df = (spark.read.schema(schema)
           .option("header", header).option("quote", '"').option("escape", '"')

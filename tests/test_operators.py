@@ -339,3 +339,18 @@ def test_hash_split_keeps_null_keys(spark):
     df = spark.createDataFrame([(None,), (1,), (None,)], "k int")
     out = model.holdout_split(df, F.col("k"))
     assert out.where(F.col("split").isNull()).count() == 0 and out.count() == 3
+
+
+def test_device_log_gbk_encoding(spark):
+    path = scratch_path(spark, "t-gbk")
+    os.makedirs(local_path(path))
+    with open(f"{local_path(path)}/a.csv", "wb") as f:
+        f.write('"month","imsi","vendor"\n"201512","abc","华为"\n'.encode("gbk"))
+    key = "spark.sql.legacy.javaCharsets"
+    spark.conf.set(key, "true")
+    try:
+        df = io.read_device_logs(spark, path, schema="month int, imsi string, vendor string",
+                                 encoding="GBK")
+        assert rows(df) == [(201512, "abc", "华为")]
+    finally:
+        spark.conf.unset(key)
