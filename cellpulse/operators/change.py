@@ -21,7 +21,9 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order_col: str,
 
     A group-by with ``max_by`` rather than a ``row_number`` window, so each
     map task reduces its rows before the shuffle: a key holding a third of
-    all rows costs one partial row per task, not one huge sort.
+    all rows costs one partial row per task, not one huge window partition.
+    (The buffer holds strings, so Spark plans a sort-based aggregate; it is
+    still partial before the shuffle and spills rather than fails.)
     """
     picked = F.max_by(F.struct(*[F.col(c) for c in cols]), F.col(order_col)).alias("_r")
     return (df.groupBy(*keys).agg(picked)
@@ -38,8 +40,10 @@ def changed_between_periods(snap: DataFrame, targets: DataFrame, key: str = "use
     ``snap`` has one row per (key, period). ``attrs`` maps a snapshot column
     to the suffix of its output pair ``n_<suffix>`` (this period) and
     ``b_<suffix>`` (period before). ``mode='all'`` needs every attribute to
-    differ, ``'any'`` one of them. A missing period or a null attribute is no
-    change (SQL three-valued logic). Periods in ``skip`` are never reported.
+    differ, ``'any'`` one of them. A missing previous period is never a
+    change; a null attribute compares as unknown (SQL three-valued logic), so
+    in ``'all'`` mode it blocks a change and in ``'any'`` mode another
+    differing attribute still makes one. Periods in ``skip`` are never reported.
 
     One pass: keep targets (semi join), then ``lag`` over each key's own
     periods. The window is partitioned by key and a key has at most one row
