@@ -60,8 +60,20 @@ def read_device_logs(spark: SparkSession, path: str, schema: str = DEVICE_LOG_SC
     return df
 
 
+def for_folders(df: DataFrame, col: str) -> DataFrame:
+    """Cluster rows by output folder before a ``partitionBy`` write.
+
+    The ``rebalance`` hint (AQE) sends a folder's rows to few tasks, so each
+    task writes few files instead of one per folder, splits the partition of
+    a hot folder and coalesces small ones.
+    """
+    return df.hint("rebalance", col)
+
+
 def write_device_logs(df: DataFrame, path: str, partition_by: str | None = "period") -> None:
     """Quoted CSV with a header per file; one folder per period."""
+    if partition_by:
+        df = for_folders(df, partition_by)
     w = df.write.mode("overwrite").option("header", True).option("quoteAll", True)
     if partition_by:
         w = w.partitionBy(partition_by)
@@ -152,8 +164,8 @@ def read_tags(spark: SparkSession, path: str, schema: str | None = None) -> Data
 
 def write_located_by_area(df: DataFrame, root: str, area: str = "areaid") -> None:
     """One folder per area (``area=00``, ``area=01``...); files keep all seven fields."""
-    (df.withColumn("area", F.format_string("%02d", F.col(area)))
-       .write.mode("overwrite").partitionBy("area").csv(root))
+    keyed = df.withColumn("area", F.format_string("%02d", F.col(area)))
+    for_folders(keyed, "area").write.mode("overwrite").partitionBy("area").csv(root)
 
 
 def read_located(spark: SparkSession, paths: Sequence[str],
