@@ -91,3 +91,18 @@ def test_profile_sums_under_skew(hot_events, hot_pdf):
     assert len(merged) == len(got) == len(want)
     for c in PROFILE_COLUMNS:
         assert np.allclose(merged[c], merged[c + "_w"], rtol=0, atol=1e-9)
+
+
+def test_hourly_points_under_skew(hot_events, hot_pdf):
+    from cellpulse.plans.spatial import KEYS
+    from cellpulse.operators.spatial import unpivot_hours
+    got = unpivot_hours(fixtures.wide_locations(hot_events), KEYS).toPandas()
+    pdf = hot_pdf.copy()
+    ts = pd.to_datetime(pdf["ts"])
+    pdf["dt"], pdf["hr"] = ts.dt.date, ts.dt.hour
+    top = pdf.groupby(["user_id", "dt", "hr"])["event_id"].max().reset_index()
+    top["x"] = 121.4 + (top["event_id"] % 170) / 1000.0
+    top["y"] = 31.17 + (top["event_id"] % 131) / 1000.0
+    want = {(r.user_id, r.dt, r.hr, r.x, r.y) for r in top.itertuples()}
+    assert {(r.user_id, r.dt, r.hr, r.x, r.y) for r in got.itertuples()} == want
+    assert (got["user_id"] == 0).sum() == len(top[top["user_id"] == 0])
