@@ -354,3 +354,13 @@ def test_device_log_gbk_encoding(spark):
         assert rows(df) == [(201512, "abc", "华为")]
     finally:
         spark.conf.unset(key)
+
+
+def test_label_strategies_agree(spark):
+    from cellpulse.plans.device import DeviceInputs
+    from conftest import SF_SMALL
+    d = DeviceInputs(spark, SF_SMALL, reuse=True)
+    grouped = change.label_previous_period(d.snap, d.targets, d.switch)
+    joined = change.label_previous_period(d.snap, d.targets, d.switch, strategy="join")
+    assert grouped.count() == joined.count()
+    assert grouped.exceptAll(joined).count() == 0 and joined.exceptAll(grouped).count() == 0
