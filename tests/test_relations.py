@@ -91,3 +91,18 @@ def test_tags_from_usage_equals_registered_tags(spark):
     p = ProfileInputs(spark, SF_SMALL)
     got = tags_from_usage(usage_rows(p.events))
     assert got.exceptAll(p.tags).count() == 0 and got.count() == p.tags.count()
+
+
+def test_usage_stream_folds_partials_across_batches(spark):
+    src = scratch_path(spark, "t-stream-src")
+    spark.read.parquet(f"{SF_SMALL}/events.parquet").repartition(4).write.parquet(src)
+    out = scratch_path(spark, "t-stream-out")
+    q = stream.start_partial_sums(stream.event_stream(spark, src, "*.parquet",
+                                                      max_files_per_trigger=1), out)
+    q.awaitTermination(180)
+    batches = spark.read.parquet(out).select("batch_id").distinct().count()
+    got = stream.read_usage_sums(spark, out)
+    want = ProfileInputs(spark, SF_SMALL).prof
+    assert batches == 4
+    assert got.count() == want.count()
+    assert got.exceptAll(want.select(*got.columns)).count() == 0
