@@ -77,3 +77,9 @@ def test_period_filter_prunes_device_log_folders(spark):
     plan = plan_text(one)
     assert re.search(r"PartitionFilters: \[[^\]]*period[^\]]*= 12", plan), plan
     assert one.count() == DeviceInputs(spark, SF_SMALL).targets.count()
+
+
+def test_date_filter_reaches_parquet_as_ts_range(plans):
+    plan = plans["where_date"]
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(ts,2024-01-05", plan), plan
+    assert re.search(r"PushedFilters: \[[^\]]*LessThan\(ts,2024-01-06", plan), plan
