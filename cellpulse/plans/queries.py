@@ -32,6 +32,7 @@ REGISTRY: dict[str, Query] = {}
 
 CATEGORICAL = DEVICE_CATEGORICAL
 NUMERIC = DEVICE_NUMERIC
+REPORT_AREA, REPORT_HOUR = 0, 10   # the tag report covers one area and one hour
 
 
 def register(name: str):
@@ -185,9 +186,9 @@ def cluster_centres(spark, sf_dir):
 
 @register("located_with_tags")
 def located_with_tags(spark, sf_dir):
-    clus = SpatialInputs(spark, sf_dir).clus
+    clus = SpatialInputs(spark, sf_dir, hour=REPORT_HOUR).clus
     tags = ProfileInputs(spark, sf_dir, reuse=True).tags
-    return spatial_op.located_with_tags(clus, tags, area=0, hour=10)
+    return spatial_op.located_with_tags(clus, tags, area=REPORT_AREA, hour=REPORT_HOUR)
 
 
 @register("sql_report_filter")
@@ -195,14 +196,14 @@ def sql_report_filter(spark, sf_dir):
     """The report as SQL text over named views."""
     tag = uuid.uuid4().hex[:8]
     loc, tg = f"located_{tag}", f"usertag_{tag}"
-    SpatialInputs(spark, sf_dir).clus.createOrReplaceTempView(loc)
+    SpatialInputs(spark, sf_dir, hour=REPORT_HOUR).clus.createOrReplaceTempView(loc)
     ProfileInputs(spark, sf_dir, reuse=True).tags.createOrReplaceTempView(tg)
     fcols = ", ".join(f"u.{c}" for c in PROFILE_COLUMNS)
     return spark.sql(f"""
         select s.user_id, s.dt, s.hr, s.x, s.y, s.areaid, s.clusterid,
                u.user_id as tag_user_id, {fcols}
         from {loc} s left outer join {tg} u on s.user_id = u.user_id
-        where s.areaid = 0 and s.hr = 10 and s.clusterid = 0""")
+        where s.areaid = {REPORT_AREA} and s.hr = {REPORT_HOUR} and s.clusterid = 0""")
 
 
 @register("where_date")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..constants import AREA_BOXES, CLUSTER_CENTRES
 from ..operators import spatial as op
@@ -13,9 +14,19 @@ KEYS = ["user_id", "dt"]
 
 
 class SpatialInputs:
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    """Derived location frames for one data directory.
+
+    ``hour`` keeps only that hour of the day. A located record's hour is
+    ``hour(ts)`` of the events it comes from, so filtering the events gives
+    exactly the rows a later ``hr == hour`` filter would keep; Catalyst
+    cannot push that filter through the unpivot generator itself, so a
+    one-hour report asks for it here and aggregates 1/24 of the events.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, hour: int | None = None):
         self.spark = spark
-        self.events = read_table(spark, sf_dir, "events")
+        events = read_table(spark, sf_dir, "events")
+        self.events = events if hour is None else events.where(F.hour("ts") == hour)
 
     @property
     def log(self) -> DataFrame:

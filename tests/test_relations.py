@@ -106,3 +106,10 @@ def test_usage_stream_folds_partials_across_batches(spark):
     assert batches == 4
     assert got.count() == want.count()
     assert got.exceptAll(want.select(*got.columns)).count() == 0
+
+
+def test_hour_filtered_inputs_equal_filtering_afterwards(spark):
+    full = SpatialInputs(spark, SF_CHECK).clus.where(F.col("hr") == 10)
+    early = SpatialInputs(spark, SF_CHECK, hour=10).clus
+    assert early.count() == full.count()
+    assert early.exceptAll(full).count() == 0
