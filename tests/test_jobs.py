@@ -31,3 +31,20 @@ def test_profile_and_spatial_jobs(spark):
     assert spark.read.parquet(f"{out3}/report").exceptAll(report).count() == 0
     assert report.columns[:7] == ["user_id", "dt", "hr", "x", "y", "areaid", "clusterid"]
     assert report.where("areaid != 0 or hr != 10").count() == 0
+
+
+def test_cli_runs_a_job_with_scale_settings(spark):
+    from cellpulse.session import scale_conf
+    keys = list(scale_conf(10**9))
+    before = {k: spark.conf.get(k, None) for k in keys}
+    out = scratch_path(spark, "t-cli")
+    try:
+        jobs.main(["profile", "--data", SF_SMALL, "--out", out, "--input-bytes", str(10**9)])
+        assert io.read_tags(spark, f"{out}/profile/tags").count() > 0
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == str(256 << 20)
+    finally:   # the session is shared with the other tests
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
