@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellpulse.session import scratch_path
 from cellpulse.sources.tables import read_table
 
 #: Words are maximal runs of anything but these bytes (space, tab to carriage return).
@@ -23,6 +24,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, and safe from lost executors.
+
+    Unlike a checkpoint it is small on disk and forgets how its rows are
+    dealt out, so a later join by a hot key can be split.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of a text (null: no words)."""
     parts = F.split(F.coalesce(text, F.lit("")), SPACE_CLASS)

@@ -11,22 +11,43 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cellpulse.llm import bpe, substring_dedup
+from cellpulse.llm import bpe, ctw, decontaminate, pii, quality, simhash, substring_dedup
 from cellpulse.llm.common import documents, ship_package
+from cellpulse.sources.tables import read_table
 
 #: Vocabulary of the encoding query.
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir)).drop("h")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
     return bpe.encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN, with_ids=False)
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(documents(spark, sf_dir))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(documents(spark, sf_dir), with_text=False)
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents(spark, sf_dir))
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -35,7 +56,8 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return run
 
 
-REGISTRY = {q.__name__: _shipped(q) for q in (op5_bpe, op7_substring_dedup)}
+REGISTRY = {q.__name__: _shipped(q) for q in (
+    op1_quality_classifier, op3_simhash, op5_bpe, op6_lm_score, op7_substring_dedup, op9_decontaminate, op10_pii)}
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
 ORACLE: dict[str, str] = {}
