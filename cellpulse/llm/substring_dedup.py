@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cellpulse.llm.common import lists, slices, text_bytes, words_of
+from cellpulse.llm.common import lists, slices, text_bytes, words_of, written
 
 GRAM = 6
 #: Odd base of the polynomials modulo 2**64 and its inverse.
@@ -232,13 +232,15 @@ def dedup(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: st
     ``doc_id`` must be integral; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    keyed = rows.withColumn("key", F.coalesce("doc_id", F.lit(NULL_ID)))
+    # Just these two columns, so that both joins by key share one exchange of the texts.
+    keyed = rows.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), "text")
     text_hash = F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF))
     hashed = F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w))
 
     anchors = (keyed.select("key", text_hash.alias("h"), hashed.alias("words"))
                .mapInArrow(_find_anchors(width), "anchor bigint, key bigint, pos bigint"))
-    counts = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    # A table of its own: Spark splits a hot anchor's side of a join between plain exchanges only.
+    counts = written(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
     salts = F.ceil(F.col("n") / PER_TASK)
     salt = F.when(salts > 1, F.pmod(F.xxhash64("key", "pos"), salts)).otherwise(F.lit(-1)).cast("long")
     runs = (anchors.join(counts, "anchor")
@@ -260,5 +262,5 @@ def dedup(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: st
 
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
     return (keyed.join(removed, "key", "left")
-            .select("doc_id", "text", text_hash.alias("h"), "removed")
+            .select(F.when(F.col("key") != NULL_ID, F.col("key")).alias("doc_id"), "text", text_hash.alias("h"), "removed")
             .mapInArrow(_keep(width, with_text), schema + (", kept string" if with_text else "")))
