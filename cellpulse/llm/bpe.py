@@ -17,18 +17,23 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellpulse.llm.common import text_bytes
+from cellpulse.llm.common import slices, text_bytes
 
 #: Pieces whose ids are remembered per Python worker; the memory is emptied when full.
-PIECE_MEMORY = 400_000
+PIECE_MEMORY = 800_000
+#: Token pairs whose test is remembered.
 PAIR_MEMORY = 2_000_000
+#: Characters of text split at a time.
+STEP_CHARS = 4_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -70,32 +75,58 @@ class PrefixBPE:
         ``before`` is -1 at the start of a piece: then the token must be what
         its own bytes encode to.
         """
-        key = (before, token)
-        known = self._pairs.get(key)
-        if known is None:
-            if len(self._pairs) >= PAIR_MEMORY:
-                self._pairs.clear()
-            if before < 0:
-                known = self._merge(self.bytes_of[token]) == [token]
-            else:
-                known = self._merge(self.bytes_of[before] + self.bytes_of[token]) == [before, token]
-            self._pairs[key] = known
-        return known
-
-    def last_token(self, data: bytes, last: list[int], end: int) -> int:
-        """Valid last token of ``data[:end]``, given those of all shorter prefixes."""
-        get = self.ranks.get
-        for start in range(max(0, end - self.longest), end):
-            token = get(data[start:end])
-            if token is not None and self.fits(last[start - 1] if start else -1, token):
-                return token
-        raise AssertionError("every prefix has a last token")
+        if before < 0:
+            return self._merge(self.bytes_of[token]) == [token]
+        return self._merge(self.bytes_of[before] + self.bytes_of[token]) == [before, token]
+
+    def extend(self, data: bytes, last: list[int], to: int | None = None) -> None:
+        """Append the valid last tokens of the prefixes ``len(last) + 1`` to ``to`` (default: all) of ``data``."""
+        get, pairs, longest = self.ranks.get, self._pairs, self.longest
+        known = pairs.get
+        for end in range(len(last) + 1, (len(data) if to is None else to) + 1):
+            for start in range(end - longest if end > longest else 0, end):
+                token = get(data[start:end])
+                if token is None:
+                    continue
+                before = last[start - 1] if start else -1
+                key = (before + 1) << 32 | token
+                fits = known(key)
+                if fits is None:
+                    if len(pairs) >= PAIR_MEMORY:
+                        pairs.clear()
+                    fits = pairs[key] = self.fits(before, token)
+                if fits:
+                    last.append(token)
+                    break
+
+    def walk(self, last: list[int]) -> list[int]:
+        """Ids of the whole prefix table, read from its end."""
+        out, end, bytes_of = [], len(last), self.bytes_of
+        while end:
+            token = last[end - 1]
+            out.append(token)
+            end -= len(bytes_of[token])
+        return out[::-1]
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one piece (one match of the split pattern)."""
         whole = self.ranks.get(piece)
         return [whole] if whole is not None else PrefixTable(self, piece).ids()
 
+    def encode_sorted(self, pieces: list[bytes]) -> Iterator[list[int]]:
+        """Ids of each of ``pieces``, which are in order: each keeps the table of what it shares with the last."""
+        data, last = b"", []
+        for piece in pieces:
+            whole = self.ranks.get(piece)
+            if whole is not None:
+                yield [whole]
+                continue
+            shared = len(os.path.commonprefix((data, piece)))
+            data = piece
+            del last[shared:]
+            self.extend(data, last)
+            yield self.walk(last)
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids])
 
@@ -110,8 +141,7 @@ class PrefixTable:
     def append(self, more: bytes) -> None:
         """Exact append: entries that exist stay as they are."""
         self.data += more
-        for end in range(len(self.last) + 1, len(self.data) + 1):
-            self.last.append(self.bpe.last_token(self.data, self.last, end))
+        self.bpe.extend(self.data, self.last)
 
     def edit(self, start: int, end: int, new: bytes) -> int:
         """Replace ``data[start:end]`` by ``new``; returns the entries computed anew.
@@ -125,8 +155,8 @@ class PrefixTable:
         self.last = old_last[:start]
         agree, done = 0, 0
         for at in range(start + 1, len(self.data) + 1):
-            token = self.bpe.last_token(self.data, self.last, at)
-            self.last.append(token)
+            self.bpe.extend(self.data, self.last, at)
+            token = self.last[-1]
             done += 1
             old_at = at - shift
             same = at > start + len(new) and old_at > end and old_last[old_at - 1] == token
@@ -137,12 +167,7 @@ class PrefixTable:
         return done
 
     def ids(self) -> list[int]:
-        out, end = [], len(self.last)
-        while end:
-            token = self.last[end - 1]
-            out.append(token)
-            end -= len(self.bpe.bytes_of[token])
-        return out[::-1]
+        return self.bpe.walk(self.last)
 
 
 class Codec:
@@ -153,18 +178,20 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.known: dict[str, tuple[str, bytes]] = {}
 
-    def __call__(self, text: str) -> tuple[str, bytes]:
-        """(decimal ids joined by spaces, bytes the ids decode to)."""
-        pieces = self.find(text)
-        known = self.known
-        if len(known) > PIECE_MEMORY:
-            known.clear()
-        for piece in pieces:
-            if piece not in known:
-                ids = self.bpe.encode_piece(piece.encode())
-                known[piece] = (" ".join(map(str, ids)), self.bpe.decode(ids))
-        both = [known[piece] for piece in pieces]
-        return " ".join([b[0] for b in both]), b"".join([b[1] for b in both])
+    def __call__(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """(decimal ids joined by spaces, bytes the ids decode to) of each text."""
+        split = [self.find(text) for text in texts]
+        new = set().union(*split).difference(self.known)
+        if len(self.known) + len(new) > PIECE_MEMORY:
+            self.known.clear()
+            new = set().union(*split)
+        order = sorted(piece.encode() for piece in new)
+        for piece, ids in zip(order, self.bpe.encode_sorted(order)):
+            self.known[piece.decode()] = (" ".join(map(str, ids)), self.bpe.decode(ids))
+        known = self.known.__getitem__
+        for pieces in split:
+            ids, decoded = zip(*map(known, pieces)) if pieces else ((), ())
+            yield " ".join(ids), b"".join(decoded)
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -196,12 +223,13 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         both = codec(path, pattern)
         for batch in batches:
             out = []
-            for raw in text_bytes(batch.column(1)):
-                ids, decoded = both(raw.decode())
-                row = (ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(),
-                       hashlib.sha256(decoded).hexdigest())
-                out.append((*row, [int(i) for i in ids.split()], decoded.decode(errors="replace"))
-                           if with_ids else row)
+            texts = [raw.decode() for raw in text_bytes(batch.column(1))]
+            for lo, hi in slices(np.array([len(t) for t in texts], np.int64), STEP_CHARS):
+                for ids, decoded in both(texts[lo:hi]):
+                    row = (ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(),
+                           hashlib.sha256(decoded).hexdigest())
+                    out.append((*row, [int(i) for i in ids.split()], decoded.decode(errors="replace"))
+                               if with_ids else row)
             columns = list(zip(*out)) or [()] * (5 if with_ids else 3)
             types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
             arrays = [batch.column(0)] + [pa.array(c, t) for c, t in zip(columns, types)]
