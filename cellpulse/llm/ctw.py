@@ -31,7 +31,6 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -81,7 +80,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     y = x + 7
     shift = np.log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6))
     inv = 1 / y
-    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + inv / 12 - inv ** 3 / 360 + inv ** 5 / 1260 - shift
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + inv / 12 - inv ** 3 / 360 + inv ** 5 / 1260 - inv ** 7 / 1680 - shift
 
 
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:

@@ -43,8 +43,8 @@ def fit(patterns: list[tuple[int, ...]], counts: list[int], rounds: int = 200,
     at all give the starting model; a pattern of abstentions only stays at
     the class prior.
     """
-    votes = np.array(patterns, dtype=np.int64).reshape(len(patterns), -1)
-    n = votes.shape[1] if len(patterns) else 0
+    n = len(patterns[0]) if patterns else 0
+    votes = np.array(patterns, dtype=np.int64).reshape(len(patterns), n)
     weight = np.array(counts, dtype=float)
     base = np.empty((n, 2, 3))
     base[:, 0] = (1.0, anchor, 1 - anchor)

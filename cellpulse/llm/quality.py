@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from cellpulse.llm import label_model
-from cellpulse.llm.common import text_bytes, written
+from cellpulse.llm.common import lists, text_bytes, written
 
 #: Documents that train the scorers, at most (half of them from either side, smallest hash first).
-TRAINING_DOCS = 6_000
+TRAINING_DOCS = 12_000
 #: Slots of the hashed features.
 SIZE = 1 << 16
 #: Bytes of a word's start that make its feature: inflected forms share it.
@@ -211,19 +211,22 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
         for side in (good, bad):
             if side:
                 wanted = F.col(question).isin([F.array(*[F.lit(v) for v in p]) for p in side])
-                picked += (voted.where(wanted).dropDuplicates(["h"]).orderBy("h").limit(training_docs // 4).collect())
+                # Copies of a text differ at most in the annotator's vote, the last one.
+                picked += (voted.where(wanted).groupBy("h").agg(F.max("quality").alias("quality"), F.max("toxicity").alias("toxicity"))
+                           .orderBy("h").limit(training_docs // 4).collect())
     chosen = {r["h"]: r for r in picked}
     weights = {}
     if chosen:
         # A literal list, so the scan filters by itself; its length is bounded by training_docs.
         sample = (rows.select("h", "text").where(F.col("h").isin(sorted(chosen))).dropDuplicates(["h"])
-                  .mapInArrow(_sparse, "h bigint, slots array<int>, shares array<float>").collect())
-        sample.sort(key=lambda r: r["h"])
-        matrix = [(np.array(r["slots"]), np.array(r["shares"], dtype=float)) for r in sample]
+                  .mapInArrow(_sparse, "h bigint, slots array<int>, shares array<float>").toArrow().sort_by("h"))
+        flat, offsets = lists(sample["slots"])
+        shares, _ = lists(sample["shares"])
+        matrix = [(flat[x:y], shares[x:y].astype(float)) for x, y in zip(offsets[:-1], offsets[1:])]
     for question in ("quality", "toxicity"):
         if chosen:
-            target = models[question].posterior(np.array([chosen[r["h"]][question] for r in sample]))
-            weights[question] = label_model.logistic(matrix, target, SIZE)
+            target = models[question].posterior(np.array([chosen[h][question] for h in sample["h"].to_pylist()]))
+            weights[question] = label_model.logistic(matrix, target, SIZE, rounds=150, penalty=5e-5)
         else:
             weights[question] = np.zeros(SIZE + 1)
     return Classifier(models, weights)

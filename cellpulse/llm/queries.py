@@ -10,8 +10,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cellpulse.llm import bpe, ctw, decontaminate, pii, quality, simhash, substring_dedup
+from cellpulse.llm import ann, bpe, ctw, decontaminate, pii, quality, secret_scan, simhash, sql, substring_dedup, url_filter
 from cellpulse.llm.common import documents, ship_package
 from cellpulse.sources.tables import read_table
 
@@ -23,10 +24,18 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).drop("h")
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
     return bpe.encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN, with_ids=False)
@@ -40,6 +49,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(documents(spark, sf_dir), with_text=False)
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(documents(spark, sf_dir)).drop("h")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
 
@@ -57,7 +70,8 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 REGISTRY = {q.__name__: _shipped(q) for q in (
-    op1_quality_classifier, op3_simhash, op5_bpe, op6_lm_score, op7_substring_dedup, op9_decontaminate, op10_pii)}
+    op1_quality_classifier, op2_nearest_neighbours, op3_simhash, op4_url_filter, op5_bpe, op6_lm_score,
+    op7_substring_dedup, op8_secret_scan, op9_decontaminate, op10_pii)}
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = sql.ORACLE

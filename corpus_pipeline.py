@@ -1,7 +1,8 @@
 """Training-data pipeline over ``documents``: five stages, each one operator.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
-it as Parquet and reads it back as the next stage's documents.
+it as Parquet and reads it back as the next stage's documents. All but the
+last return the columns of ``documents``.
 """
 
 from __future__ import annotations
@@ -9,32 +10,59 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cellpulse.llm import bpe
+from cellpulse.llm import bpe, decontaminate, quality, secret_scan, simhash
 from cellpulse.llm.common import documents, ship_package
 from cellpulse.llm.queries import VOCABULARY
 from cellpulse.session import scratch_path
+from cellpulse.sources.tables import read_table
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the quality classifier rejects (no words, junk, abuse)."""
+    ship_package(spark)
+    return quality.keep_good(docs, read_table(spark, sf_dir, "labels"))
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the smallest doc_id of each SimHash component."""
+    ship_package(spark)
+    return simhash.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that cover a benchmark item."""
+    ship_package(spark)
+    return decontaminate.keep_clean(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace secrets in the texts; all documents stay."""
+    return secret_scan.redact(docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode each text; digests and counts, one row per document."""
+    """Encode each text; counts, digests and ids, one row per document."""
     ship_package(spark)
-    path = public_tokenizers.path(VOCABULARY)
-    return bpe.encode(docs, path, public_tokenizers.PATTERN, with_ids=False)
+    return bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, with_ids=False)
 
 
 STAGES = [
-    ("byte-level BPE", encode_tokens),
+    ("quality classifier", keep_good),
+    ("SimHash near-dedup", keep_one_of_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("secret scans", redact_secrets),
+    ("byte-level BPE encoding and decoding", encode_tokens),
 ]
 
-#: No SQL states the trained stages; tests hold them against brute force.
+#: Trained stages and byte-pair merges have no SQL; tests hold the result against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``, each written to the shared folder and reread."""
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES:
-        path = scratch_path(spark, "pipeline-" + name.replace(" ", "-"))
+    for number, (_, stage) in enumerate(STAGES, 1):
+        path = scratch_path(spark, f"pipeline-{number}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

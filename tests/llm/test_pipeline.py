@@ -1,0 +1,49 @@
+"""The pipeline against its stages done plainly, and stages on awkward tables."""
+
+import public_tokenizers as P
+import tiktoken
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from cellpulse.llm import bpe, decontaminate, quality, secret_scan, simhash
+from llm_frames import SF_SMALL, awkward, nothing, shipped  # noqa: F401
+
+
+def test_stages_are_named_and_registered():
+    assert [n for n, _ in corpus_pipeline.STAGES] == [
+        "quality classifier", "SimHash near-dedup", "benchmark decontamination", "secret scans",
+        "byte-level BPE encoding and decoding"]
+    names = entry.queries()
+    assert "pipeline" in names
+    for n in range(1, 11):
+        assert sum(k.startswith(f"op{n}_") for k in names) == 1
+
+
+def test_run_equals_the_operators_one_by_one(spark):
+    docs, labels, bench = (spark.read.parquet(f"{SF_SMALL}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
+    left = {r.doc_id: r.text for r in docs.collect()}
+    kept = {r.doc_id for r in quality.classify(docs, labels).collect() if r.keep}
+    left = {i: t for i, t in left.items() if i in kept}
+    frame = docs.where(docs["doc_id"].isin(sorted(left)))
+    left = {r.doc_id: left[r.doc_id] for r in simhash.near_duplicates(frame).collect() if r.doc_id == r.component_id}
+    leaked = {r.doc_id for r in decontaminate.matches(frame, bench).collect()}
+    left = {i: t for i, t in left.items() if i not in leaked}
+    frame = docs.where(docs["doc_id"].isin(sorted(left)))
+    for r in sorted(secret_scan.scan(frame).where("secret").collect(), key=lambda r: -r.start):
+        left[r.doc_id] = left[r.doc_id][:r.start] + secret_scan.MASK + left[r.doc_id][r.end:]
+    reference = tiktoken.Encoding("own", pat_str=P.PATTERN, special_tokens={},
+                                  mergeable_ranks=bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")))
+    got = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, SF_SMALL).collect()}
+    assert got == {i: len(reference.encode_ordinary(t)) for i, t in left.items()}
+    assert 0 < len(got) < docs.count() and leaked
+
+
+def test_stages_on_awkward_and_empty_tables(spark, awkward, nothing):
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    for docs in (awkward.select(*columns), nothing.select(*columns)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, SF_SMALL)
+            assert out.columns == columns, name
+            assert out.dtypes == docs.dtypes, name
+            assert out.count() <= docs.count()
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, SF_SMALL).count() == docs.count()

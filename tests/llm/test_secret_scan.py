@@ -1,0 +1,79 @@
+"""Secret scan: spans, judgement on generated cases, redaction, awkward rows."""
+
+import base64
+import hashlib
+import random
+
+from cellpulse.llm import queries, secret_scan
+from llm_frames import SF_CHECK, SF_SMALL, awkward, make, nothing, prose, shipped  # noqa: F401
+
+
+def cases(n=60):
+    rng = random.Random(12)
+    rows, secret = [], {}
+    for i in range(n):
+        value = hashlib.sha1(str(i).encode()).hexdigest()
+        b64 = base64.b64encode(hashlib.sha256(str(i).encode()).digest()).decode()
+        text, found = rng.choice([
+            (f'token = "{value}"', value), (f'{prose(rng, 4)} token = "{value.upper()}"!! {prose(rng, 3)}', value.upper()),
+            (f"api_key: {b64}", b64), ("-----BEGIN RSA PRIVATE KEY-----\nxyz", "-----BEGIN RSA PRIVATE KEY-----"),
+            (f"pay with {rng.randrange(10**15, 10**16)} now", None), (f"see commit {value} for more", None),
+            (f"open /static/assets/page{i}/index_{i}_default.html there", None), (prose(rng, 30), None)])
+        rows.append((i, f"😀 {prose(rng, 5)} {text} {prose(rng, 5)}"))
+        secret[i] = found
+    return rows, secret
+
+
+def test_finds_secrets_and_drops_false_positives(spark):
+    rows, secret = cases()
+    text = dict(rows)
+    got = secret_scan.scan(make(spark, rows)).collect()
+    for r in got:
+        value = text[r.doc_id][r.start:r.end]
+        assert hashlib.sha256(value.encode()).hexdigest() == r.value_sha256
+        assert r.secret == (r.probability >= 0.5)
+    flagged = {(r.doc_id, text[r.doc_id][r.start:r.end]) for r in got if r.secret}
+    assert flagged == {(i, v) for i, v in secret.items() if v}
+    assert sum(not r.secret for r in got) > 5
+
+
+def test_every_token_of_the_table_is_found(spark):
+    import re
+    docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet")
+    want = {(r.doc_id, m.start(1), m.end(1)) for r in docs.collect() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', r.text)}
+    got = {(r.doc_id, r.start, r.end) for r in secret_scan.scan(docs).where("secret").collect()}
+    assert want and got == want
+
+
+def test_redaction_keeps_all_rows_and_columns(spark):
+    rows, secret = cases()
+    docs = make(spark, [*rows, rows[0], (None, rows[1][1]), (70, None), (71, "")])
+    out = secret_scan.redact(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    assert out.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
+    for r in out.collect():
+        if r.doc_id in secret:
+            before = dict(rows)[r.doc_id]
+            value = secret[r.doc_id]
+            assert r.text == (before.replace(value, secret_scan.MASK) if value else before)
+            assert r.n_chars == len(r.text)
+        elif r.doc_id is None:
+            assert secret[1] is None or secret[1] not in r.text
+
+
+def test_awkward_rows_and_empty_table(spark, awkward, nothing):
+    assert {r.doc_id for r in secret_scan.scan(awkward).collect()} <= {r.doc_id for r in awkward.collect()}
+    assert secret_scan.redact(awkward).count() == awkward.count()
+    assert secret_scan.scan(nothing).collect() == []
+    assert secret_scan.redact(nothing).collect() == []
+
+
+def test_same_forest_however_the_rows_lie(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    one, other = (sorted(map(tuple, secret_scan.scan(d).collect())) for d in (docs, docs.repartition(5, "source")))
+    assert one == other
+
+
+def test_plan_has_no_python(spark):
+    plan = queries.REGISTRY["op8_secret_scan"](spark, SF_SMALL)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "InArrow" not in plan and "InPandas" not in plan
