@@ -83,12 +83,19 @@ CLUSTER_CENTRES = {
 SKIPPED_PERIODS = (1, 9)
 
 # ---------------------------------------------------------------------------
-# Device model: the period scored, and the features (one categorical column,
-# three numeric columns) of the previous period's record.
+# Device record: its eleven fields, the five categories and two numbers that
+# the forest reads, and the period scored.
 # ---------------------------------------------------------------------------
+DEVICE_COLUMNS = [
+    ("period", "int"), ("user_id", "bigint"), ("net", "string"), ("gender", "string"), ("age", "string"),
+    ("arpu", "string"), ("vendor", "string"), ("dtype", "string"), ("bytes", "string"), ("voice", "int"), ("sms", "int"),
+]
+DEVICE_FIELDS = [name for name, _ in DEVICE_COLUMNS]
+DEVICE_BEHAVIOUR = DEVICE_FIELDS[2:]
+CATEGORY_COLUMNS = ["net", "gender", "age", "arpu", "vendor", "dtype", "bytes"]
+DEVICE_CATEGORICAL = ["net", "gender", "age", "arpu", "bytes"]
+DEVICE_NUMERIC = ["voice", "sms"]
 LAST_PERIOD = 12
-DEVICE_CATEGORICAL = ["vendor"]
-DEVICE_NUMERIC = ["dtype", "voice", "sms"]
 
 # ---------------------------------------------------------------------------
 # Random-forest settings of the original training run, and the

@@ -13,22 +13,39 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..constants import SKIPPED_PERIODS
+from ..constants import DEVICE_BEHAVIOUR, SKIPPED_PERIODS
 
 
-def latest_per_key(df: DataFrame, keys: Sequence[str], order_col: str,
-                   cols: Sequence[str]) -> DataFrame:
+def latest_per_key(df: DataFrame, keys: Sequence[str], order_col: str, cols: Sequence[str],
+                   keep_order: bool = False, max_codes: int = 256) -> DataFrame:
     """One row per ``keys``: the ``cols`` of the row with the largest ``order_col``.
 
     A group-by with ``max_by`` rather than a ``row_number`` window, so each
     map task reduces its rows before the shuffle: a key holding a third of
     all rows costs one partial row per task, not one huge window partition.
-    (The buffer holds strings, so Spark plans a sort-based aggregate; it is
-    still partial before the shuffle and spills rather than fails.)
+
+    Spark hash-aggregates only values of fixed width. A text column with at
+    most ``max_codes`` distinct values is therefore replaced by their
+    positions in that list, which become literals, and decoded after the
+    aggregate; with more values the column stays as it is, and the same
+    result comes from a sort-based aggregate. ``order_col`` must be unique
+    within a key; ``keep_order`` returns it as well.
     """
-    picked = F.max_by(F.struct(*[F.col(c) for c in cols]), F.col(order_col)).alias("_r")
-    return (df.groupBy(*keys).agg(picked)
-              .select(*keys, *[F.col(f"_r.{c}").alias(c) for c in cols]))
+    coded: dict[str, list[str]] = {}
+    for c in cols:
+        if dict(df.dtypes)[c] == "string":
+            found = df.select(c).where(F.col(c).isNotNull()).distinct().limit(max_codes + 1).collect()
+            if len(found) <= max_codes:
+                coded[c] = sorted(r[0] for r in found)
+    picks = []
+    for c in cols:
+        value = F.array_position(F.lit(coded[c]), F.col(c)).cast("int") if coded.get(c) else F.col(c)
+        picks.append(F.max_by(value, F.col(order_col)).alias(c))
+    if keep_order:
+        picks.append(F.max(order_col).alias(order_col))
+    out = df.groupBy(*keys).agg(*picks)
+    decoded = {c: F.element_at(F.lit(names), F.col(c)) for c, names in coded.items() if names}
+    return out.withColumns(decoded) if decoded else out
 
 
 def changed_between_periods(snap: DataFrame, targets: DataFrame, key: str = "user_id",
@@ -79,29 +96,22 @@ def periods_with_changes(snap: DataFrame, period: str = "period",
 
 def label_previous_period(snap: DataFrame, targets: DataFrame, changes: DataFrame,
                           key: str = "user_id", period: str = "period",
-                          behaviour: Sequence[str] = ("vendor", "dtype", "voice", "sms"),
+                          behaviour: Sequence[str] = DEVICE_BEHAVIOUR,
                           skip: Sequence[int] = SKIPPED_PERIODS,
-                          strategy: str = "group") -> DataFrame:
+                          periods: Sequence[int] | None = None) -> DataFrame:
     """Every target in every labelled period p: its behaviour in p-1 and a 0/1 label.
 
     label = 1 when the target is in ``changes`` for p; the output has exactly
     |targets| x |periods| rows (targets are a set of keys). The period grid
-    is ``explode`` of a scalar subquery, not a cross join.
+    is ``explode`` of a scalar subquery, not a cross join; ``periods`` gives it
+    instead, for a snapshot that holds some periods only.
 
-    ``strategy='group'`` (default) unions the grid, the snapshot shifted by
-    one period and the change rows, and folds them with one group-by on
-    (key, period): a single shuffle, no sort-merge joins. ``'join'`` is the
-    same result as two left joins, cheaper only when AQE can broadcast both
-    right sides.
+    The grid, the snapshot shifted by one period and the change rows are
+    unioned and folded by one group-by on (key, period): a single shuffle, no
+    sort-merge joins.
     """
-    grid = targets.select(key, F.explode(periods_with_changes(snap, period, skip)).alias(period))
-    if strategy == "join":
-        prev = snap.select(key, (F.col(period) + 1).alias(period), *behaviour)
-        flagged = changes.select(key, period, F.lit(1).alias("_hit"))
-        return (grid.join(prev, [key, period], "left")
-                    .join(flagged, [key, period], "left")
-                    .select(period, key, *behaviour,
-                            F.when(F.col("_hit").isNull(), 0).otherwise(1).alias("label")))
+    wanted = periods_with_changes(snap, period, skip) if periods is None else F.lit(list(periods))
+    grid = targets.select(key, F.explode(wanted).alias(period))
     record = T.StructType([T.StructField(c, snap.schema[c].dataType) for c in behaviour])
     none = F.lit(None).cast(record)
     rows = (grid.select(key, period, F.lit(1).alias("_grid"), none.alias("_prev"), F.lit(0).alias("_hit"))

@@ -2,24 +2,24 @@
 
 Splits are hash-based on a key so that a rerun (or a recomputed partition
 after losing an executor) puts every row in the same split; the original
-used an unseeded ``randomSplit``. Training uses ``pyspark.ml``; the
-categorical arity comes from ``StringIndexer`` metadata instead of being
-typed in.
+used an unseeded ``randomSplit``. Training uses ``pyspark.ml`` on assembled
+feature rows; a category's arity comes from the index table, not from a typed
+list.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import NamedTuple
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_root
+from ..session import checkpoint_root, materialize
 
 
 def hash_bucket(key: Column, k: int) -> Column:
@@ -48,14 +48,48 @@ def holdout_split(df: DataFrame, key: Column, weights: Sequence[int] = (8, 1),
     return df.withColumn(split_col, label)
 
 
+def classes_of(df: DataFrame, label: str = "label", prediction: str = "prediction") -> list[int]:
+    """Sorted classes that occur as a label or a prediction (a handful, not data-sized)."""
+    both = df.select(F.explode(F.array(F.col(label).cast("int"), F.col(prediction).cast("int"))).alias("c"))
+    return sorted(r["c"] for r in both.where("c is not null").distinct().collect())
+
+
 def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction",
-              classes: Sequence[int] = (0, 1)) -> DataFrame:
-    """Rows = actual class, columns ``pred_<c>`` = predicted counts (pivot with fixed values)."""
+              classes: Sequence[int] | None = None) -> DataFrame:
+    """k x k counts: a row per actual class, a column ``pred_<c>`` per predicted class.
+
+    ``classes`` (default: all that occur on either side) fixes rows and
+    columns; a class that never occurs as a label has a row of zeros. Rows
+    with a null side are in no cell.
+    """
+    classes = classes_of(df, label, prediction) if classes is None else sorted(classes)
+    spark = df.sparkSession
+    rows = spark.createDataFrame([(c,) for c in classes], "label int")
     p = (df.select(F.col(label).cast("int").alias("label"),
                    F.col(prediction).cast("int").alias("prediction"))
-           .groupBy("label").pivot("prediction", list(classes)).count())
-    return p.select("label", *[F.coalesce(F.col(str(c)), F.lit(0)).cast("bigint")
-                               .alias(f"pred_{c}") for c in classes])
+           .groupBy("label").pivot("prediction", list(classes) or [0]).count())
+    return rows.join(p, "label", "left").select(
+        "label", *[F.coalesce(F.col(str(c)), F.lit(0)).cast("bigint").alias(f"pred_{c}") for c in classes])
+
+
+def class_metrics(conf: DataFrame) -> DataFrame:
+    """Precision, recall, F1 and support of every class, and the overall accuracy (k rows)."""
+    classes = [int(c.removeprefix("pred_")) for c in conf.columns if c.startswith("pred_")]
+    total = sum((F.col(f"pred_{c}") for c in classes), F.lit(0))
+    sums = conf.agg(*[F.sum(f"pred_{c}").alias(f"p{c}") for c in classes],
+                    *[F.sum(F.when(F.col("label") == c, total).otherwise(0)).alias(f"a{c}") for c in classes],
+                    *[F.sum(F.when(F.col("label") == c, F.col(f"pred_{c}")).otherwise(0)).alias(f"t{c}") for c in classes])
+    hits = sum((F.col(f"t{c}") for c in classes), F.lit(0)).cast("double")
+    everything = sum((F.col(f"a{c}") for c in classes), F.lit(0)).cast("double")
+    each = []
+    for c in classes:
+        precision = F.try_divide(F.col(f"t{c}").cast("double"), F.col(f"p{c}").cast("double"))
+        recall = F.try_divide(F.col(f"t{c}").cast("double"), F.col(f"a{c}").cast("double"))
+        each.append(F.struct(
+            F.lit(c).alias("label"), F.col(f"a{c}").alias("support"), precision.alias("precision"), recall.alias("recall"),
+            F.try_divide(F.lit(2.0) * precision * recall, precision + recall).alias("f1"),
+            F.try_divide(hits, everything).alias("accuracy")))
+    return sums.select(F.explode(F.array(*each)).alias("m")).select("m.*")
 
 
 def binary_metrics(conf: DataFrame) -> DataFrame:
@@ -81,63 +115,82 @@ def binary_metrics(conf: DataFrame) -> DataFrame:
         F.try_divide(F.greatest(tp + fn, fp + tn), total).alias("majority_share"))
 
 
-def forest_estimator(categorical: Sequence[str], numeric: Sequence[str], label: str = "label",
-                    **params) -> Pipeline:
-    """StringIndexer (sorted values, unseen -> extra index) + VectorAssembler + forest."""
-    idx = [StringIndexer(inputCol=c, outputCol=f"{c}__ix", stringOrderType="alphabetAsc",
-                         handleInvalid="keep") for c in categorical]
-    vec = VectorAssembler(inputCols=[f"{c}__ix" for c in categorical] + list(numeric),
-                          outputCol="features")
-    rf = RandomForestClassifier(labelCol=label, featuresCol="features", **params)
-    return Pipeline(stages=[*idx, vec, rf])
-
+def assembled(rows: DataFrame, categorical: Sequence[str], numeric: Sequence[str],
+              arity: Mapping[str, int]) -> DataFrame:
+    """Adds ``features``: category indices (nominal, with their arity) and numbers, in this order.
 
-def fit_forest(train: DataFrame, categorical: Sequence[str], numeric: Sequence[str],
-               label: str = "label", **params) -> PipelineModel:
-    """Fit on a persisted input; deep trees cache node ids and checkpoint them
-    to the shared checkpoint folder so a lost executor does not replay all levels."""
-    checkpoint_root(train.sparkSession)
+    The rows must have no null feature (``features.feature_rows``).
+    """
+    out = rows
+    for c in categorical:
+        meta = {"ml_attr": {"name": f"{c}_idx", "type": "nominal", "vals": [str(i) for i in range(arity[c])]}}
+        out = out.withMetadata(f"{c}_idx", meta)
+    inputs = [f"{c}_idx" for c in categorical] + list(numeric)
+    return VectorAssembler(inputCols=inputs, outputCol="features").transform(out)
+
+
+def fit_forest(rows: DataFrame, label: str = "label", **params) -> RandomForestClassificationModel:
+    """Forest on ``label`` and ``features``; deep trees cache node ids and checkpoint
+    them to the shared folder so a lost executor does not replay all levels."""
+    checkpoint_root(rows.sparkSession)
     params.setdefault("cacheNodeIds", True)
     params.setdefault("checkpointInterval", 10)
-    data = train.select(label, *categorical, *numeric).withColumn(label, F.col(label).cast("double"))
-    data = data.persist()
+    data = rows.select(F.col(label).cast("double").alias(label), "features").persist()
     try:
-        return forest_estimator(categorical, numeric, label, **params).fit(data)
+        return RandomForestClassifier(labelCol=label, featuresCol="features", **params).fit(data)
     finally:
         data.unpersist()
 
 
-def score(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+def score(model: RandomForestClassificationModel, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Rows and their predictions stay together (no zip of separate RDDs)."""
-    return model.transform(df).select(*keep, F.col("prediction").cast("int").alias("prediction"))
-
-
-def forest_grid_cv(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str],
-                   grid: Mapping[str, Sequence], fold_col: str = "fold", label: str = "label",
-                   parallelism: int = 4, metric: str = "f1", seed: int = 1) -> DataFrame:
-    """Grid x k-fold search; one row per grid point with the mean and spread
-    of its metric over the folds.
-
-    Folds come from ``fold_col`` (a hash fold) so they are reproducible; the
-    grid points train in parallel. The result is grid-sized.
+    return model.transform(rows).select(*keep, F.col("prediction").cast("int").alias("prediction"))
+
+
+class FoldResult(NamedTuple):
+    """One grid point on one fold: its settings, its model, and how that did on the fold."""
+    point: dict
+    fold: int
+    model: RandomForestClassificationModel
+    n_train: int
+    n_valid: int
+    f_measure: float
+    precision: float
+    recall: float
+
+
+def forest_grid_cv(rows: DataFrame, grid: Mapping[str, Sequence], folds: int, fold_col: str = "fold",
+                   label: str = "label", parallelism: int = 3, seed: int = 1) -> list[FoldResult]:
+    """Grid x k-fold search: a model and its validation figures per grid point and fold.
+
+    The figures are overall ones over all classes, as the original reported:
+    each counts every row once, so F, precision and recall all equal the
+    share of right predictions. Folds come from ``fold_col`` (a hash fold), so
+    they are reproducible; fits run side by side; no model is fitted and
+    thrown away. ``rows`` needs ``features``, ``label`` and ``fold_col`` only,
+    and is computed once.
     """
-    checkpoint_root(df.sparkSession)
-    pipe = forest_estimator(categorical, numeric, label, seed=seed, cacheNodeIds=True,
-                           checkpointInterval=10)
-    rf = pipe.getStages()[-1]
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(rf.getParam(name), list(values))
-    maps = builder.build()
-    ev = MulticlassClassificationEvaluator(labelCol=label, metricName=metric)
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev,
-                        foldCol=fold_col, parallelism=parallelism, seed=seed)
-    data = df.withColumn(label, F.col(label).cast("double")).persist()
-    try:
-        model = cv.fit(data)
-    finally:
-        data.unpersist()
-    rows = [tuple(pm[rf.getParam(n)] for n in grid) + (float(m), float(sd))
-            for pm, m, sd in zip(maps, model.avgMetrics, model.stdMetrics)]
-    cols = list(grid) + [f"mean_{metric}", f"std_{metric}"]
-    return df.sparkSession.createDataFrame(rows, cols)
+    data = materialize(rows.select(F.col(label).cast("double").alias(label), fold_col, "features"))
+    sizes = {r[fold_col]: r["n"] for r in data.groupBy(fold_col).agg(F.count(F.lit(1)).alias("n")).collect()}
+    points = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
+
+    def run(task: tuple[dict, int]) -> FoldResult:
+        point, fold = task
+        model = fit_forest(data.where(F.col(fold_col) != fold), label, seed=seed, **point)
+        scored = model.transform(data.where(F.col(fold_col) == fold))
+        right = scored.agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
+        right = float("nan") if right is None else right
+        return FoldResult(point, fold, model, sum(n for f, n in sizes.items() if f != fold),
+                          sizes.get(fold, 0), right, right, right)
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        return list(pool.map(run, itertools.product(points, range(folds))))
+
+
+def grid_table(spark, results: Sequence[FoldResult]) -> DataFrame:
+    """The figures of a grid search as a frame: a row per grid point and fold."""
+    names = list(results[0].point) if results else []
+    out = [tuple(r.point.values()) + (r.fold, r.n_train, r.n_valid, r.f_measure, r.precision, r.recall) for r in results]
+    kinds = [f"{n} {'string' if isinstance(results[0].point[n], str) else 'int'}" for n in names]
+    return spark.createDataFrame(out, ", ".join(kinds + [
+        "fold int", "n_train bigint", "n_valid bigint", "f_measure double", "precision double", "recall double"]))

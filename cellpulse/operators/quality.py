@@ -18,7 +18,7 @@ def distinct_count(df: DataFrame, col: str, approx: bool = False) -> DataFrame:
     return df.agg(fn(col).alias("n"))
 
 
-def column_profile(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
+def column_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Per column: count, mean, population stdev, max, min over the non-missing
     values, and the number of missing (null or NaN) values.
 
@@ -28,8 +28,8 @@ def column_profile(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataF
     for c in cols:
         ok = f"case when not isnan(`{c}`) then `{c}` end"
         aggs += [F.expr(f"count({ok}) as `{c}__n`"),
-                 F.expr(f"round(avg({ok}), {digits}) as `{c}__mean`"),
-                 F.expr(f"round(stddev_pop({ok}), {digits}) as `{c}__stdev`"),
+                 F.expr(f"avg({ok}) as `{c}__mean`"),
+                 F.expr(f"stddev_pop({ok}) as `{c}__stdev`"),
                  F.expr(f"max({ok}) as `{c}__max`"), F.expr(f"min({ok}) as `{c}__min`"),
                  F.expr(f"count_if(`{c}` is null or isnan(`{c}`)) as `{c}__nan`")]
     one = df.agg(*aggs)

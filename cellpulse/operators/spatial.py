@@ -13,21 +13,6 @@ from ..session import bounded_broadcast
 HOURS = 24
 
 
-def pivot_hours(log: DataFrame, keys: Sequence[str], hour: str = "hr", x: str = "x",
-                y: str = "y", hours: int = HOURS) -> DataFrame:
-    """Long hourly points -> one wide row per ``keys``: x0, y0 .. x23, y23, missing = 0.
-
-    Conditional max per hour, i.e. what ``pivot`` with a fixed value list
-    compiles to, so no extra job discovers the pivot values.
-    """
-    cols = []
-    for h in range(hours):
-        for v in (x, y):
-            cols.append(F.expr(f"coalesce(max(case when `{hour}` = {h} then `{v}` end), 0D) "
-                               f"as {v}{h}"))
-    return log.groupBy(*keys).agg(*cols)
-
-
 def unpivot_hours(wide: DataFrame, keys: Sequence[str], hours: int = HOURS,
                   hour: str = "hr") -> DataFrame:
     """Wide rows -> one row per hour with a valid point (x != 0 and y != 0).
@@ -53,60 +38,70 @@ def _inside(x, y, a: DataFrame):
     return (x.between(a["x_min"], a["x_max"])) & (y.between(a["y_min"], a["y_max"]))
 
 
+def grid_cell(areas: DataFrame, per_side: int = 4) -> float:
+    """Side of the grid cells: the largest box side over ``per_side``, so a box covers at most
+    ``(per_side + 1) ** 2`` cells."""
+    widest = areas.agg(F.max(F.greatest(F.col("x_max") - F.col("x_min"), F.col("y_max") - F.col("y_min")))).first()[0]
+    return max(widest or 0.0, 1e-9) / per_side
+
+
 def assign_area(points: DataFrame, areas: DataFrame, x: str = "x", y: str = "y",
-                max_broadcast_rows: int = 100_000, cell: float = 0.01,
-                known_rows: int | None = None) -> DataFrame:
+                cell: float | None = None, known_bytes: int | None = None) -> DataFrame:
     """Points inside a box (closed bounds) get its ``areaid``; others are dropped.
 
-    A small, checked box table is broadcast and tested against every point
-    (no shuffle of the points). Beyond the bound, boxes are cut into grid
-    cells of side ``cell`` and joined to the points on the cell key (an equi
-    join that shuffles), then tested exactly. Overlapping boxes give a point
-    one row per box that holds it.
+    Boxes are cut into grid cells (``cell``: see ``grid_cell``) and joined to
+    the points on the cell key, then tested exactly: no box is compared with
+    every point. The cell table is broadcast after a check of its bytes, so
+    the points are not shuffled; beyond the bound the same join shuffles by
+    cell. Overlapping boxes give a point one row per box that holds it.
     """
-    px, py = F.col(x), F.col(y)
-    small = bounded_broadcast(areas, max_broadcast_rows, known_rows)
-    if small is not areas:
-        a = small.alias("_a")
-        return (points.join(a, _inside(px, py, a), "inner")
-                      .select(*[points[c] for c in points.columns], F.col("_a.areaid")))
-    cx, cy = "_cell_x", "_cell_y"
+    cell = grid_cell(areas) if cell is None else cell
+    px, py, cx, cy = F.col(x), F.col(y), "_cell_x", "_cell_y"
     cells = (areas
              .withColumn(cx, F.explode(F.sequence(F.floor(F.col("x_min") / cell),
                                                   F.floor(F.col("x_max") / cell))))
              .withColumn(cy, F.explode(F.sequence(F.floor(F.col("y_min") / cell),
-                                                  F.floor(F.col("y_max") / cell))))).alias("_a")
+                                                  F.floor(F.col("y_max") / cell)))))
+    cells = bounded_broadcast(cells, known_bytes=known_bytes).alias("_a")
     keyed = points.withColumn(cx, F.floor(px / cell)).withColumn(cy, F.floor(py / cell))
     return (keyed.join(cells, [cx, cy], "inner")
                  .where(_inside(px, py, cells))
                  .select(*[keyed[c] for c in points.columns], F.col("_a.areaid")))
 
 
+#: Parts that the points of an area are dealt to when its centres are not broadcast.
+SALTS = 64
+
+
 def nearest_centre(points: DataFrame, centres: DataFrame, area: str = "areaid",
-                   x: str = "x", y: str = "y", max_broadcast_rows: int = 100_000,
-                   known_rows: int | None = None) -> DataFrame:
+                   x: str = "x", y: str = "y", max_bytes: int | None = None,
+                   known_bytes: int | None = None) -> DataFrame:
     """Adds ``clusterid``: the closest centre of the point's area (squared
     Euclidean distance), ties to the lowest id; null if the area has none.
 
-    The centres of each area are gathered into one array (k per area, a
-    model-sized bound), the array table (no more rows than centres) is
-    broadcast after a size check on the centres, and
-    each point picks its minimum with ``array_min(transform(...))``: no
-    fan-out of points, no shuffle, no per-point group-by.
+    The centres of each area are gathered into one array (the k of a
+    clustering model, a model-sized bound) and each point picks its minimum
+    with ``array_min(transform(...))``: no fan-out of points, no per-point
+    group-by. The array table is broadcast after a check of its bytes. Beyond
+    the bound the points of an area are dealt over ``SALTS`` parts and each
+    part gets a copy of the arrays, so no area lands in one task.
     """
-    per_area = (centres.groupBy(area)
-                       .agg(F.collect_list(F.struct("clusterid", "cx", "cy")).alias("_c")))
     px, py = F.col(x), F.col(y)
 
     def dist(c):
         dx, dy = px - c["cx"], py - c["cy"]
         return F.struct((dx * dx + dy * dy).alias("d"), c["clusterid"].alias("clusterid"))
 
-    best = F.array_min(F.transform("_c", dist))
-    rows = known_rows if known_rows is not None else centres.limit(max_broadcast_rows + 1).count()
-    per_area = F.broadcast(per_area) if rows <= max_broadcast_rows else per_area
-    return (points.join(per_area, area, "left")
-                  .select(*points.columns, best["clusterid"].alias("clusterid")))
+    best = F.array_min(F.transform("_c", dist))["clusterid"].alias("clusterid")
+    per_area = (centres.groupBy(area)
+                       .agg(F.collect_list(F.struct("clusterid", "cx", "cy")).alias("_c")))
+    limits = {} if max_bytes is None else {"max_bytes": max_bytes}
+    checked = bounded_broadcast(centres, known_bytes=known_bytes, **limits)
+    if checked is not centres:  # the arrays hold what the centres hold
+        return points.join(F.broadcast(per_area), area, "left").select(*points.columns, best)
+    dealt = points.withColumn("_salt", F.pmod(F.xxhash64(px, py), F.lit(SALTS)))
+    copies = per_area.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return dealt.join(copies, [area, "_salt"], "left").select(*points.columns, best)
 
 
 def located_with_tags(located: DataFrame, tags: DataFrame, key: str = "user_id",

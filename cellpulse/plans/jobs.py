@@ -14,31 +14,44 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import DEVICE_CATEGORICAL, DEVICE_NUMERIC, FOREST_PARAMS, LAST_PERIOD
-from ..operators import change, model, spatial
+from ..operators import change, features, model, spatial
+from ..session import materialize
 from ..sources import csv as io
 from .device import DeviceInputs
 from .profile import ProfileInputs
 from .spatial import SpatialInputs
 
-CATEGORICAL = DEVICE_CATEGORICAL
-NUMERIC = DEVICE_NUMERIC
 
-
-def device_job(spark: SparkSession, data: str, out: str, **forest) -> None:
+def device_job(spark: SparkSession, data: str, out: str, targets: str | None = None, **forest) -> None:
     """Change set, labelled rows, forest on the 8/9 split, hold-out metrics,
-    and predictions for every target's last-period record."""
+    and predictions for every target's last-period record.
+
+    ``targets`` is a text file of ids; without it the derived target list is
+    written to ``<out>/targets`` and read from there.
+    """
     d = DeviceInputs(spark, data, reuse=True)
-    d.switch.write.mode("overwrite").parquet(f"{out}/changes")
-    rows = d.labeled.dropna(subset=CATEGORICAL + NUMERIC)
-    split = model.holdout_split(rows, F.concat_ws("-", "user_id", "period"), (8, 1))
-    params = {**FOREST_PARAMS, **forest}
-    fitted = model.fit_forest(split.where(F.col("split") == "train"), CATEGORICAL, NUMERIC, **params)
+    if targets is None:
+        targets = f"{out}/targets"
+        io.write_ids(d.targets, targets)
+    wanted = io.read_ids(spark, targets)
+    changes = change.changed_between_periods(d.snap, wanted)
+    changes.write.mode("overwrite").parquet(f"{out}/changes")
+    labeled = change.label_previous_period(d.snap, wanted, spark.read.parquet(f"{out}/changes"))
+    index = materialize(features.category_index(d.snap, DEVICE_CATEGORICAL))
+    arity = features.arities(index)
+    rows = features.feature_rows(labeled, index)
+    split = materialize(model.holdout_split(rows, F.concat_ws("-", "user_id", "period"), (8, 1)))
+    train, holdout = (model.assembled(split.where(F.col("split") == part), DEVICE_CATEGORICAL, DEVICE_NUMERIC, arity)
+                      for part in ("train", "holdout"))
+    fitted = model.fit_forest(train, **{**FOREST_PARAMS, **forest})
     fitted.write().overwrite().save(f"{out}/model")
-    scored = model.score(fitted, split.where(F.col("split") == "holdout"), ["label"])
-    conf = model.confusion(scored)
-    conf.write.mode("overwrite").parquet(f"{out}/confusion")
+    scored = model.score(fitted, holdout, ["label"])
+    model.confusion(scored, classes=[0, 1]).write.mode("overwrite").parquet(f"{out}/confusion")
+    # Read back: the hold-out is scored once.
+    conf = spark.read.parquet(f"{out}/confusion")
     model.binary_metrics(conf).write.mode("overwrite").parquet(f"{out}/metrics")
-    current = change.rows_in_period(d.snap, d.targets, LAST_PERIOD)
+    current = features.feature_rows(change.rows_in_period(d.snap, wanted, LAST_PERIOD), index, keep=["user_id"])
+    current = model.assembled(current, DEVICE_CATEGORICAL, DEVICE_NUMERIC, arity)
     io.write_predictions(model.score(fitted, current, ["user_id"]), f"{out}/predictions")
 
 
@@ -54,11 +67,12 @@ def spatial_job(spark: SparkSession, data: str, out: str, area: int = 0, hour: i
     """Located records (one folder per area) and the tag report for one area and hour.
 
     ``tags`` is the tag folder a profile job wrote; without it the tags are
-    derived here (a second pass over the events).
+    derived here (a second pass over the events). The report reads the folder
+    of its area alone; an area without records gives an empty report.
     """
     located = SpatialInputs(spark, data).clus
     io.write_located_by_area(located, f"{out}/located")
-    back = io.read_located(spark, [f"{out}/located/area=*"])
+    back = io.read_located(spark, f"{out}/located", area=area)
     tag_rows = io.read_tags(spark, tags) if tags else ProfileInputs(spark, data, reuse=True).tags
     report = spatial.located_with_tags(back, tag_rows, area=area, hour=hour)
     report.write.mode("overwrite").parquet(f"{out}/report")
@@ -74,6 +88,7 @@ def main(argv=None) -> None:
     ap.add_argument("--out", required=True, help="shared output folder")
     ap.add_argument("--master", default=None)
     ap.add_argument("--tags", default=None, help="spatial: tag folder written by the profile job")
+    ap.add_argument("--targets", default=None, help="device: text file with the ids to score")
     ap.add_argument("--input-bytes", type=int, default=None,
                     help="total input size; sizes scan splits and shuffle partitions")
     args = ap.parse_args(argv)
@@ -83,6 +98,8 @@ def main(argv=None) -> None:
     out = f"{args.out.rstrip('/')}/{args.job}"
     if args.job == "spatial":
         spatial_job(spark, args.data, out, tags=args.tags)
+    elif args.job == "device":
+        device_job(spark, args.data, out, targets=args.targets)
     else:
         JOBS[args.job](spark, args.data, out)
 

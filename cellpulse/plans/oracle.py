@@ -7,7 +7,7 @@ the statements that need them, in dependency order.
 
 from __future__ import annotations
 
-from ..constants import AREA_BOXES, CLUSTER_CENTRES, PROFILE_COLUMNS
+from ..constants import AREA_BOXES, CATEGORY_COLUMNS, CLUSTER_CENTRES, DEVICE_CATEGORICAL, PROFILE_COLUMNS
 
 F20 = PROFILE_COLUMNS
 _TYPES = ("click", "error", "purchase", "signup", "view")
@@ -64,32 +64,48 @@ def _cent_body() -> str:
 
 
 CTES: dict[str, tuple[str, tuple[str, ...]]] = {
+    "last": ("""
+select user_id, period, arg_max(event_type, event_id) as vendor, arg_max(cast(floor(value) as int), event_id) as voice,
+       max(event_id) as id
+from (select *, cast(floor(date_diff('day', date '2024-01-01', cast(ts as date)) * 12 / 30) as int) + 1 as period
+      from events) e group by user_id, period""", ()),
     "snap": ("""
-select user_id, period, vendor, dtype, voice, sms from (
-  select user_id, period, event_type as vendor, cast(floor(value / 100) as int) as dtype,
-         cast(floor(value) as int) as voice, cast(event_id % 100 as int) as sms,
-         row_number() over (partition by user_id, period order by event_id desc) as rn
-  from (select *, cast(floor((day(ts) - 1) * 12 / 30) as int) + 1 as period from events) a
-) b where rn = 1""", ()),
-    "tgt": ("select user_id from snap where period = 12", ("snap",)),
+select period, user_id, case id % 2 when 0 then '2G' else '3G' end as net,
+       case id % 3 when 0 then 'F' when 1 then 'M' else 'U' end as gender,
+       ((user_id % 9) * 10) || '-' || ((user_id % 9) * 10 + 9) as age,
+       ((voice // 50 % 8) * 50) || '-' || ((voice // 50 % 8) * 50 + 49) as arpu,
+       vendor, 'M' || (voice // 100) as dtype,
+       ((id % 12) * 500) || '-' || ((id % 12) * 500 + 499) as bytes, voice, cast(id % 100 as int) as sms
+from last""", ("last",)),
+    "tgt": ("select cast(s_suppkey * 2 as bigint) as user_id from supplier", ()),
+    # From the definition: a target's records in order, each beside the one before it.
     "switch": ("""
-select nx.period, t.user_id, nx.vendor as n_vendor, nx.dtype as n_type,
-       bf.vendor as b_vendor, bf.dtype as b_type
-from tgt t
-left join snap nx on t.user_id = nx.user_id
-left join snap bf on t.user_id = bf.user_id and bf.period = nx.period - 1
-where nx.vendor <> bf.vendor and nx.dtype <> bf.dtype and nx.period not in (1, 9)""",
-               ("tgt",)),
+select period, user_id, vendor as n_vendor, dtype as n_type, old[2] as b_vendor, old[3] as b_type
+from (select s.*, lag([cast(period as varchar), vendor, dtype]) over (partition by user_id order by period) as old
+      from snap s where user_id in (from tgt)) pairs
+where cast(old[1] as int) = period - 1 and vendor <> old[2] and dtype <> old[3]
+  and period not in (1, 9)""", ("snap", "tgt")),
     "labeled": ("""
-select p.period, t.user_id, d.vendor, d.dtype, d.voice, d.sms,
-       case when w.user_id is null then 0 else 1 end as label
-from tgt t
-cross join (select distinct period from snap where period not in (1, 9)) p
-left join snap d on d.user_id = t.user_id and d.period = p.period - 1
-left join switch w on w.user_id = t.user_id and w.period = p.period""", ("switch",)),
+select p.period, t.user_id, d.net, d.gender, d.age, d.arpu, d.vendor, d.dtype, d.bytes, d.voice, d.sms,
+       cast((t.user_id, p.period) in (select (user_id, period) from switch) as int) as label
+from tgt t, (select distinct period from snap where period not in (1, 9)) p
+left join snap d on d.user_id = t.user_id and d.period + 1 = p.period""", ("switch",)),
+    "long_values": (" union all ".join(
+        f"select distinct '{c}' as \"column\", {c} as value from snap" for c in CATEGORY_COLUMNS), ("snap",)),
+    "cat": ("""
+select "column", value, cast(row_number() over (partition by "column" order by value) - 1 as int) as idx
+from long_values where value is not null""", ("long_values",)),
+    "feat": ("select l.period, l.user_id, l.label, " + ", ".join(
+        f"coalesce({c}_d.idx, (select count(*) from cat where \"column\" = '{c}'))::int as {c}_idx" for c in DEVICE_CATEGORICAL)
+        + ", coalesce(l.voice, -1) as voice, coalesce(l.sms, -1) as sms from labeled l "
+        + " ".join(f"left join cat {c}_d on {c}_d.\"column\" = '{c}' and {c}_d.value = l.{c}" for c in DEVICE_CATEGORICAL),
+        ("labeled", "cat")),
+    "parts": ("""
+select *, cast(('0x' || substr(md5(user_id || '-' || period), 1, 8)) as bigint) as h from feat""", ("feat",)),
     "prof": (_prof_body(), ()),
     "norm": (_norm_body(), ("prof",)),
     "thr": (_thr_body(), ("norm",)),
+    "target_tags": ("select * from tags where user_id in (from tgt)", ("tags", "tgt")),
     "tags": (_tags_body(), ("thr",)),
     "log": ("""
 select user_id, cast(ts as date) as dt, cast(hour(ts) as int) as hr,

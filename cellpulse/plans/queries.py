@@ -13,13 +13,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import (CV_FOLDS, DEVICE_CATEGORICAL, DEVICE_NUMERIC, FOREST_GRID,
-                         FOREST_PARAMS, LAST_PERIOD, PROFILE_COLUMNS)
+from ..constants import (CATEGORY_COLUMNS, CV_FOLDS, DEVICE_CATEGORICAL, DEVICE_FIELDS, DEVICE_NUMERIC,
+                         FOREST_GRID, FOREST_PARAMS, LAST_PERIOD, PROFILE_COLUMNS)
 from ..functions import text
 from ..operators import change, features, model, quality
 from ..operators import profile as prof_op
 from ..operators import spatial as spatial_op
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import csv as io
 from ..sources.tables import read_table
 from . import fixtures
@@ -32,7 +32,8 @@ REGISTRY: dict[str, Query] = {}
 
 CATEGORICAL = DEVICE_CATEGORICAL
 NUMERIC = DEVICE_NUMERIC
-REPORT_AREA, REPORT_HOUR = 0, 10   # the tag report covers one area and one hour
+#: The SQL report covers one day, hour, area and cluster.
+REPORT_DATE, REPORT_HOUR, REPORT_AREA, REPORT_CLUSTER = "2024-01-17", 12, 0, 5
 
 
 def register(name: str):
@@ -51,7 +52,15 @@ def period_snapshot(spark, sf_dir):
 
 @register("target_list")
 def target_list(spark, sf_dir):
-    return DeviceInputs(spark, sf_dir).targets
+    """The target list as the analysis gets it: a text file of ids, read back."""
+    path = scratch_path(spark, "targets")
+    io.write_ids(DeviceInputs(spark, sf_dir).targets, path)
+    return io.read_ids(spark, path)
+
+
+def _last_two(spark, sf_dir) -> DeviceInputs:
+    """The last period and the one before it: what a one-period question reads."""
+    return DeviceInputs(spark, sf_dir, reuse=True, periods=(LAST_PERIOD - 1, LAST_PERIOD))
 
 
 @register("device_switch")
@@ -61,7 +70,7 @@ def device_switch(spark, sf_dir):
 
 @register("switch_one_period")
 def switch_one_period(spark, sf_dir):
-    return DeviceInputs(spark, sf_dir, reuse=True).switch.where(F.col("period") == LAST_PERIOD)
+    return _last_two(spark, sf_dir).switch
 
 
 @register("switch_counts")
@@ -76,13 +85,17 @@ def label_prev_period(spark, sf_dir):
 
 @register("label_one_period")
 def label_one_period(spark, sf_dir):
-    return DeviceInputs(spark, sf_dir, reuse=True).labeled.where(F.col("period") == LAST_PERIOD)
+    return _last_two(spark, sf_dir).labeled
 
 
 @register("target_scoring_rows")
 def target_scoring_rows(spark, sf_dir):
-    d = DeviceInputs(spark, sf_dir, reuse=True)
-    return change.rows_in_period(d.snap, d.targets, LAST_PERIOD)
+    return _scoring_rows(spark, sf_dir)
+
+
+def _scoring_rows(spark, sf_dir) -> DataFrame:
+    d = DeviceInputs(spark, sf_dir, periods=(LAST_PERIOD, LAST_PERIOD))
+    return change.rows_in_period(d.snap, d.targets, LAST_PERIOD).select(*DEVICE_FIELDS)
 
 
 @register("label_counts")
@@ -94,18 +107,19 @@ def label_counts(spark, sf_dir):
 
 @register("category_distinct")
 def category_distinct(spark, sf_dir):
-    return features.distinct_values(DeviceInputs(spark, sf_dir).snap, "vendor")
+    """Distinct values of all seven text columns of the device record."""
+    return features.distinct_values(DeviceInputs(spark, sf_dir).snap, CATEGORY_COLUMNS)
 
 
 @register("category_index")
 def category_index(spark, sf_dir):
-    return features.category_index(DeviceInputs(spark, sf_dir).snap, "vendor")
+    return features.category_index(DeviceInputs(spark, sf_dir).snap, CATEGORY_COLUMNS)
 
 
 @register("feature_rows")
 def feature_rows(spark, sf_dir):
     d = DeviceInputs(spark, sf_dir, reuse=True)
-    return features.feature_rows(d.labeled, CATEGORICAL, NUMERIC, dictionary=d.snap)
+    return features.feature_rows(d.labeled, features.category_index(d.snap, CATEGORICAL), CATEGORICAL, NUMERIC)
 
 
 # --- profile ----------------------------------------------------------------
@@ -127,7 +141,7 @@ def tag_thresholds(spark, sf_dir):
 
 @register("feature_histogram")
 def feature_histogram(spark, sf_dir):
-    return prof_op.histogram(ProfileInputs(spark, sf_dir, reuse=True).norm, PROFILE_COLUMNS[:5])
+    return prof_op.histogram(ProfileInputs(spark, sf_dir, reuse=True).norm, PROFILE_COLUMNS)
 
 
 @register("tag_flags")
@@ -144,13 +158,11 @@ def tag_sum(spark, sf_dir):
 
 @register("profile_as_array")
 def profile_as_array(spark, sf_dir):
-    """Record -> 20-element array -> record; reports the ends and the size."""
+    """Record -> 20-element array -> record, every position named ``arr_<i>``."""
     arr = F.array(*PROFILE_COLUMNS)
-    back = (ProfileInputs(spark, sf_dir).prof
-            .select("user_id", arr.alias("v"))
-            .select("user_id", "v", *text.array_to_columns("v", PROFILE_COLUMNS)))
-    return back.select("user_id", F.col("fa").alias("arr_0"), F.col("ft").alias("arr_19"),
-                       F.size("v").alias("arr_size"))
+    names = [f"arr_{i}" for i in range(len(PROFILE_COLUMNS))]
+    rows = ProfileInputs(spark, sf_dir).prof.select("user_id", arr.alias("v"))
+    return rows.select("user_id", *text.array_to_columns("v", names), F.size("v").alias("arr_size"))
 
 
 # --- spatial ----------------------------------------------------------------
@@ -177,7 +189,7 @@ def cluster_centres(spark, sf_dir):
     s = SpatialInputs(spark, sf_dir)
     root = scratch_path(spark, "centres")
     io.write_centres(s.centres, root)
-    cent = io.read_centres(spark, [f"{root}/area={a:02d}" for a in range(4)])
+    cent = io.read_centres(spark, root)
     members = s.clus.groupBy("areaid", "clusterid").agg(F.count(F.lit(1)).alias("n"))
     return (cent.join(members, ["areaid", "clusterid"], "left")
                 .select("areaid", "clusterid", "cx", "cy",
@@ -186,24 +198,33 @@ def cluster_centres(spark, sf_dir):
 
 @register("located_with_tags")
 def located_with_tags(spark, sf_dir):
-    clus = SpatialInputs(spark, sf_dir, hour=REPORT_HOUR).clus
-    tags = ProfileInputs(spark, sf_dir, reuse=True).tags
-    return spatial_op.located_with_tags(clus, tags, area=REPORT_AREA, hour=REPORT_HOUR)
+    """All located records with the tags of their user; users off the target list have none."""
+    return spatial_op.located_with_tags(SpatialInputs(spark, sf_dir).clus, _target_tags(spark, sf_dir))
+
+
+def _target_tags(spark, sf_dir) -> DataFrame:
+    targets = DeviceInputs(spark, sf_dir).targets
+    return ProfileInputs(spark, sf_dir, reuse=True).tags.join(targets, "user_id", "left_semi")
 
 
 @register("sql_report_filter")
 def sql_report_filter(spark, sf_dir):
-    """The report as SQL text over named views."""
+    """The report as SQL text over named views, for one day, hour, area and cluster."""
     tag = uuid.uuid4().hex[:8]
     loc, tg = f"located_{tag}", f"usertag_{tag}"
     SpatialInputs(spark, sf_dir, hour=REPORT_HOUR).clus.createOrReplaceTempView(loc)
-    ProfileInputs(spark, sf_dir, reuse=True).tags.createOrReplaceTempView(tg)
+    _target_tags(spark, sf_dir).createOrReplaceTempView(tg)
     fcols = ", ".join(f"u.{c}" for c in PROFILE_COLUMNS)
-    return spark.sql(f"""
+    report = spark.sql(f"""
         select s.user_id, s.dt, s.hr, s.x, s.y, s.areaid, s.clusterid,
                u.user_id as tag_user_id, {fcols}
         from {loc} s left outer join {tg} u on s.user_id = u.user_id
-        where s.areaid = {REPORT_AREA} and s.hr = {REPORT_HOUR} and s.clusterid = 0""")
+        where s.dt = date '{REPORT_DATE}' and s.hr = {REPORT_HOUR}
+          and s.areaid = {REPORT_AREA} and s.clusterid = {REPORT_CLUSTER}""")
+    # The report's plan is resolved; the names are no longer needed.
+    for name in (loc, tg):
+        spark.catalog.dropTempView(name)
+    return report
 
 
 @register("where_date")
@@ -232,8 +253,12 @@ def distinct_users(spark, sf_dir):
 @register("column_profile")
 def column_profile(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events")
-    return quality.column_profile(ev.select(F.floor("value").cast("double").alias("value")),
-                                  ["value"])
+    return _rounded(quality.column_profile(ev.select(F.floor("value").cast("double").alias("value")), ["value"]))
+
+
+def _rounded(profile: DataFrame) -> DataFrame:
+    """Mean and deviation to six digits: engines add in different orders."""
+    return profile.withColumns({c: F.round(c, 6) for c in ("mean", "stdev")})
 
 
 def device_lines(events: DataFrame) -> DataFrame:
@@ -250,7 +275,7 @@ def device_lines(events: DataFrame) -> DataFrame:
 @register("field_count_profile")
 def field_count_profile(spark, sf_dir):
     lines = device_lines(read_table(spark, sf_dir, "events"))
-    return quality.field_count_profile(lines, "line", [",", '","'])
+    return _rounded(quality.field_count_profile(lines, "line", [",", '","']))
 
 
 # --- model ------------------------------------------------------------------
@@ -287,44 +312,73 @@ def _row_key() -> Column:
     return F.concat_ws("-", F.col("user_id"), F.col("period"))
 
 
-def _complete_rows(labeled: DataFrame) -> DataFrame:
-    """Labelled rows with every feature present; the forest pipeline indexes
-    the categorical columns itself (StringIndexer keeps their arity)."""
-    return labeled.dropna(subset=CATEGORICAL + NUMERIC)
+class ForestInputs:
+    """The labelled feature rows, indexed and assembled once, split into folds and hold-out.
+
+    The rows and the index are materialised: training, hold-out and scoring
+    read them instead of deriving them again.
+    """
 
+    def __init__(self, spark, sf_dir):
+        d = DeviceInputs(spark, sf_dir, reuse=True)
+        self.index = materialize(features.category_index(d.snap, CATEGORICAL))
+        self.arity = features.arities(self.index, CATEGORICAL)
+        rows = features.feature_rows(d.labeled, self.index, CATEGORICAL, NUMERIC)
+        rows = model.holdout_split(rows, _row_key(), (8, 1)).withColumn("fold", model.hash_bucket(_row_key(), CV_FOLDS))
+        self.rows = materialize(rows)
 
-def _split_rows(spark, sf_dir):
-    rows = _complete_rows(DeviceInputs(spark, sf_dir, reuse=True).labeled)
-    return model.holdout_split(rows, _row_key(), (8, 1))
+    def part(self, name: str) -> DataFrame:
+        return model.assembled(self.rows.where(F.col("split") == name), CATEGORICAL, NUMERIC, self.arity)
+
+    def fit(self, **params):
+        return model.fit_forest(self.part("train"), **{**FOREST_PARAMS, **params})
 
 
 @register("rf_fit_predict")
 def rf_fit_predict(spark, sf_dir):
-    """Train on the 8/9 split, score the 1/9 hold-out: (label, prediction, n)."""
-    rows = _split_rows(spark, sf_dir)
-    fitted = model.fit_forest(rows.where(F.col("split") == "train"), CATEGORICAL, NUMERIC,
-                              **FOREST_PARAMS)
-    scored = model.score(fitted, rows.where(F.col("split") == "holdout"), ["label"])
-    return scored.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
+    """Train on the 8/9 split and score the 1/9 hold-out.
+
+    Returns per label how many hold-out rows were scored with a class that
+    exists; which class is the forest's own business and is tested on a
+    label that a right forest must get exactly (``rf_separable``).
+    """
+    f = ForestInputs(spark, sf_dir)
+    scored = model.score(f.fit(), f.part("holdout"), ["label"])
+    return scored.where(F.col("prediction").isin(0, 1)).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("rf_separable")
+def rf_separable(spark, sf_dir):
+    """The same forest on a label that its features decide (3G, or many messages): its confusion matrix on the hold-out."""
+    f = ForestInputs(spark, sf_dir)
+    label = ((F.col("net_idx") == 1) | (F.col("sms") >= 50)).cast("int").alias("label")
+    rows = f.rows.select("split", label, *[f"{c}_idx" for c in CATEGORICAL], *NUMERIC)
+    train, holdout = (model.assembled(rows.where(F.col("split") == part), CATEGORICAL, NUMERIC, f.arity)
+                      for part in ("train", "holdout"))
+    # All features at every split: the label must not depend on which are drawn.
+    fitted = model.fit_forest(train, **{**FOREST_PARAMS, "featureSubsetStrategy": "all"})
+    return model.confusion(model.score(fitted, holdout, ["label"]), classes=[0, 1])
 
 
 @register("rf_grid_cv")
 def rf_grid_cv(spark, sf_dir):
-    rows = _split_rows(spark, sf_dir).where(F.col("split") == "train")
-    rows = rows.withColumn("fold", model.hash_bucket(_row_key(), CV_FOLDS))
-    return model.forest_grid_cv(rows, CATEGORICAL, NUMERIC, FOREST_GRID, fold_col="fold")
+    """Grid points x folds with the sizes of both sides; the figures agree, as overall ones do."""
+    found = model.forest_grid_cv(ForestInputs(spark, sf_dir).part("train"), FOREST_GRID, CV_FOLDS)
+    table = model.grid_table(spark, found)
+    sound = F.col("f_measure").between(0, 1) & (F.col("f_measure") == F.col("precision")) & (
+        F.col("precision") == F.col("recall"))
+    return table.select(*FOREST_GRID, "fold", "n_train", "n_valid", sound.alias("figures_agree"))
 
 
 @register("predict_target")
 def predict_target(spark, sf_dir):
-    """Forest fitted on all labelled rows scores each target's last-period
-    record; the predictions go through the text sink and are read back."""
-    d = DeviceInputs(spark, sf_dir, reuse=True)
-    fitted = model.fit_forest(_complete_rows(d.labeled), CATEGORICAL, NUMERIC, **FOREST_PARAMS)
-    current = change.rows_in_period(d.snap, d.targets, LAST_PERIOD)
+    """The forest of the 8/9 split scores each target's last-period record; the
+    predictions go through the text sink and are read back."""
+    f = ForestInputs(spark, sf_dir)
+    current = features.feature_rows(_scoring_rows(spark, sf_dir), f.index, CATEGORICAL, NUMERIC, keep=["user_id"])
     path = scratch_path(spark, "predictions")
-    io.write_predictions(model.score(fitted, current, ["user_id"]), path)
-    return io.read_predictions(spark, path)
+    io.write_predictions(model.score(f.fit(), model.assembled(current, CATEGORICAL, NUMERIC, f.arity), ["user_id"]), path)
+    return io.read_predictions(spark, path).select("user_id", F.col("prediction").isin(0, 1).alias("scored"))
 
 
 # --- sources and sinks (write, read back) -------------------------------------
@@ -332,39 +386,30 @@ def predict_target(spark, sf_dir):
 @register("csv_roundtrip")
 def csv_roundtrip(spark, sf_dir):
     """Device logs as quoted CSV, a header per file, a folder per period, a
-    comma inside the vendor field; one read of all periods with a schema."""
+    comma inside the model field; one read of all periods, all eleven fields typed."""
     snap = DeviceInputs(spark, sf_dir).snap
     path = scratch_path(spark, "device")
-    io.write_device_logs(snap.withColumn("vendor", F.concat_ws(",", "vendor", F.upper("vendor"))),
+    io.write_device_logs(snap.withColumn("dtype", F.concat_ws(",", "dtype", F.upper("vendor"))),
                          path, partition_by="period")
     return io.read_device_logs(spark, path)
 
 
 @register("wide_scan_fill")
 def wide_scan_fill(spark, sf_dir):
+    """Wide rows as ragged text (a row ends with its last point, inner gaps are empty), read back and filled."""
     wide = SpatialInputs(spark, sf_dir).wide
     path = scratch_path(spark, "wide")
-    io.write_wide_locations(wide, path)
+    io.write_ragged_locations(wide, path)
     return io.read_wide_locations(spark, path)
 
 
 @register("profile_project_fill")
 def profile_project_fill(spark, sf_dir):
-    """Raw 24-column usage rows written with blanks for zeros; read back with
-    columns 6, 7 and 22 dropped and blanks filled; summed per user."""
-    ev = read_table(spark, sf_dir, "events")
-    raw = fixtures.usage_rows(ev, keep=["event_id", "value"])
-    extra = {6: "cast(event_id % 2 as string)",
-             7: "case when event_id % 3 = 0 then '1' else '' end",
-             22: "cast(value as string)"}
-    counters = iter(PROFILE_COLUMNS)
-    cols = ["cast(user_id as string) as _c0"]
-    for i in range(1, 24):
-        expr = extra.get(i) or f"cast(nullif({next(counters)}, 0D) as string)"
-        cols.append(f"{expr} as _c{i}")
+    """Raw 24-column usage lines with quotes, blanks for zeros and a header row; read back with
+    the header and columns 6, 7 and 22 dropped and blanks filled; summed per user."""
     path = scratch_path(spark, "profile")
-    io.write_raw(raw.selectExpr(*cols), path)
-    return prof_op.sum_by_key(io.read_profiles(spark, path), "user_id", PROFILE_COLUMNS)
+    io.write_raw(fixtures.usage_lines(read_table(spark, sf_dir, "events")), path)
+    return prof_op.sum_by_key(io.read_profiles(spark, path, header_text="IMEI"), "user_id", PROFILE_COLUMNS)
 
 
 @register("tag_roundtrip")
@@ -380,22 +425,37 @@ def multi_path_union(spark, sf_dir):
     clus = SpatialInputs(spark, sf_dir).clus
     root = scratch_path(spark, "located")
     io.write_located_by_area(clus, root)
-    return io.read_located(spark, [f"{root}/area={a:02d}" for a in range(4)])
+    return io.read_located(spark, root)
 
 
 # --- scalar functions -------------------------------------------------------
 
 @register("record_to_line")
 def record_to_line(spark, sf_dir):
-    sw = DeviceInputs(spark, sf_dir, reuse=True).switch
-    return sw.select("period", "user_id", text.to_line(
-        ["period", "user_id", "n_vendor", "n_type", "b_vendor", "b_type"]).alias("line"))
+    """The five line formats: target id, device record, usage record, located record, tag record."""
+    d = DeviceInputs(spark, sf_dir)
+    p, s = ProfileInputs(spark, sf_dir), SpatialInputs(spark, sf_dir)
+    whole = [F.col(c).cast("bigint") for c in PROFILE_COLUMNS]
+    lines = [
+        d.targets.select(F.lit("target").alias("kind"), text.to_line(["user_id"]).alias("line")),
+        # A target without a record keeps its fields, all but the id empty.
+        d.targets.join(d.snap.where(F.col("period") == LAST_PERIOD), "user_id", "left")
+         .select(F.lit("device").alias("kind"), text.to_line(DEVICE_FIELDS).alias("line")),
+        p.prof.select(F.lit("usage").alias("kind"), text.to_line(["user_id", *whole]).alias("line")),
+        s.clus.select(F.lit("located").alias("kind"), text.to_line(
+            ["user_id", "dt", "hr", "areaid", "clusterid"]).alias("line")),
+        p.tags.select(F.lit("tag").alias("kind"), text.to_line(["user_id", *PROFILE_COLUMNS]).alias("line")),
+    ]
+    out = lines[0]
+    for more in lines[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 @register("hex_to_decimal")
 def hex_to_decimal(spark, sf_dir):
     clus = SpatialInputs(spark, sf_dir).clus
-    return clus.select(text.hex_prefix_to_decimal(F.md5(F.col("user_id").cast("string")))
+    return clus.select(text.hex_to_decimal(F.md5(F.col("user_id").cast("string")))
                        .alias("user_dec"), "dt", "hr", "x", "y", "areaid", "clusterid")
 
 

@@ -28,13 +28,9 @@ class SpatialInputs:
         events = read_table(spark, sf_dir, "events")
         self.events = events if hour is None else events.where(F.hour("ts") == hour)
 
-    @property
-    def log(self) -> DataFrame:
-        return fixtures.location_log(self.events)
-
     @property
     def wide(self) -> DataFrame:
-        """The wide hourly rows (one shuffle; equals pivot_hours(log))."""
+        """The wide hourly rows (one shuffle)."""
         return fixtures.wide_locations(self.events)
 
     @property
@@ -51,9 +47,11 @@ class SpatialInputs:
 
     @property
     def area(self) -> DataFrame:
-        return op.assign_area(self.long, self.areas, known_rows=len(AREA_BOXES))
+        # Fixed boxes: a bound on their cells and the cell side are known without a job.
+        side = max(max(x1 - x0, y1 - y0) for _, x0, x1, y0, y1 in AREA_BOXES)
+        return op.assign_area(self.long, self.areas, cell=side / 4, known_bytes=len(AREA_BOXES) * 25 * 128)
 
     @property
     def clus(self) -> DataFrame:
         return op.nearest_centre(self.area, self.centres,
-                                 known_rows=sum(len(c) for c in CLUSTER_CENTRES.values()))
+                                 known_bytes=64 * sum(len(c) for c in CLUSTER_CENTRES.values()))

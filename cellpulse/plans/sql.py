@@ -1,12 +1,12 @@
 """Oracle SQL per query key (DuckDB dialect, the parquet tables as views).
 
-Keys without an entry (forest training, scoring and grid search) are
-checked on row counts only.
+The forest keys state what SQL can know of a forest: which rows it scores,
+the sizes of folds, and the matrix on a label that it must get exactly.
 """
 
 from __future__ import annotations
 
-from ..constants import PROFILE_COLUMNS
+from ..constants import DEVICE_BEHAVIOUR, PROFILE_COLUMNS
 from .oracle import fcols, with_ctes
 
 ORACLE: dict[str, str] = {}
@@ -25,29 +25,20 @@ oracle("switch_one_period", "select * from switch where period = 12", "switch")
 oracle("switch_counts", "select period, count(*) as n from switch group by period", "switch")
 oracle("label_prev_period", "select * from labeled", "labeled")
 oracle("label_one_period", "select * from labeled where period = 12", "labeled")
-oracle("target_scoring_rows", """
-select s.period, s.user_id, s.vendor, s.dtype, s.voice, s.sms
-from tgt t join snap s on t.user_id = s.user_id where s.period = 12""", "tgt")
+oracle("target_scoring_rows", "select s.* from tgt t join snap s using (user_id) where s.period = 12", "tgt", "snap")
 oracle("label_counts", "select label, count(*) as n from labeled group by label", "labeled")
 
 # --- features ---------------------------------------------------------------
-oracle("category_distinct", "select distinct vendor from snap", "snap")
-oracle("category_index", """
-select vendor, cast(row_number() over (order by vendor) - 1 as int) as vendor_idx
-from (select distinct vendor from snap where vendor is not null) v""", "snap")
-oracle("feature_rows", """
-select l.period, l.user_id, l.label, l.vendor, v.vendor_idx, l.dtype, l.voice, l.sms
-from labeled l join (
-  select vendor, cast(row_number() over (order by vendor) - 1 as int) as vendor_idx
-  from (select distinct vendor from snap where vendor is not null) d) v on l.vendor = v.vendor
-where l.dtype is not null and l.voice is not null and l.sms is not null""", "labeled")
+oracle("category_distinct", "select * from long_values", "long_values")
+oracle("category_index", "select * from cat", "cat")
+oracle("feature_rows", "select * from feat", "feat")
 
 # --- profile ----------------------------------------------------------------
 oracle("profile_sum", "select * from prof", "prof")
 oracle("l2_normalize", "select * from norm", "norm")
 oracle("tag_thresholds", "select * from thr", "thr")
 _hist_parts = []
-for _f in F20[:5]:
+for _f in F20:
     _hist_parts.append(f"""
 select '{_f}' as feature, b.bucket,
        s.mn_{_f} + cast(b.bucket as double) * (s.mx_{_f} - s.mn_{_f}) / 5e0 as lo,
@@ -57,7 +48,7 @@ left join norm n on (case when s.mx_{_f} = s.mn_{_f} then 0
                           else least(cast(floor((n.{_f} - s.mn_{_f}) / (s.mx_{_f} - s.mn_{_f}) * 5e0)
                                           as int), 4) end) = b.bucket
 group by b.bucket, s.mn_{_f}, s.mx_{_f}""")
-_stats = ", ".join(f"min({f}) as mn_{f}, max({f}) as mx_{f}" for f in F20[:5])
+_stats = ", ".join(f"min({f}) as mn_{f}, max({f}) as mx_{f}" for f in F20)
 oracle("feature_histogram",
        f"with s as (select {_stats} from norm)\n"
        "select feature, cast(bucket as int) as bucket, lo, n from ("
@@ -65,8 +56,8 @@ oracle("feature_histogram",
 oracle("tag_flags", "select * from tags", "tags")
 oracle("tag_sum", "select user_id, " + ", ".join(f"cast(sum({f}) as bigint) as {f}" for f in F20)
        + " from (select * from tags union all select * from tags) t group by user_id", "tags")
-oracle("profile_as_array", "select user_id, fa as arr_0, ft as arr_19, 20 as arr_size from prof",
-       "prof")
+oracle("profile_as_array", "select user_id, " + ", ".join(f"{f} as arr_{i}" for i, f in enumerate(F20))
+       + ", 20 as arr_size from prof", "prof")
 
 # --- spatial ----------------------------------------------------------------
 oracle("wide_scan_fill", "select * from wide", "wide")
@@ -78,16 +69,13 @@ select c.areaid, c.clusterid, c.cx, c.cy, cast(coalesce(m.n, 0) as bigint) as n
 from cent c left join (select areaid, clusterid, count(*) as n from clus
                        group by areaid, clusterid) m
   on c.areaid = m.areaid and c.clusterid = m.clusterid""", "clus", "cent")
-oracle("located_with_tags", f"""
+_report = f"""
 select s.user_id, s.dt, s.hr, s.x, s.y, s.areaid, s.clusterid,
        u.user_id as tag_user_id, {fcols('u.')}
-from clus s left join tags u on s.user_id = u.user_id
-where s.areaid = 0 and s.hr = 10""", "clus", "tags")
-oracle("sql_report_filter", f"""
-select s.user_id, s.dt, s.hr, s.x, s.y, s.areaid, s.clusterid,
-       u.user_id as tag_user_id, {fcols('u.')}
-from clus s left join tags u on s.user_id = u.user_id
-where s.areaid = 0 and s.hr = 10 and s.clusterid = 0""", "clus", "tags")
+from clus s left join target_tags u on s.user_id = u.user_id"""
+oracle("located_with_tags", _report, "clus", "target_tags")
+oracle("sql_report_filter", _report + """
+where s.dt = date '2024-01-17' and s.hr = 12 and s.areaid = 0 and s.clusterid = 5""", "clus", "target_tags")
 oracle("multi_path_union", "select * from clus", "clus")
 oracle("where_date", "select * from long where dt = date '2024-01-05'", "long")
 oracle("row_count", "select count(*) as n from long", "long")
@@ -139,18 +127,42 @@ select (tp + tn) / nullif(tp + fp + fn + tn, 0) as accuracy, p as precision_1, r
        greatest(tp + fn, fp + tn) / nullif(tp + fp + fn + tn, 0) as majority_share
 from m""", "conf")
 
+# Forests: what SQL can state about them.
+oracle("rf_fit_predict", "select label, count(*) as n from parts where h % 9 = 8 group by label", "parts")
+oracle("rf_separable", """
+select c.label, cast(count(*) filter (p.truth = c.label and c.label = 0) as bigint) as pred_0,
+       cast(count(*) filter (p.truth = c.label and c.label = 1) as bigint) as pred_1
+from (values (0), (1)) c(label)
+left join (select case when net_idx = 1 or sms >= 50 then 1 else 0 end as truth from parts where h % 9 = 8) p on true
+group by c.label""", "parts")
+oracle("rf_grid_cv", """
+select 32 as "numTrees", g.depth as "maxDepth", 20 as "maxBins", 'entropy' as impurity, cast(f.fold as int) as fold,
+       count(*) filter (p.h % 3 <> f.fold) as n_train, count(*) filter (p.h % 3 = f.fold) as n_valid,
+       true as figures_agree
+from (values (20), (30)) g(depth), range(3) f(fold), parts p where p.h % 9 < 8 group by g.depth, f.fold""", "parts")
+oracle("predict_target", "select t.user_id, true as scored from tgt t join snap s using (user_id) where s.period = 12",
+       "tgt", "snap")
+
 # --- sources and sinks --------------------------------------------------------
-oracle("csv_roundtrip", "select user_id, concat_ws(',', vendor, upper(vendor)) as vendor, dtype, "
-       "voice, sms, period from snap", "snap")
+oracle("csv_roundtrip", "select * replace (concat_ws(',', dtype, upper(vendor)) as dtype) from snap", "snap")
 oracle("profile_project_fill", "select * from prof", "prof")
 oracle("tag_roundtrip", "select * from tags", "tags")
 
 # --- scalar functions -------------------------------------------------------
-oracle("record_to_line", "select period, user_id, concat_ws(',', period, user_id, n_vendor, n_type, "
-       "b_vendor, b_type) as line from switch", "switch")
+def _line(*cols: str) -> str:
+    return " || ',' || ".join(f"coalesce(cast({c} as varchar), '')" for c in cols)
+
+
+oracle("record_to_line", f"""
+select 'target' as kind, cast(user_id as varchar) as line from tgt
+union all select 'device', {_line('s.period', 't.user_id', *['s.' + c for c in DEVICE_BEHAVIOUR])}
+  from tgt t left join snap s on s.user_id = t.user_id and s.period = 12
+union all select 'usage', {_line('user_id', *[f'cast({f} as bigint)' for f in F20])} from prof
+union all select 'located', {_line('user_id', 'dt', 'hr', 'areaid', 'clusterid')} from clus
+union all select 'tag', {_line('user_id', *F20)} from tags""", "tgt", "snap", "clus", "tags")
 oracle("hex_to_decimal", """
-select cast(cast(('0x' || substr(md5(cast(user_id as varchar)), 1, 15)) as bigint) as varchar)
-         as user_dec, dt, hr, x, y, areaid, clusterid from clus""", "clus")
+select cast(cast('0x' || md5(cast(user_id as varchar)) as uhugeint) as varchar) as user_dec,
+       dt, hr, x, y, areaid, clusterid from clus""", "clus")
 oracle("bytes_to_hex", """
 select event_id, lower(hex(event_type)) as hex,
        rtrim(regexp_replace(lower(hex(event_type)), '(..)', '\\1:', 'g'), ':') as hex_sep

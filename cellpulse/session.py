@@ -7,15 +7,15 @@ reads ``spark.checkpoint.dir`` and wraps ``F.broadcast`` behind a size check.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Sides we broadcast must stay far below executor memory; rows are a cheap
-# proxy because every broadcast candidate here is narrow (a few columns).
-DEFAULT_BROADCAST_ROWS = 1_000_000
+# Sides we broadcast must stay far below executor memory.
+DEFAULT_BROADCAST_BYTES = 32 << 20
 
 
 def build_session(master: str | None = None, app_name: str = "cellpulse",
@@ -45,25 +45,24 @@ def build_session(master: str | None = None, app_name: str = "cellpulse",
     return builder.getOrCreate()
 
 
-def scale_conf(input_bytes: int, split_bytes: int = 256 << 20,
-               shuffle_ratio: float = 0.25) -> dict[str, str]:
+def scale_conf(input_bytes: int, shuffled_share: float = 0.02,
+               partition_bytes: int = 256 << 20) -> dict[str, str]:
     """Partition settings derived from the size of the input.
 
-    Scan splits of ``split_bytes``; the initial shuffle partition count
-    assumes a shuffle carries at most ``shuffle_ratio`` of the input (every
-    shuffle of raw rows here is a partial aggregate) at ``split_bytes`` per
-    partition, and AQE coalesces down from it to the advisory size.
-    E.g. 100 TB (1e14 bytes) -> 256 MB splits (~373k scan tasks) and ~93k initial
-    shuffle partitions.
+    Scan splits are 128 MB, and larger beyond 12 TB so that there are about
+    100,000 of them. What is shuffled is the output of partial aggregates,
+    ``shuffled_share`` of the input, at ``partition_bytes`` per partition; AQE
+    coalesces down from there. E.g. 100 TB -> 100,000 scan tasks of 1 GB,
+    7,450 shuffle partitions, 7.5e8 shuffle blocks.
     """
-    parts = max(8, int(input_bytes * shuffle_ratio) // split_bytes)
-    size = str(split_bytes)
+    split = max(128 << 20, input_bytes // 100_000)
+    parts = max(8, int(input_bytes * shuffled_share) // partition_bytes)
     return {
-        "spark.sql.files.maxPartitionBytes": size,
+        "spark.sql.files.maxPartitionBytes": str(split),
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": size,
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(partition_bytes),
     }
 
 
@@ -79,7 +78,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not sc.master.startswith("local"):
+        if not re.match(r"local(\[|$)", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         root = tempfile.mkdtemp(prefix="cellpulse-ckpt-")
     if sc.getCheckpointDir() is None:
@@ -104,18 +103,28 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
-                      known_rows: int | None = None) -> DataFrame:
-    """Broadcast ``df`` only when it provably has at most ``max_rows`` rows.
+def _row_bytes(df: DataFrame):
+    """Upper estimate of a row's size: text by its bytes, anything else by 16, and overhead."""
+    sizes = [F.coalesce(F.octet_length(c), F.lit(0)) + 16 if t == "string" else F.lit(16) for c, t in df.dtypes]
+    total = F.lit(16).cast("long")
+    for size in sizes:
+        total = total + size
+    return total
 
-    ``known_rows`` is an exact size the caller already holds (a table built
-    from a fixed list); otherwise the check reads at most ``max_rows + 1``
-    rows. Beyond the bound the frame is returned as is, so the planner falls
-    back to a shuffle join (and AQE may still broadcast it from runtime
-    statistics).
+
+def bounded_broadcast(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES,
+                      known_bytes: int | None = None) -> DataFrame:
+    """Broadcast ``df`` only when it provably has at most ``max_bytes`` bytes.
+
+    ``known_bytes`` is a bound the caller already holds (a table built from a
+    fixed list); otherwise one aggregate adds up the rows' sizes. Beyond the
+    bound the frame is returned as is, so the planner falls back to a shuffle
+    join (and AQE may still broadcast it from runtime statistics). The result
+    of a join is the same either way. ``df`` should be a table or a
+    checkpoint: the check computes it.
     """
-    rows = known_rows if known_rows is not None else df.limit(max_rows + 1).count()
-    return F.broadcast(df) if rows <= max_rows else df
+    size = known_bytes if known_bytes is not None else df.agg(F.sum(_row_bytes(df))).first()[0] or 0
+    return F.broadcast(df) if size <= max_bytes else df
 
 
 def env_int(name: str, default: int) -> int:

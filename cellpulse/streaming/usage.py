@@ -16,7 +16,6 @@ from pyspark.sql.streaming import StreamingQuery
 from ..constants import PROFILE_COLUMNS
 from ..operators.profile import sum_by_key
 from ..plans.fixtures import usage_rows
-from ..session import scratch_path
 
 EVENTS_SCHEMA = ("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
                  "value double, props string")
@@ -30,11 +29,14 @@ def event_stream(spark: SparkSession, source_dir: str, glob: str = "events*.parq
     return reader.parquet(source_dir)
 
 
-def start_partial_sums(events: DataFrame, out_path: str, checkpoint: str | None = None,
-                       available_now: bool = True) -> StreamingQuery:
-    """Write per-batch partial sums to ``out_path`` (parquet, one folder per batch)."""
-    spark = events.sparkSession
-    checkpoint = checkpoint or scratch_path(spark, "usage-stream-ckpt")
+def start_partial_sums(events: DataFrame, out_path: str, available_now: bool = True) -> StreamingQuery:
+    """Write per-batch partial sums to ``out_path`` (parquet, one folder per batch).
+
+    The stream's progress is kept beside its output, in a folder that readers
+    skip: a second start on the same output goes on where the first ended
+    and counts no file twice.
+    """
+    checkpoint = f"{out_path.rstrip('/')}/_progress"
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         partial = sum_by_key(usage_rows(batch), "user_id", PROFILE_COLUMNS)

@@ -1,6 +1,5 @@
 """Operator edge cases on small literal frames."""
 
-import math
 import os
 
 import pytest
@@ -50,7 +49,7 @@ def test_labels_cover_targets_times_periods(spark):
     ], SNAP)
     targets = spark.createDataFrame([(1,), (2,)], "user_id bigint")
     sw = change.changed_between_periods(snap, targets)
-    lab = change.label_previous_period(snap, targets, sw)
+    lab = change.label_previous_period(snap, targets, sw, behaviour=("vendor", "dtype", "voice", "sms"))
     got = rows(lab, "period", "user_id")
     assert got == [
         (2, 1, "a", 1, 5, 6, 1),        # behaviour of period 1, changed in 2
@@ -65,6 +64,12 @@ def test_latest_per_key_picks_largest_order(spark):
                                "u int, p int, id int, v string")
     out = change.latest_per_key(df, ["u", "p"], "id", ["v"])
     assert rows(out, "u") == [(1, 1, "z"), (2, 1, "q")]
+    # Beyond the bound on distinct texts the plan changes, not the result; nulls stay null.
+    assert rows(change.latest_per_key(df, ["u", "p"], "id", ["v"], max_codes=2), "u") == rows(out, "u")
+    empty = change.latest_per_key(df.where("u > 9"), ["u", "p"], "id", ["v"], keep_order=True)
+    assert empty.columns == ["u", "p", "v", "id"] and empty.count() == 0
+    nulls = spark.createDataFrame([(1, 1, 10, "x"), (1, 1, 30, None)], "u int, p int, id int, v string")
+    assert change.latest_per_key(nulls, ["u", "p"], "id", ["v"], keep_order=True).first().id == 30
 
 
 # --- profile -----------------------------------------------------------------------
@@ -109,13 +114,6 @@ def test_unpivot_drops_points_with_a_zero_axis(spark):
     assert out == [(1, 0, 1.0, 2.0)]
 
 
-def test_pivot_then_unpivot_round_trip(spark):
-    log = spark.createDataFrame([(1, 0, 1.5, 2.5), (1, 2, 3.5, 4.5)],
-                                "k int, hr int, x double, y double")
-    wide = spatial.pivot_hours(log, ["k"], hours=3)
-    assert rows(spatial.unpivot_hours(wide, ["k"], hours=3), "hr") == rows(log, "hr")
-
-
 def test_area_closed_bounds_and_grid_path_agree(spark):
     areas = spark.createDataFrame([(0, 0.0, 1.0, 0.0, 1.0), (1, 2.0, 3.0, 2.0, 3.0)],
                                   "areaid int, x_min double, x_max double, y_min double, "
@@ -124,8 +122,11 @@ def test_area_closed_bounds_and_grid_path_agree(spark):
                                 "k int, x double, y double")
     small = rows(spatial.assign_area(pts, areas), "k")
     assert small == [(1, 1.0, 1.0, 0), (2, 0.5, 0.0, 0), (4, 2.5, 3.0, 1)]
-    grid = rows(spatial.assign_area(pts, areas, max_broadcast_rows=1, cell=0.7), "k")
-    assert grid == small
+    for cell, size in ((0.7, None), (0.7, 10**12), (0.05, None), (50.0, None)):
+        assert rows(spatial.assign_area(pts, areas, cell=cell, known_bytes=size), "k") == small
+    huge = spark.createDataFrame([(0, -1e6, 1e6, -1e6, 1e6), (1, 2.0, 3.0, 2.0, 3.0)],
+                                 "areaid int, x_min double, x_max double, y_min double, y_max double")
+    assert spatial.assign_area(pts, huge).count() == 5     # a few cells, however large the box
 
 
 def test_nearest_centre_ties_to_lowest_id(spark):
@@ -135,6 +136,7 @@ def test_nearest_centre_ties_to_lowest_id(spark):
                                 "k int, x double, y double, areaid int")
     out = rows(spatial.nearest_centre(pts, cent), "k")
     assert out == [(1, 1.0, 0.0, 0, 0), (2, 1.9, 0.0, 0, 1), (3, 1.0, 0.0, 5, None)]
+    assert rows(spatial.nearest_centre(pts, cent, max_bytes=0), "k") == out
 
 
 def test_tag_join_keeps_left_rows(spark):
@@ -148,11 +150,23 @@ def test_tag_join_keeps_left_rows(spark):
 
 # --- features / quality ------------------------------------------------------------
 
-def test_category_index_sorted_and_null_kept(spark):
-    df = spark.createDataFrame([("b",), ("a",), (None,), ("b",), ("c",)], "v string")
-    assert rows(features.category_index(df, "v"), "v") == [("a", 0), ("b", 1), ("c", 2)]
-    with_idx = features.with_category_index(df, ["v"])
-    assert {r.v: r.v_idx for r in with_idx.collect()} == {"a": 0, "b": 1, "c": 2, None: None}
+def test_category_index_sorted_and_null_is_unknown(spark):
+    df = spark.createDataFrame([("b", "x"), ("a", "x"), (None, "y"), ("b", None), ("c", "x")], "v string, w string")
+    index = features.category_index(df, ["v", "w"])
+    assert rows(index, "column", "value") == [("v", "a", 0), ("v", "b", 1), ("v", "c", 2), ("w", "x", 0), ("w", "y", 1)]
+    with_idx = features.with_category_index(df, ["v", "w"], index)
+    assert {r.v: r.v_idx for r in with_idx.collect()} == {"a": 0, "b": 1, "c": 2, None: 3}
+    assert features.arities(index, ["v", "w"]) == {"v": 4, "w": 3}
+    assert ("v", None) in rows(features.distinct_values(df, ["v", "w"]))
+    other = features.with_category_index(spark.createDataFrame([("zz",)], "v string"), ["v"], index)
+    assert other.first().v_idx == 3
+
+
+def test_feature_rows_keep_rows_without_a_record(spark):
+    df = spark.createDataFrame([("a", 5, 0), (None, None, 1)], "v string, x int, label int")
+    index = features.category_index(df, ["v"])
+    got = rows(features.feature_rows(df, index, ["v"], ["x"], keep=["label"]), "label")
+    assert got == [(0, 0, 5), (1, 1, -1)]
 
 
 def test_column_profile_counts_nan_and_null(spark):
@@ -173,12 +187,22 @@ def test_field_count_right_separator_is_constant(spark):
 def test_confusion_and_metrics_all_one_class(spark):
     df = spark.createDataFrame([(0, 0), (0, 0), (0, 1)], "label int, prediction int")
     conf = model.confusion(df)
-    assert rows(conf, "label") == [(0, 2, 1)]
+    assert rows(conf, "label") == [(0, 2, 1), (1, 0, 0)]
     m = model.binary_metrics(conf).first()
     assert m.accuracy == 2 / 3 and m.precision_1 == 0.0 and m.recall_1 is None
     assert m.majority_share == 1.0
 
 
+def test_confusion_keeps_every_class(spark):
+    df = spark.createDataFrame([(0, 0), (1, 2), (2, 2), (2, 0), (None, 1)], "label int, prediction int")
+    conf = model.confusion(df)
+    assert conf.columns == ["label", "pred_0", "pred_1", "pred_2"]
+    assert rows(conf, "label") == [(0, 1, 0, 0), (1, 0, 0, 1), (2, 1, 0, 1)]
+    got = {r.label: r for r in model.class_metrics(conf).collect()}
+    assert got[0].precision == 0.5 and got[0].recall == 1.0 and got[1].recall == 0.0 and got[1].precision is None
+    assert got[2].support == 2 and got[2].f1 == 0.5 and got[0].accuracy == 0.5
+
+
 def test_hash_split_is_stable_and_whole(spark):
     df = spark.range(1000).withColumnRenamed("id", "k")
     a = model.holdout_split(df, F.col("k"))
@@ -189,10 +213,27 @@ def test_hash_split_is_stable_and_whole(spark):
 
 
 def test_forest_handles_unseen_category(spark):
-    train = spark.createDataFrame([("a", 1.0, 0), ("b", 5.0, 1)] * 20, "v string, x double, label int")
-    m = model.fit_forest(train, ["v"], ["x"], numTrees=3, maxDepth=3, seed=1)
-    new = spark.createDataFrame([("zz", 5.0)], "v string, x double")
-    assert model.score(m, new, ["v"]).count() == 1
+    train = spark.createDataFrame([("a", 1, 0), ("b", 5, 1)] * 20, "v string, x int, label int")
+    index = features.category_index(train, ["v"])
+    arity = features.arities(index, ["v"])
+
+    def ready(df, keep):
+        return model.assembled(features.feature_rows(df, index, ["v"], ["x"], keep=keep), ["v"], ["x"], arity)
+
+    m = model.fit_forest(ready(train, ["label"]), numTrees=3, maxDepth=3, seed=1)
+    assert m.numFeatures == 2
+    new = spark.createDataFrame([(1, "zz", 5), (2, None, None)], "k int, v string, x int")
+    assert model.score(m, ready(new, ["k"]), ["k"]).count() == 2
+
+
+def test_grid_search_keeps_a_model_per_point_and_fold(spark):
+    df = spark.createDataFrame([(i % 3, i % 2, i % 2) for i in range(60)], "fold int, v_idx int, label int")
+    found = model.forest_grid_cv(model.assembled(df, ["v"], [], {"v": 2}),
+                                 {"numTrees": [2], "maxDepth": [2, 3]}, folds=3)
+    assert [(r.point["maxDepth"], r.fold) for r in found] == [(d, f) for d in (2, 3) for f in range(3)]
+    assert all(r.model.getNumTrees == 2 and (r.n_train, r.n_valid) == (40, 20) for r in found)
+    assert all(r.f_measure == r.precision == r.recall == 1.0 for r in found)
+    assert model.grid_table(spark, found).count() == 6
 
 
 # --- scalar functions ----------------------------------------------------------------
@@ -201,19 +242,43 @@ def test_scalar_functions(spark):
     df = spark.createDataFrame([("ab", 5, 123, '"x"', "")], "s string, n int, m int, q string, e string")
     r = df.select(text.bytes_to_hex("s").alias("h"), text.bytes_to_hex("s", ":").alias("hs"),
                   text.zero_pad("n").alias("p"), text.zero_pad("m").alias("pm"),
-                  text.strip_quotes("q").alias("sq"), text.blank_to_zero("e").alias("z"),
-                  text.hex_prefix_to_decimal(F.lit("ff")).alias("d"),
-                  text.to_line(["s", "n"]).alias("line")).first()
-    assert tuple(r) == ("6162", "61:62", "05", "123", "x", "0", "255", "ab,5")
+                  text.strip_quotes("q").alias("sq"), text.hex_to_decimal(F.lit("ff")).alias("d"),
+                  text.to_line(["s", F.lit(None), "n"]).alias("line")).first()
+    assert tuple(r) == ("6162", "61:62", "05", "123", "x", "255", "ab,,5")
+
+
+def test_hex_to_decimal_is_exact_for_whole_ids(spark):
+    import hashlib
+    ids = ["0", "0" * 32, "f" * 32, "F" * 16, "1" + "0" * 16, "8" + "0" * 31] + [
+        hashlib.md5(str(i).encode()).hexdigest() for i in range(500)]
+    df = spark.createDataFrame([(i,) for i in ids], "h string")
+    assert {r.h: r.d for r in df.select("h", text.hex_to_decimal("h").alias("d")).collect()} == {
+        i: str(int(i, 16)) for i in ids}
+    bad = spark.createDataFrame([(None,), ("",), ("xyz",), ("0" * 33,)], "h string")
+    assert {r.d for r in bad.select(text.hex_to_decimal("h").alias("d")).collect()} == {None}
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_values_of_the_wrong_type_stop_the_job(spark, ansi):
+    path = scratch_path(spark, "t-bad")
+    os.makedirs(local_path(path))
+    with open(f"{local_path(path)}/part.csv", "w") as f:
+        f.write("7,2024-01-02,abc,2.5\n")
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        with pytest.raises(Exception, match="not a double in x0: abc"):
+            io.read_wide_locations(spark, path).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
 
 
 # --- sources -------------------------------------------------------------------------
 
 def test_device_csv_quoted_comma_and_header_per_file(spark):
     path = scratch_path(spark, "t-device")
-    df = spark.createDataFrame([(1, 10, "U8800,U8800,IDEOSX5", 3, 4, 5), (2, 11, "b", 1, 2, 3)],
-                               "period int, user_id bigint, vendor string, dtype int, voice int, "
-                               "sms int")
+    df = spark.createDataFrame([(1, 10, "2G", "F", "30-39", "0-49", "v", "U8800,U8800,IDEOSX5", "0-499", 4, 5),
+                                (2, 11, "3G", None, "0-9", "0-49", "w", "b", "0-499", 2, 3)], io.DEVICE_LOG_SCHEMA)
     io.write_device_logs(df, path)
     back = io.read_device_logs(spark, path).select(*df.columns)
     assert rows(back, "period") == rows(df, "period")
@@ -253,7 +318,7 @@ def test_centres_round_trip_keeps_line_order(spark):
     root = scratch_path(spark, "t-cent")
     cent = spatial.centre_table(spark)
     io.write_centres(cent, root)
-    back = io.read_centres(spark, [f"{root}/area={a:02d}" for a in range(4)])
+    back = io.read_centres(spark, root)
     assert rows(back, "areaid", "clusterid") == rows(cent, "areaid", "clusterid")
 
 
@@ -266,23 +331,22 @@ def test_ids_round_trip(spark):
 
 def test_scratch_paths_are_fresh(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
-    assert not math.isnan(1.0)
 
 
-@pytest.mark.parametrize("n", [1, 3])
-def test_bounded_broadcast_respects_bound(spark, n):
+@pytest.mark.parametrize("size, fits", [(1, False), (10_000, True)])
+def test_bounded_broadcast_respects_bound(spark, size, fits):
     from cellpulse.session import bounded_broadcast
-    df = spark.range(2)
-    out = bounded_broadcast(df, n)
-    assert (out is df) == (n < 2)
+    df = spark.createDataFrame([("x" * 100,), (None,)], "s string")
+    assert (bounded_broadcast(df, size) is not df) == fits
+    assert bounded_broadcast(df, 10, known_bytes=11) is df
 
 
 def test_prediction_sink_round_trip(spark):
     path = scratch_path(spark, "t-pred")
-    df = spark.createDataFrame([(5, 1), (6, 0)], "user_id bigint, prediction int")
+    df = spark.createDataFrame([(5, 1), (6, 0), (7, None)], "user_id bigint, prediction int")
     io.write_predictions(df, path)
-    assert sorted(r.value for r in spark.read.text(path).collect()) == ["5,1", "6,0"]
-    assert rows(io.read_predictions(spark, path), "user_id") == [(5, 1), (6, 0)]
+    assert sorted(r.value for r in spark.read.text(path).collect()) == ["5,1", "6,0", "7,"]
+    assert rows(io.read_predictions(spark, path), "user_id") == [(5, 1), (6, 0), (7, None)]
 
 
 def test_array_to_columns_inverts_array(spark):
@@ -306,8 +370,8 @@ def test_category_index_across_many_partitions(spark):
     key = "spark.sql.adaptive.coalescePartitions.enabled"
     spark.conf.set(key, "false")   # keep several range partitions for the tiny input
     try:
-        idx = features.category_index(vals.repartition(7), "v")
-        got = rows(idx, "v")
+        idx = features.category_index(vals.repartition(7), ["v"]).drop("column")
+        got = rows(idx, "value")
         parts = {r._p for r in idx.select(F.spark_partition_id().alias("_p")).collect()}
     finally:
         spark.conf.set(key, "true")
@@ -323,16 +387,17 @@ def test_centres_numbered_across_several_files_in_name_order(spark):
         f.write("3.0,3.0\n4.0,4.0\n5.0,5.0\n")
     with open(f"{area}/part-a.csv", "w") as f:
         f.write("1.0,1.0\n2.0,2.0\n")
-    got = rows(io.read_centres(spark, [f"{root}/area=07"]), "clusterid")
+    got = rows(io.read_centres(spark, root), "clusterid")
     assert got == [(7, i, float(i + 1), float(i + 1)) for i in range(5)]
 
 
 def test_scale_conf_sizes_partitions_from_input():
     from cellpulse.session import scale_conf
     conf = scale_conf(100 * 10**12)
-    assert conf["spark.sql.files.maxPartitionBytes"] == str(256 << 20)
-    assert int(conf["spark.sql.shuffle.partitions"]) == int(100 * 10**12 * 0.25) // (256 << 20)
-    assert int(scale_conf(10)["spark.sql.shuffle.partitions"]) == 8
+    splits = 100 * 10**12 / int(conf["spark.sql.files.maxPartitionBytes"])
+    assert splits * int(conf["spark.sql.shuffle.partitions"]) < 10**9   # blocks the driver keeps track of
+    assert scale_conf(10)["spark.sql.shuffle.partitions"] == "8"
+    assert scale_conf(10)["spark.sql.files.maxPartitionBytes"] == str(128 << 20)
 
 
 def test_hash_split_keeps_null_keys(spark):
@@ -356,11 +421,27 @@ def test_device_log_gbk_encoding(spark):
         spark.conf.unset(key)
 
 
-def test_label_strategies_agree(spark):
-    from cellpulse.plans.device import DeviceInputs
-    from conftest import SF_SMALL
-    d = DeviceInputs(spark, SF_SMALL, reuse=True)
-    grouped = change.label_previous_period(d.snap, d.targets, d.switch)
-    joined = change.label_previous_period(d.snap, d.targets, d.switch, strategy="join")
-    assert grouped.count() == joined.count()
-    assert grouped.exceptAll(joined).count() == 0 and joined.exceptAll(grouped).count() == 0
+def test_periods_run_on_across_months(spark):
+    from cellpulse.plans.fixtures import in_periods, with_period
+    days = spark.sql("select cast(d as timestamp_ntz) as ts from (select explode(sequence("
+                     "date '2023-12-30', date '2024-03-05')) as d)")
+    got = with_period(days)
+    by_day = {str(r.ts.date()): r.period for r in got.collect()}
+    assert by_day["2024-01-01"] == 1 and by_day["2024-01-30"] == 12 and by_day["2024-01-31"] == 13
+    assert by_day["2024-02-01"] == 13 and by_day["2024-03-01"] == 25 and by_day["2023-12-31"] == 0
+    for first, last in ((1, 1), (3, 4), (12, 12), (13, 14)):
+        want = got.where(F.col("period").between(first, last))
+        assert rows(with_period(in_periods(days, first, last)), "ts") == rows(want, "ts")
+
+
+def test_read_located_takes_whatever_areas_there_are(spark):
+    schema = io.LOCATED_SCHEMA
+    df = spark.createDataFrame([(1, None, 1, 2.0, 3.0, 0, 4), (2, None, 1, 2.0, 3.0, 17, 4)], schema)
+    root = scratch_path(spark, "t-areas")
+    io.write_located_by_area(df, root)
+    assert rows(io.read_located(spark, root), "user_id") == rows(df, "user_id")
+    assert [r.user_id for r in io.read_located(spark, root, area=17).collect()] == [2]
+    assert io.read_located(spark, root, area=3).count() == 0
+    none = scratch_path(spark, "t-areas-none")
+    io.write_located_by_area(df.where("user_id > 5"), none)
+    assert io.read_located(spark, none).count() == 0

@@ -3,19 +3,18 @@
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF_CHECK, SF_SMALL
+from cellpulse.plans.queries import REGISTRY
+from conftest import SF_CHECK
 from oracle_compare import compare
 
-KEYS = list(entry.queries())
-SLOW = {"rf_grid_cv", "rf_fit_predict", "predict_target"}
+KEYS = list(REGISTRY)
 
 
-def test_every_key_has_oracle_or_is_model():
-    missing = set(KEYS) - set(entry.oracle_sql())
-    assert missing <= SLOW, missing
+def test_every_key_has_an_oracle():
+    assert set(KEYS) <= set(entry.oracle_sql()) and set(KEYS) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("key", [k for k in KEYS if k not in SLOW])
+@pytest.mark.parametrize("key", KEYS)
 def test_key_matches_oracle(spark, key):
     res = compare(spark, key, SF_CHECK)
     assert res["columns_match"], res
@@ -23,12 +22,6 @@ def test_key_matches_oracle(spark, key):
     assert res["values_match"], res
 
 
-@pytest.mark.parametrize("key", sorted(SLOW))
-def test_model_keys_run(spark, key):
-    df = entry.queries()[key](spark, SF_SMALL)
-    assert df.count() > 0
-
-
 def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.columns == ["period", "user_id", "n_vendor", "n_type", "b_vendor", "b_type"]

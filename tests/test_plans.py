@@ -7,18 +7,16 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from cellpulse.plans.queries import REGISTRY
 from conftest import SF_SMALL
 
-MODEL_KEYS = {"rf_grid_cv", "rf_fit_predict", "predict_target"}
-KEYS = [k for k in entry.queries() if k not in MODEL_KEYS]
-# Keys whose plan contains the area assignment (a range join against 4 boxes).
-AREA_KEYS = {"area_assign", "nearest_centre", "cluster_centres", "located_with_tags",
-             "sql_report_filter", "top_rows", "hex_to_decimal", "multi_path_union"}
+MODEL_KEYS = {"rf_grid_cv", "rf_fit_predict", "rf_separable", "predict_target"}
+KEYS = [k for k in REGISTRY if k not in MODEL_KEYS]
 # Keys that aggregate raw events by user: the aggregate must be partial before the shuffle.
 EVENT_AGGREGATES = {"period_snapshot", "profile_sum", "unpivot_hours", "distinct_users",
                     "l2_normalize", "category_distinct"}
 # Keys that read a derived frame several times and use its materialised copy.
-MATERIALISED = {"device_switch", "label_prev_period", "feature_rows", "target_scoring_rows",
+MATERIALISED = {"device_switch", "label_prev_period", "feature_rows",
                 "tag_flags", "tag_sum", "feature_histogram"}
 
 
@@ -42,9 +40,8 @@ def test_no_cartesian_or_python(plans, key):
 
 
 @pytest.mark.parametrize("key", KEYS)
-def test_nested_loop_join_only_for_area_boxes(plans, key):
-    if "BroadcastNestedLoopJoin" in plans[key]:
-        assert key in AREA_KEYS
+def test_no_nested_loop_join(plans, key):
+    assert "BroadcastNestedLoopJoin" not in plans[key]
 
 
 @pytest.mark.parametrize("key", KEYS)
@@ -76,10 +73,48 @@ def test_period_filter_prunes_device_log_folders(spark):
     one = io.read_device_logs(spark, path).where(F.col("period") == 12)
     plan = plan_text(one)
     assert re.search(r"PartitionFilters: \[[^\]]*period[^\]]*= 12", plan), plan
-    assert one.count() == DeviceInputs(spark, SF_SMALL).targets.count()
+    assert one.count() == DeviceInputs(spark, SF_SMALL).snap.where(F.col("period") == 12).count()
 
 
 def test_date_filter_reaches_parquet_as_ts_range(plans):
     plan = plans["where_date"]
     assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(ts,2024-01-05", plan), plan
     assert re.search(r"PushedFilters: \[[^\]]*LessThan\(ts,2024-01-06", plan), plan
+
+
+def test_one_period_questions_read_a_range_of_ts(spark, plans):
+    from cellpulse.plans import fixtures
+    from cellpulse.sources.tables import read_table
+    events = read_table(spark, SF_SMALL, "events")
+    for first, plan in ((11, plan_text(fixtures.device_snapshot(fixtures.in_periods(events, 11, 12)))),
+                        (12, plans["target_scoring_rows"])):
+        start = {11: "2024-01-26", 12: "2024-01-29"}[first]
+        assert re.search(rf"PushedFilters: \[[^\]]*GreaterThanOrEqual\(ts,{start}", plan), plan
+        assert re.search(r"PushedFilters: \[[^\]]*LessThan\(ts,2024-01-31", plan), plan
+
+
+def test_one_period_results_equal_the_filtered_whole(spark):
+    from pyspark.sql import functions as F
+    q = entry.queries()
+    for one, whole in (("switch_one_period", "device_switch"), ("label_one_period", "label_prev_period")):
+        want = q[whole](spark, SF_SMALL).where(F.col("period") == 12)
+        got = q[one](spark, SF_SMALL)
+        assert got.count() == want.count() and got.exceptAll(want.select(*got.columns)).count() == 0
+
+
+def test_snapshot_is_hash_aggregated(plans):
+    assert "SortAggregate" not in plans["period_snapshot"] and "HashAggregate" in plans["period_snapshot"]
+
+
+def test_no_exchange_on_a_category_or_area(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        for name, cols in (("feature_rows", ("net", "gender", "age", "arpu", "bytes", "value", "vendor")),
+                           ("nearest_centre", ("areaid", "_cell_x"))):
+            plan = plan_text(entry.queries()[name](spark, SF_SMALL))
+            for c in cols:
+                assert not re.search(rf"hashpartitioning\({c}#", plan), plan
+    finally:
+        spark.conf.set(key, before)

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from cellpulse.constants import SKIPPED_PERIODS
-from cellpulse.operators.spatial import pivot_hours
 from cellpulse.plans.device import DeviceInputs
 from cellpulse.plans.profile import ProfileInputs
 from cellpulse.plans.spatial import SpatialInputs
@@ -23,9 +22,12 @@ def test_labelled_rows_are_periods_times_targets(spark):
     assert d.labeled.select("user_id", "period").distinct().count() == d.labeled.count()
 
 
-def test_rows_to_score_equal_targets(spark):
+def test_target_list_and_log_overlap_in_part(spark):
     q = entry.queries()
-    assert q["target_scoring_rows"](spark, SF_CHECK).count() == q["target_list"](spark, SF_CHECK).count()
+    scored, listed = q["target_scoring_rows"](spark, SF_CHECK), q["target_list"](spark, SF_CHECK)
+    snap = DeviceInputs(spark, SF_CHECK).snap.where("period = 12")
+    assert 0 < scored.count() < listed.count()
+    assert listed.join(snap, "user_id", "left_anti").count() > 0 and snap.join(listed, "user_id", "left_anti").count() > 0
 
 
 def test_changes_exist_for_ten_periods_not_skipped(spark):
@@ -41,12 +43,14 @@ def test_profile_rows_one_per_user_and_preserved(spark):
 
 def test_padded_wide_rows_and_unpivot_equals_log(spark):
     s = SpatialInputs(spark, SF_CHECK)
+    top = s.events.groupBy("user_id", F.to_date("ts").alias("dt"), F.hour("ts").cast("int").alias("hr")).agg(
+        F.max("event_id").alias("t"))
+    log = top.select("user_id", "dt", "hr", (121.4 + F.col("t") % 170 / 1000.0).alias("x"),
+                     (31.17 + F.col("t") % 131 / 1000.0).alias("y"))
     assert len(s.wide.columns) == 50
-    assert s.long.exceptAll(s.log.select(*s.long.columns)).count() == 0
-    assert s.long.count() == s.log.count()
-    pivoted = pivot_hours(s.log, ["user_id", "dt"])
-    assert s.wide.exceptAll(pivoted.select(*s.wide.columns)).count() == 0
-    assert s.wide.count() == pivoted.count()
+    assert s.long.count() == log.count()
+    assert s.long.join(log, ["user_id", "dt", "hr"]).where(
+        (F.abs(s.long["x"] - log["x"]) < 1e-9) & (F.abs(s.long["y"] - log["y"]) < 1e-9)).count() == log.count()
 
 
 def test_split_parts_sum_to_whole(spark):
@@ -55,9 +59,9 @@ def test_split_parts_sum_to_whole(spark):
 
 
 def test_left_join_with_unique_right_keeps_left_count(spark):
-    s = SpatialInputs(spark, SF_CHECK)
-    filtered = s.clus.where((F.col("areaid") == 0) & (F.col("hr") == 10)).count()
-    assert entry.queries()["located_with_tags"](spark, SF_CHECK).count() == filtered
+    got = entry.queries()["located_with_tags"](spark, SF_CHECK)
+    assert got.count() == SpatialInputs(spark, SF_CHECK).clus.count()
+    assert 0 < got.where("tag_user_id is null").count() < got.count()
 
 
 def test_located_points_sit_in_one_area(spark):
@@ -74,6 +78,9 @@ def test_usage_stream_partials_fold_to_profile(spark):
     assert got.count() == want.count()
     assert got.exceptAll(want.select(*got.columns)).count() == 0
     assert os.path.isdir(local_path(out))
+    # A second start on the same output goes on; it counts nothing twice.
+    stream.start_partial_sums(stream.event_stream(spark, SF_SMALL, "events.parquet"), out).awaitTermination(120)
+    assert stream.read_usage_sums(spark, out).exceptAll(want.select(*got.columns)).count() == 0
 
 
 def test_written_wide_rows_always_have_fifty_fields(spark):

@@ -36,10 +36,13 @@ def test_hot_key_really_is_hot(hot_pdf):
 
 def brute_snapshot(pdf):
     last = pdf.sort_values("event_id").groupby(["user_id", "period"]).tail(1)
+    i, voice = last["event_id"], np.floor(last["value"]).astype(int)
+    band = lambda k, w: (k * w).astype(str) + "-" + (k * w + w - 1).astype(str)
     return pd.DataFrame({
-        "user_id": last["user_id"], "period": last["period"], "vendor": last["event_type"],
-        "dtype": np.floor(last["value"] / 100).astype(int), "voice": np.floor(last["value"]).astype(int),
-        "sms": (last["event_id"] % 100).astype(int)})
+        "period": last["period"], "user_id": last["user_id"], "net": np.where(i % 2 == 0, "2G", "3G"),
+        "gender": np.array(["F", "M", "U"])[i % 3], "age": band(last["user_id"] % 9, 10), "arpu": band(voice // 50 % 8, 50),
+        "vendor": last["event_type"], "dtype": "M" + (voice // 100).astype(str),
+        "bytes": band(i % 12, 500), "voice": voice, "sms": (i % 100).astype(int)})
 
 
 def as_set(df):
@@ -54,7 +57,7 @@ def test_snapshot_under_skew(hot_events, hot_pdf):
 
 def test_changes_and_labels_under_skew(hot_events, hot_pdf):
     snap = fixtures.device_snapshot(hot_events)
-    targets = fixtures.target_list(snap)
+    targets = snap.where("period = 12").select("user_id")
     sw = change.changed_between_periods(snap, targets).toPandas()
     lab = change.label_previous_period(snap, targets, change.changed_between_periods(snap, targets))
 

@@ -33,10 +33,10 @@ def final_plan(df) -> str:
 def main() -> None:
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.1")
-    ap.add_argument("--skip", default="rf_grid_cv,rf_fit_predict,predict_target")
+    ap.add_argument("--skip", default="rf_grid_cv,rf_fit_predict,rf_separable,predict_target")
     args = ap.parse_args()
     from cellpulse.session import build_session
-    import __spark_entry__ as entry
+    from cellpulse.plans.queries import REGISTRY
     spark = build_session("local[8]", "cellpulse-plans", shuffle_partitions=16)
     spark.sparkContext.setLogLevel("ERROR")
     skip = set(args.skip.split(","))
@@ -45,7 +45,7 @@ def main() -> None:
           "Generated by `tools/plan_report.py`.\n")
     print("| key | " + " | ".join(n for n, _ in NODES) + " |")
     print("| --- |" + " --- |" * len(NODES))
-    for key, q in entry.queries().items():
+    for key, q in REGISTRY.items():
         if key in skip:
             continue
         df = q(spark, args.sf)
