@@ -124,7 +124,8 @@ def assembled(rows: DataFrame, categorical: Sequence[str], numeric: Sequence[str
     out = rows
     for c in categorical:
         meta = {"ml_attr": {"name": f"{c}_idx", "type": "nominal", "vals": [str(i) for i in range(arity[c])]}}
-        out = out.withMetadata(f"{c}_idx", meta)
+        # The assembler reads a column's attribute from double columns only.
+        out = out.withColumn(f"{c}_idx", F.col(f"{c}_idx").cast("double")).withMetadata(f"{c}_idx", meta)
     inputs = [f"{c}_idx" for c in categorical] + list(numeric)
     return VectorAssembler(inputCols=inputs, outputCol="features").transform(out)
 

@@ -48,9 +48,10 @@ def test_padded_wide_rows_and_unpivot_equals_log(spark):
     log = top.select("user_id", "dt", "hr", (121.4 + F.col("t") % 170 / 1000.0).alias("x"),
                      (31.17 + F.col("t") % 131 / 1000.0).alias("y"))
     assert len(s.wide.columns) == 50
+    log = log.withColumnsRenamed({"x": "lx", "y": "ly"})
     assert s.long.count() == log.count()
-    assert s.long.join(log, ["user_id", "dt", "hr"]).where(
-        (F.abs(s.long["x"] - log["x"]) < 1e-9) & (F.abs(s.long["y"] - log["y"]) < 1e-9)).count() == log.count()
+    near = (F.abs(F.col("x") - F.col("lx")) < 1e-9) & (F.abs(F.col("y") - F.col("ly")) < 1e-9)
+    assert s.long.join(log, ["user_id", "dt", "hr"]).where(near).count() == log.count()
 
 
 def test_split_parts_sum_to_whole(spark):
