@@ -164,6 +164,27 @@ class Top:
         return total / LOG10
 
 
+class WindowTable:
+    """Values by window: a slot table that holds most windows, and a sorted search for the rest."""
+
+    def __init__(self, window: np.ndarray, value: np.ndarray):
+        order = np.argsort(window)
+        self.window, self.value = window[order], value[order]
+        bits = max(8, min(22, int(len(window)).bit_length() + 3))
+        self.shift = np.uint64(64 - bits)
+        self.slots = np.zeros(1 << bits, np.int32)
+        self.slots[self._slot(self.window)] = np.arange(len(window), dtype=np.int32)
+
+    def _slot(self, window: np.ndarray) -> np.ndarray:
+        return (window * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def __getitem__(self, window: np.ndarray) -> np.ndarray:
+        at = self.slots[self._slot(window)]
+        other = np.flatnonzero(self.window[at] != window)
+        at[other] = np.searchsorted(self.window, window[other])
+        return self.value[at]
+
+
 def _pieces(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     start, size = 0, 0
     for i, t in enumerate(texts):
@@ -274,25 +295,21 @@ def _score(depth: int, total: int, distinct: int, ends: int):
 
     def run(packs: pa.Table, values: pa.Table) -> pa.Table:
         own = values.filter(pc.is_valid(values["window"]))
-        window = own["window"].to_numpy().view(np.uint64)
-        order = np.argsort(window)
-        window, logs = window[order], own["value"].to_numpy()[order]
+        logs = WindowTable(own["window"].to_numpy().view(np.uint64), own["value"].to_numpy())
         own = values.filter(pc.is_valid(values["word"]))
-        counts = dict(zip(own["word"].to_pylist(), own["value"].to_pylist()))
-        known = {w: c > 0 for w, c in counts.items()}
-        base = {w: float(np.log10(c + 1)) for w, c in counts.items()}
+        # log10(count + 1): zero for a word that training has not seen, and only then.
+        base = dict(zip(own["word"].to_pylist(), np.log10(own["value"].to_numpy() + 1).tolist()))
         rows = []
         for ids, trains, packed in zip(packs["ids"].to_pylist(), packs["trains"].to_pylist(), packs["packed"].to_pylist()):
             texts = zstandard.ZstdDecompressor().decompress(packed).split(END)
             for lo, hi in _pieces(texts):
                 got, sizes = windows(texts[lo:hi], depth)
-                each = logs[np.searchsorted(window, got)]
-                scores = np.add.reduceat(each, np.cumsum(sizes) - sizes)
+                scores = np.add.reduceat(logs[got], np.cumsum(sizes) - sizes)
                 for i in range(lo, hi):
-                    words = texts[i].split()
-                    n = len(words) + 1
-                    rows.append((ids[i], not trains[i], n, sum(map(known.__getitem__, words)) + (ends > 0), total,
-                                 sum(map(base.__getitem__, words)) + float(np.log10(ends + 1)) - n * floor,
+                    each = list(map(base.__getitem__, texts[i].split()))
+                    n = len(each) + 1
+                    rows.append((ids[i], not trains[i], n, len(each) - each.count(0.0) + (ends > 0), total,
+                                 sum(each) + float(np.log10(ends + 1)) - n * floor,
                                  float(scores[i - lo]), int(sizes[i - lo])))
         columns = list(zip(*rows)) or [()] * len(types)
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
