@@ -35,9 +35,15 @@ class LabelModel:
 
 
 def fit(patterns: list[tuple[int, ...]], counts: list[int], rounds: int = 200,
-        smooth: float = 1.0, prior: float = 0.5, anchor: float = 0.8) -> LabelModel:
+        smooth: float = 1.0, prior: float = 0.5, anchor: float = 0.8, silent: bool = False) -> LabelModel:
     """Maximum a posteriori by EM, from vote patterns and how many items have each.
 
+    By default a labeller's abstention is evidence like a vote: a detector of
+    one kind of junk that stays silent speaks for an item. With ``silent`` it
+    says nothing: labellers that abstain where they do not apply (a word list
+    on a text in another language) have one rate of abstention for both
+    classes.
+
     Every labeller starts at accuracy ``anchor`` and keeps that as a weak
     prior (``smooth`` pseudo-votes), which fixes which class is 1. No patterns
     at all give the starting model; a pattern of abstentions only stays at
@@ -59,6 +65,10 @@ def fit(patterns: list[tuple[int, ...]], counts: list[int], rounds: int = 200,
                 has = votes[:, j] == v
                 table[j, 1, v + 1] += (weight * one)[has].sum()
                 table[j, 0, v + 1] += (weight * (1 - one))[has].sum()
+        if silent:
+            rate = table[:, :, 0].sum(axis=1) / table.sum(axis=(1, 2))
+            table[:, :, 1:] *= ((1 - rate)[:, None] / table[:, :, 1:].sum(axis=2))[:, :, None]
+            table[:, :, 0] = rate[:, None]
         table /= table.sum(axis=2, keepdims=True)
         total = weight.sum()
         new_prior = float(((weight * one).sum() + smooth * prior) / (total + smooth))

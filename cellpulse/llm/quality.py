@@ -27,18 +27,19 @@ TRAINING_DOCS = 12_000
 #: Slots of the hashed features.
 SIZE = 1 << 16
 #: Bytes of a word's start that make its feature: inflected forms share it.
-START = 6
+START = 4
 #: Words whose slot a Python worker remembers.
 WORD_MEMORY = 500_000
 
-#: Common words of the four languages, and words of abuse: fixed lists.
-COMMON = frozenset(w.encode() for w in (
-    "the of and to in a is that for it as was with be by on not he his this are or from at which an "
+#: Common words of the four languages, and English words of abuse: fixed lists.
+ENGLISH = frozenset(w.encode() for w in (
+    "the of and to in a is that for it as was with be by on not he his this are or from at which an").split())
+COMMON = ENGLISH | frozenset(w.encode() for w in (
     "der die das und ist von mit den zu auf für nicht ein eine im dem des sich als auch "
     "le la les de des et un une est en que qui dans pour par sur pas du au avec "
     "el los las y que por con una su para es al lo como se del no más").split())
 INSULTS = frozenset(w.encode() for w in "idiot moron clown loser scum trash jerk".split())
-ABUSE = frozenset(w.encode() for w in "stupid pathetic disgusting worthless filthy vile".split())
+ABUSE = frozenset(w.encode() for w in "stupid pathetic disgusting worthless filthy".split())
 _EDGE = b".,;:!?\"'()[]{}%*&#$|"
 _SYMBOLS = b"#$%&*|<>{}[]\\^~_=@+"
 _CLASS = np.zeros(256, np.int64)
@@ -56,7 +57,7 @@ def statistics(raw: bytes, words: list[bytes]) -> dict[str, float]:
     """Shares that the labellers and the scorer read; all 0 for a text without words."""
     n = len(words)
     if not n:
-        return {k: 0.0 for k in ("n", "upper", "symbol", "mark", "repeat", "variety", "common", "bar", "insult", "abuse")}
+        return {k: 0.0 for k in ("n", "upper", "symbol", "mark", "repeat", "variety", "common", "english", "bar", "insult", "abuse")}
     classes = np.bincount(_CLASS[np.frombuffer(raw, np.uint8)], minlength=6)
     low = raw.lower().split()
     bare = [w.strip(_EDGE) for w in low]
@@ -68,6 +69,7 @@ def statistics(raw: bytes, words: list[bytes]) -> dict[str, float]:
         "repeat": sum(map(eq, words, words[1:])) / n,
         "variety": len(set(words)) / n,
         "common": sum(map(COMMON.__contains__, low)) / n,
+        "english": sum(map(ENGLISH.__contains__, low)) / n,
         "bar": words.count(b"|") / n,
         "insult": sum(map(INSULTS.__contains__, bare)),
         "abuse": sum(map(ABUSE.__contains__, bare)),
@@ -95,12 +97,13 @@ def quality_votes(s: dict[str, float]) -> tuple[int, ...]:
 
 
 def toxicity_votes(s: dict[str, float]) -> tuple[int, ...]:
-    """0 abusive, -1 abstain: no word of a short list is no proof of a clean text."""
+    """0 abusive, 1 clean. The lists are English: on other texts without a hit they abstain."""
     hits = s["insult"] + s["abuse"]
+    clean = 1 if s["english"] >= 0.12 else -1
     return (
-        0 if s["insult"] else -1,
-        0 if s["abuse"] else -1,
-        0 if hits > 0.01 * s["n"] else -1,
+        0 if s["insult"] else clean,
+        0 if s["abuse"] else clean,
+        0 if hits > 0.01 * s["n"] else clean if not hits else -1,
     )
 
 
@@ -203,7 +206,8 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
     for question in ("quality", "toxicity"):
         # At most 3 ** labellers rows.
         patterns = voted.groupBy(question).count().orderBy(question).collect()
-        models[question] = model = label_model.fit([tuple(r[question]) for r in patterns], [r["count"] for r in patterns])
+        models[question] = model = label_model.fit(
+            [tuple(r[question]) for r in patterns], [r["count"] for r in patterns], silent=question == "toxicity")
         good = [list(r[question]) for r in patterns
                 if model.posterior(np.array([r[question]]))[0] >= 0.5 and any(v >= 0 for v in r[question])]
         bad = [list(r[question]) for r in patterns
@@ -226,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
     for question in ("quality", "toxicity"):
         if chosen:
             target = models[question].posterior(np.array([chosen[h][question] for h in sample["h"].to_pylist()]))
-            weights[question] = label_model.logistic(matrix, target, SIZE, rounds=150, penalty=5e-5)
+            weights[question] = label_model.logistic(matrix, target, SIZE, rounds=300, penalty=1e-4)
         else:
             weights[question] = np.zeros(SIZE + 1)
     return Classifier(models, weights)

@@ -51,7 +51,8 @@ def test_labellers():
 
     prose = ("The cat sat on the mat and it was happy to be there with the dog, for a long day in the old house had "
              "come to its end and the lamp by the window was not yet out when the rain began to fall on the roof. ")
-    assert 0 not in votes(prose)[0] and set(votes(prose)[1]) == {-1}
+    assert 0 not in votes(prose)[0] and set(votes(prose)[1]) == {1}
+    assert set(votes("der Hund und die Katze sind in dem Haus und das ist gut")[1]) == {-1}
     for junk in (prose.upper(), "word%%% more### and*** " * 20, "Ment " * 60, "a | b | c | d | e " * 10, "go!! now!! yes!! " * 12):
         assert 0 in votes(junk)[0], junk[:20]
     assert 0 in votes("you are a pathetic loser and an idiot")[1]
