@@ -93,6 +93,9 @@ def anchor_runs(words: np.ndarray, bounds: np.ndarray, width: int):
     new = np.ones(len(starts), bool)
     new[1:] = (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)
     first = np.flatnonzero(new)
+    # Five bits hold a run's length.
+    new |= (np.arange(len(starts)) - first[np.cumsum(new) - 1]) % 31 == 0
+    first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(starts)))
     run_doc = doc[starts[first]]
     return run_doc, starts[first] - bounds[run_doc], count, grams[at[first]].view(np.int64)

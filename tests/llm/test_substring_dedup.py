@@ -39,7 +39,7 @@ def unique_ids(rows):
     return [(i, t) for i, t in rows if first.setdefault(i, t) == t]
 
 
-@pytest.mark.parametrize("width", [1, 3, 20, 31])
+@pytest.mark.parametrize("width", [1, 3, 20, 31, 60])
 def test_awkward_rows(spark, width):
     check(spark, unique_ids(awkward_rows()), width)
 
