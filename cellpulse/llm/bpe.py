@@ -17,23 +17,23 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import os
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellpulse.llm.common import slices, text_bytes
 
-#: Pieces whose ids are remembered per Python worker; the memory is emptied when full.
-PIECE_MEMORY = 800_000
+#: Pieces whose ids are remembered per Python worker. Half of them are forgotten at
+#: a time: those that the latest half of the pieces did not hold.
+PIECE_MEMORY = 500_000
 #: Token pairs whose test is remembered.
-PAIR_MEMORY = 2_000_000
-#: Characters of text split at a time.
-STEP_CHARS = 4_000_000
+PAIR_MEMORY = 1_000_000
+#: Bytes of text split at a time.
+STEP_BYTES = 4_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -121,7 +121,11 @@ class PrefixBPE:
             if whole is not None:
                 yield [whole]
                 continue
-            shared = len(os.path.commonprefix((data, piece)))
+            shared = 0
+            for a, b in zip(data, piece):
+                if a != b:
+                    break
+                shared += 1
             data = piece
             del last[shared:]
             self.extend(data, last)
@@ -177,15 +181,17 @@ class Codec:
         self.bpe = PrefixBPE(read_ranks(path))
         self.find = regex.compile(pattern).findall
         self.known: dict[str, tuple[str, bytes]] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}
 
     def __call__(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
         """(decimal ids joined by spaces, bytes the ids decode to) of each text."""
         split = [self.find(text) for text in texts]
+        if len(self.known) > PIECE_MEMORY // 2:
+            self.known, self.older = {}, self.known
         new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > PIECE_MEMORY:
-            self.known.clear()
-            new = set().union(*split)
-        order = sorted(piece.encode() for piece in new)
+        older = self.older.get
+        self.known.update((piece, both) for piece in new if (both := older(piece)))
+        order = sorted(piece.encode() for piece in new.difference(self.known))
         for piece, ids in zip(order, self.bpe.encode_sorted(order)):
             self.known[piece.decode()] = (" ".join(map(str, ids)), self.bpe.decode(ids))
         known = self.known.__getitem__
@@ -223,9 +229,10 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         both = codec(path, pattern)
         for batch in batches:
             out = []
-            texts = [raw.decode() for raw in text_bytes(batch.column(1))]
-            for lo, hi in slices(np.array([len(t) for t in texts], np.int64), STEP_CHARS):
-                for ids, decoded in both(texts[lo:hi]):
+            raws = batch.column(1).cast(pa.large_binary())
+            sizes = pc.fill_null(pc.binary_length(raws), 0).to_numpy(zero_copy_only=False)
+            for lo, hi in slices(sizes, STEP_BYTES):
+                for ids, decoded in both([raw.decode() for raw in text_bytes(raws[lo:hi])]):
                     row = (ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(),
                            hashlib.sha256(decoded).hexdigest())
                     out.append((*row, [int(i) for i in ids.split()], decoded.decode(errors="replace"))

@@ -29,7 +29,7 @@ SIZE = 1 << 16
 #: Bytes of a word's start that make its feature: inflected forms share it.
 START = 4
 #: Words whose slot a Python worker remembers.
-WORD_MEMORY = 500_000
+WORD_MEMORY = 200_000
 
 #: Common words of the four languages, and English words of abuse: fixed lists.
 ENGLISH = frozenset(w.encode() for w in (
