@@ -1,7 +1,7 @@
 """Secret scan: pattern candidates, and a random forest that removes false positives.
 
-Candidates are private-key headers, values assigned to credential words, and
-long tokens with a digit. Each is described by its length, its changes between
+Candidates are private-key blocks, values assigned to credential words, and
+long tokens with a digit, each of them whole, however long it is. Each is described by its length, its changes between
 letters, digits and marks, how much of it dictionary words cover, whether it looks like a
 path, and the words beside it. Findings whose surroundings or format leave no
 doubt are labelled by fixed rules; a bounded sample of them, with a few
@@ -24,12 +24,19 @@ from pyspark.sql import Window as W
 from cellpulse.llm.common import written
 
 TOKEN = r"A-Za-z0-9_+/=\-"
+#: A private key: all up to its END or, if that is missing, all lines that may be of a key. Repetitions are possessive,
+#: so that long values need neither stack nor second tries.
+KEY_HEADER = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+KEY_LINE = (r"(?:[A-Za-z0-9+/]{16,}+=*+|[A-Za-z0-9+/]++=*+(?=\h*+(?:[\r\n]|\z)|\\[nr]|[\"'])"
+            r"|(?:Proc-Type|DEK-Info|Version|Comment):[^\r\n]*+)")
+KEY = (rf"{KEY_HEADER}(?:(?:[^\-]++|-(?!----(?:BEGIN|END) ))*+-----END [A-Z ]{{0,30}}PRIVATE KEY-----"
+       rf"|(?:(?:\s|\\[nr]|[\"',>#*])*+{KEY_LINE})*+)")
 #: What may be a secret: fixed pattern.
-CANDIDATE = (r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
-             r"|(?<=(?:password|passwd|secret|api_key|token)\x20?[:=]\x20?[\"'])[^\s\"']{6,200}"
-             rf"|(?<![{TOKEN}])(?=[A-Za-z_+/=\-]{{0,200}}[0-9])[{TOKEN}]{{16,}}+")
+CANDIDATE = (rf"{KEY}"
+             r"|(?<=(?:password|passwd|secret|api_key|token)\x20?[:=]\x20?[\"'])[^\s\"']{6,}+"
+             rf"|(?<![{TOKEN}])(?=[A-Za-z_+/=\-]*+[0-9])[{TOKEN}]{{16,}}+")
 #: Formats that providers publish (fixed values).
-PUBLISHED = (r"^(?:-----BEGIN .*|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abps]-[A-Za-z0-9\-]{10,}"
+PUBLISHED = (r"^(?:-----BEGIN (?s:.*)|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abps]-[A-Za-z0-9\-]{10,}"
              r"|AIza[A-Za-z0-9_\-]{35}|sk_live_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_\-]{10,})$")
 #: Words before a secret, and before other long tokens (fixed lists).
 CUES = ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "api_key", "auth", "bearer", "credential",
