@@ -23,7 +23,8 @@ from pyspark.sql import Window as W
 
 from cellpulse.llm.common import written
 
-TOKEN = r"A-Za-z0-9_+/=\-"
+#: Characters of a token; '=' only pads its end, so that a value after '=' or ':' starts a token of its own.
+TOKEN = r"A-Za-z0-9_+/\-"
 #: A private key: all up to its END or, if that is missing, all lines that may be of a key. Repetitions are possessive,
 #: so that long values need neither stack nor second tries.
 KEY_HEADER = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
@@ -31,13 +32,22 @@ KEY_LINE = (r"(?:[A-Za-z0-9+/]{16,}+=*+|[A-Za-z0-9+/]++=*+(?=\h*+(?:[\r\n]|\z)|\
             r"|(?:Proc-Type|DEK-Info|Version|Comment):[^\r\n]*+)")
 KEY = (rf"{KEY_HEADER}(?:(?:[^\-]++|-(?!----(?:BEGIN|END) ))*+-----END [A-Z ]{{0,30}}PRIVATE KEY-----"
        rf"|(?:(?:\s|\\[nr]|[\"',>#*])*+{KEY_LINE})*+)")
-#: What may be a secret: fixed pattern.
-CANDIDATE = (rf"{KEY}"
-             r"|(?<=(?:password|passwd|secret|api_key|token)\x20?[:=]\x20?[\"'])[^\s\"']{6,}+"
-             rf"|(?<![{TOKEN}])(?=[A-Za-z_+/=\-]*+[0-9])[{TOKEN}]{{16,}}+")
-#: Formats that providers publish (fixed values).
-PUBLISHED = (r"^(?:-----BEGIN (?s:.*)|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abps]-[A-Za-z0-9\-]{10,}"
-             r"|AIza[A-Za-z0-9_\-]{35}|sk_live_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_\-]{10,})$")
+#: Formats that providers publish, also inside a token (fixed values). A signed token goes to the end of its last part.
+FORMATS = (r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abps]-[A-Za-z0-9\-]{10,}+"
+           r"|AIza[A-Za-z0-9_\-]{35}(?![A-Za-z0-9_\-])|sk_live_[A-Za-z0-9]{16,}+"
+           r"|eyJ[A-Za-z0-9_\-]{10,}+(?:\.{1,2}[A-Za-z0-9_\-]++)*+)")
+PUBLISHED = rf"{KEY_HEADER}|{FORMATS}"
+#: Ends of names to which secrets are assigned (fixed list), and such a name up to the start of the value.
+NAMES = (r"(?i:password|passwd|passphrase|pwd|secret|token|(?:api|access|secret|private|auth)[_\-]?key)")
+LEAD = (rf"[{TOKEN}]++(?=\\?[\"']?\h*+[:=])(?<={NAMES})\\?[\"']?\h*+[:=]{{1,2}}+>?+\h*+(?:\\?[\"'])?+")
+#: A value goes up to its own closing quote or white space. Without quotes, marks that end a clause are not its last
+#: characters, and the next parameter of a query string is not part of it.
+VALUE = (r"(?!-----BEGIN )(?:(?<=(?<!\\)\")(?:[^\s\"\\]|\\\S){6,}+|(?<=(?<!\\)')(?:[^\s'\\]|\\\S){6,}+"
+         r"|(?<!(?<!\\)[\"'])(?=[^\s\"'<>]{6})"
+         r"(?:[^\s\"'<>&\\.,;:)\]}]|\\(?![\"'])|&(?![A-Za-z0-9_.\-]+=)|[.,;:)\]}]++(?=[^\s\"'<>\\]))++)")
+#: What may be a secret: fixed pattern. A token ends before a published format inside it and may start after one.
+CANDIDATE = (rf"{KEY}|{FORMATS}|(?<![{TOKEN}]){LEAD}{VALUE}"
+             rf"|(?:(?<![{TOKEN}])|\G)(?=[A-Za-z_+/\-]*+[0-9])(?:(?!{FORMATS})[{TOKEN}]){{16,}}+(?:={{1,2}}+(?![{TOKEN}=]))?+")
 #: Words before a secret, and before other long tokens (fixed lists).
 CUES = ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "api_key", "auth", "bearer", "credential",
         "credentials", "private", "access_key", "client_secret")
@@ -60,7 +70,9 @@ MASK = "[SECRET]"
 
 
 def found_in(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+    """Array of the candidates: ``lead``, the name and sign of an assignment, and the ``value`` after it."""
+    return F.transform(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda found: F.struct(
+        F.regexp_extract(found, f"^{LEAD}", 0).alias("lead"), F.regexp_replace(found, f"^{LEAD}", "").alias("value")))
 
 
 def _share(value: Column, chars: str) -> Column:
@@ -87,8 +99,8 @@ def described(findings: DataFrame) -> DataFrame:
         "distinct": F.size(F.array_distinct(F.split(F.substring(v, 1, 64), ""))) / F.least(F.length(v), F.lit(64)),
         "dictionary": 1 - covered / F.length(v),
         "path": before.rlike(r"[/\\.]$") | v.rlike("/[a-z]+/") | F.col("after").rlike(r"^\.[a-z]{2,4}\b"),
-        "cue": near(CUES), "other": near(OTHER),
-        "assigned": before.rlike(r"[:=]\s*[\"']?$"), "quoted": before.rlike(r"[\"']$"),
+        "cue": near(CUES) | before.rlike(f"{LEAD}$"), "other": near(OTHER),
+        "assigned": before.rlike(r"[:=]>?\s*\\?[\"']?$"), "quoted": before.rlike(r"[\"']$"),
         "published": v.rlike(PUBLISHED),
     }
     return findings.withColumns({k: F.coalesce(c.cast("double"), F.lit(0.0)) for k, c in columns.items()})
@@ -99,7 +111,8 @@ def rule_label() -> Column:
     random = (F.col("distinct") > 0.15) & (F.col("dictionary") < 0.3)
     sure = (F.col("published") == 1) | ((F.col("cue") == 1) & (F.col("assigned") == 1) & (F.col("length") >= 12)
                                         & (F.col("digits") < 1) & (F.col("digits") > 0.05) & random)
-    not_one = ((F.col("digits") == 1) & (F.col("cue") == 0)) | (F.col("dictionary") > 0.5) | (F.col("other") == 1) | (
+    word = (F.col("digits") == 0) & (F.col("quoted") == 0)
+    not_one = word | ((F.col("digits") == 1) & (F.col("cue") == 0)) | (F.col("dictionary") > 0.5) | (F.col("other") == 1) | (
         (F.col("path") == 1) & (F.col("cue") == 0))
     return F.when(sure, 1.0).when(not_one, 0.0)
 
@@ -114,8 +127,16 @@ def _generated(spark: SparkSession) -> DataFrame:
         (F.concat(F.lit("static/assets/page"), n, F.lit("index")), "see /", ".html"),
         (F.sha1(n), "commit ", " fixed"), (F.concat(F.lit("example_value_for_test"), n), 'name = "', '"'),
     ]
+    short = F.substring(F.base64(F.unhex(F.sha2(n, 256))), 1, 7)
+    kinds += [
+        (F.concat(short, F.lit("!7pass")), 'PASSWORD = "', '"'), (F.concat(short, F.lit("5x")), '{"password": "', '"'),
+        (F.concat(F.lower(short), F.lit("2x")), "password: ", "\n"), (F.concat(F.lit("hill"), F.substring(F.conv(F.substring(F.md5(n), 1, 8), 16, 10), 1, 2), F.lit("er")), "pwd=", "\n"),
+        (F.translate(F.substring(F.md5(n), 1, 8), "0123456789", "ghijklmnop"), "the token: ", " "),
+        (F.translate(F.substring(F.md5(n), 1, 11), "0123456789", "ghijklmnop"), "secret = ", "("),
+    ]
+    secret = (0, 1, 2, 7, 8, 9, 10)
     rows = [spark.range(40).select(v.alias("value"), F.lit(b).alias("before"), F.lit(a).alias("after"),
-                                   F.lit(1.0 if i < 3 else 0.0).alias("label")) for i, (v, b, a) in enumerate(kinds)]
+                                   F.lit(1.0 if i in secret else 0.0).alias("label")) for i, (v, b, a) in enumerate(kinds)]
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
@@ -129,11 +150,10 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             .where(F.col("text").rlike(CANDIDATE))
             .select("doc_id", F.xxhash64("text").alias("h"), found_in(F.col("text")).alias("found"),
                     F.split("text", CANDIDATE).alias("parts"), F.length("text").alias("n")))
-    each = rows.select("doc_id", "h", "found", "parts", F.posexplode("found").alias("k", "value")).select(
-        "doc_id", "h", "k", "value",
-        F.right(F.element_at("parts", F.col("k") + 1), F.lit(BESIDE)).alias("before"),
-        F.left(F.element_at("parts", F.col("k") + 2), F.lit(BESIDE)).alias("after"),
-        F.length(F.element_at("parts", F.col("k") + 1)).alias("gap"))
+    gap = F.concat(F.element_at("parts", F.col("k") + 1), "item.lead")
+    each = rows.select("doc_id", "h", "parts", F.posexplode("found").alias("k", "item")).select(
+        "doc_id", "h", "k", "item.value", F.right(gap, F.lit(BESIDE)).alias("before"),
+        F.left(F.element_at("parts", F.col("k") + 2), F.lit(BESIDE)).alias("after"), F.length(gap).alias("gap"))
     each = described(each.dropDuplicates(["doc_id", "h", "k"]))
     upto = W.partitionBy("doc_id", "h").orderBy("k")
     end = F.sum(F.col("gap") + F.length("value")).over(upto)
@@ -183,8 +203,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", char
     some = some.join(bad, some[id_col].eqNullSafe(bad["__id"]) & (some["__own"] == bad["__h"]), "left")
     found, parts = found_in(F.col(text_col)), F.split(text_col, CANDIDATE)
     some = some.withColumns({"__found": found, "__parts": parts})
-    masked = F.transform("__found", lambda value, k: F.concat(
-        F.get("__parts", k), F.when(F.array_contains("__k", k), F.lit(MASK)).otherwise(value)))
+    masked = F.transform("__found", lambda item, k: F.concat(
+        F.get("__parts", k), item["lead"], F.when(F.array_contains("__k", k), F.lit(MASK)).otherwise(item["value"])))
     text = F.concat(F.concat_ws("", masked), F.element_at("__parts", -1))
     some = some.withColumn(text_col, F.when(F.col("__k").isNull(), F.col(text_col)).otherwise(text))
     if chars_col in docs.columns:
