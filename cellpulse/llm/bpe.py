@@ -19,6 +19,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -235,7 +236,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                 for ids, decoded in both([raw.decode() for raw in text_bytes(raws[lo:hi])]):
                     row = (ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(),
                            hashlib.sha256(decoded).hexdigest())
-                    out.append((*row, [int(i) for i in ids.split()], decoded.decode(errors="replace"))
+                    out.append((*row, np.fromstring(ids, np.int32, sep=" "), decoded.decode(errors="replace"))
                                if with_ids else row)
             columns = list(zip(*out)) or [()] * (5 if with_ids else 3)
             types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]

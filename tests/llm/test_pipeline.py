@@ -47,3 +47,13 @@ def test_stages_on_awkward_and_empty_tables(spark, awkward, nothing):
             assert out.dtypes == docs.dtypes, name
             assert out.count() <= docs.count()
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SF_SMALL).count() == docs.count()
+
+
+def test_last_stage_writes_ids_and_decoded_text(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").limit(50)
+    want = {r.doc_id: r.text for r in docs.collect()}
+    encoding = tiktoken.Encoding("own", pat_str=P.PATTERN, special_tokens={},
+                                 mergeable_ranks=bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")))
+    got = corpus_pipeline.encode_tokens(spark, docs, SF_SMALL).collect()
+    assert {r.doc_id: r.decoded for r in got} == want
+    assert {r.doc_id: r.ids for r in got} == {i: encoding.encode_ordinary(t) for i, t in want.items()}
