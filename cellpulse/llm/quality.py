@@ -49,6 +49,9 @@ _CLASS[list(_SYMBOLS)] = 3
 _CLASS[list(b"!?")] = 4
 _CLASS[128:] = 5
 
+#: Words of a block whose variety is taken, so that a text's length does not lower it.
+BLOCK = 500
+
 QUALITY = ("case", "symbols", "exclaiming", "repetition", "variety", "separators", "common words", "annotator")
 TOXICITY = ("insults", "abuse", "density", "annotator")
 
@@ -57,10 +60,11 @@ def statistics(raw: bytes, words: list[bytes]) -> dict[str, float]:
     """Shares that the labellers and the scorer read; all 0 for a text without words."""
     n = len(words)
     if not n:
-        return {k: 0.0 for k in ("n", "upper", "symbol", "mark", "repeat", "variety", "common", "english", "bar", "insult", "abuse")}
+        return {k: 0.0 for k in ("n", "upper", "symbol", "mark", "repeat", "variety", "block", "again", "common", "english", "bar", "insult", "abuse")}
     classes = np.bincount(_CLASS[np.frombuffer(raw, np.uint8)], minlength=6)
     low = raw.lower().split()
     bare = [w.strip(_EDGE) for w in low]
+    blocks = [words[i:i + BLOCK] for i in range(0, n, BLOCK)]
     return {
         "n": n,
         "upper": classes[1] / max(1, classes[1] + classes[2]),
@@ -68,6 +72,8 @@ def statistics(raw: bytes, words: list[bytes]) -> dict[str, float]:
         "mark": classes[4] / n,
         "repeat": sum(map(eq, words, words[1:])) / n,
         "variety": len(set(words)) / n,
+        "block": sum(len(set(b)) for b in blocks) / n,
+        "again": 1 - len(set(zip(words, words[1:], words[2:], words[3:], words[4:]))) / (n - 4) if n > 4 else 0.0,
         "common": sum(map(COMMON.__contains__, low)) / n,
         "english": sum(map(ENGLISH.__contains__, low)) / n,
         "bar": words.count(b"|") / n,
@@ -79,7 +85,9 @@ def statistics(raw: bytes, words: list[bytes]) -> dict[str, float]:
 def quality_votes(s: dict[str, float]) -> tuple[int, ...]:
     """0 bad, 1 good, -1 abstain. Each kind of junk has a detector that else abstains.
 
-    Texts without words get abstentions only.
+    Texts without words get abstentions only. Low variety is that of blocks
+    of ``BLOCK`` words, or half of the five-word sequences occurring again,
+    whatever the length of the text.
     """
     if not s["n"]:
         return (-1,) * (len(QUALITY) - 1)
@@ -90,7 +98,7 @@ def quality_votes(s: dict[str, float]) -> tuple[int, ...]:
         0 if s["symbol"] >= 0.15 else -1,
         0 if s["mark"] >= 0.1 else -1,
         0 if s["repeat"] >= 0.1 and many else -1,
-        0 if s["variety"] < 0.2 and many and s["n"] < 3000 else 1 if s["variety"] > 0.5 else -1,
+        0 if many and (s["block"] < 0.2 or s["again"] >= 0.5) else 1 if s["variety"] > 0.5 else -1,
         0 if s["bar"] >= 0.05 else -1,
         common,
     )

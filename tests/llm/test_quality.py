@@ -59,6 +59,22 @@ def test_labellers():
     assert set(votes("")[0]) == {-1}
 
 
+def test_repetition_is_bad_at_any_length(spark):
+    """One sentence over and over, against the longest good texts of the table."""
+    def variety(text):
+        return quality.quality_votes(quality.statistics(text.encode(), text.encode().split()))[quality.QUALITY.index("variety")]
+
+    sentence = "The cat sat on the mat and it was happy to be there with the dog. ".split()
+    passage = [f"w{i}" for i in range(300)]
+    for n in (100, 2_900, 5_000, 20_000):
+        assert variety(" ".join((sentence * n)[:n])) == 0
+    for n in (2_900, 5_000, 20_000):
+        assert variety(" ".join((passage * n)[:n])) == 0
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    good = docs.join(labels.where("quality = 1 and toxic = 0"), "doc_id").where(F.size(F.split("text", " ")) >= 3000).collect()
+    assert len(good) >= 5 and all(variety(r.text) == 1 for r in good)
+
+
 def test_empty_table(spark, nothing):
     assert quality.classify(nothing).collect() == []
     assert quality.keep_good(nothing).collect() == []
