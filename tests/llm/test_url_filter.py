@@ -83,6 +83,13 @@ def test_shrinkage(spark):
     assert got["c.awful.org"].bad_rate > got["one.fine.org"].bad_rate > got["ok.fine.org"].bad_rate
 
 
+def test_one_wholly_bad_host_among_thousands_of_pages(spark):
+    rows = [(i, f"http://bad.site.org/p/{i}" if i < 50 else f"http://h{i % 400}.d{i % 200}.org/p/{i}") for i in range(4050)]
+    labels = [(i, 0 if i < 50 or i * 7919 % 1009 < 100 else 1, 0) for i in range(4050)]
+    got = u.judge(pages(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()
+    assert {r.host for r in got if r.verdict == "block"} == {"bad.site.org"}
+
+
 def test_posterior_by_hand(spark):
     table = spark.createDataFrame([(10, 4.0, 0.25)], "n int, bad double, m double")
     r = u._posterior(table, F.col("m"), 8.0).first()
