@@ -28,11 +28,13 @@ from pyspark.sql import functions as F
 
 from cellpulse.llm.common import slices, text_bytes
 
-#: Pieces whose ids are remembered per Python worker. Half of them are forgotten at
+#: Bytes of remembered pieces and ids per Python worker. Half of them are forgotten at
 #: a time: those that the latest half of the pieces did not hold.
-PIECE_MEMORY = 500_000
+PIECE_MEMORY = 48_000_000
+#: Bytes that Python takes for a remembered piece besides its own and its ids'.
+PIECE_EXTRA = 180
 #: Token pairs whose test is remembered.
-PAIR_MEMORY = 1_000_000
+PAIR_MEMORY = 300_000
 #: Bytes of text split at a time.
 STEP_BYTES = 4_000_000
 
@@ -181,24 +183,35 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         self.bpe = PrefixBPE(read_ranks(path))
         self.find = regex.compile(pattern).findall
-        self.known: dict[str, tuple[str, bytes]] = {}
-        self.older: dict[str, tuple[str, bytes]] = {}
-
-    def __call__(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
-        """(decimal ids joined by spaces, bytes the ids decode to) of each text."""
-        split = [self.find(text) for text in texts]
-        if len(self.known) > PIECE_MEMORY // 2:
-            self.known, self.older = {}, self.known
-        new = set().union(*split).difference(self.known)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.size = 0
+        self.numeral = {i: str(i) for i in self.bpe.bytes_of}
+
+    def _remember(self, new: set[str]) -> None:
+        """Ids of pieces, packed as 32-bit integers."""
+        if self.size > PIECE_MEMORY // 2:
+            self.known, self.older, self.size = {}, self.known, 0
+        missing = new.difference(self.known)
         older = self.older.get
-        self.known.update((piece, both) for piece in new if (both := older(piece)))
-        order = sorted(piece.encode() for piece in new.difference(self.known))
+        found = {piece: ids for piece in missing if (ids := older(piece)) is not None}
+        order = sorted(piece.encode() for piece in missing.difference(found))
         for piece, ids in zip(order, self.bpe.encode_sorted(order)):
-            self.known[piece.decode()] = (" ".join(map(str, ids)), self.bpe.decode(ids))
+            found[piece.decode()] = np.array(ids, np.int32).tobytes()
+        self.known.update(found)
+        self.size += sum(PIECE_EXTRA + len(piece) + len(ids) for piece, ids in found.items())
+
+    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text."""
+        split = [self.find(text) for text in texts]
+        self._remember(set().union(*split))
         known = self.known.__getitem__
         for pieces in split:
-            ids, decoded = zip(*map(known, pieces)) if pieces else ((), ())
-            yield " ".join(ids), b"".join(decoded)
+            yield np.frombuffer(b"".join(map(known, pieces)), np.int32)
+
+    def decimal(self, ids: list[int]) -> str:
+        """The ids as decimal numbers with a space between."""
+        return " ".join(map(self.numeral.__getitem__, ids))
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -226,23 +239,30 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     if with_ids:
         schema += ", ids array<int>, decoded string"
 
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = codec(path, pattern)
         for batch in batches:
-            out = []
             raws = batch.column(1).cast(pa.large_binary())
             sizes = pc.fill_null(pc.binary_length(raws), 0).to_numpy(zero_copy_only=False)
+            # A batch out per slice: what is held at a time does not grow with the batch that came in.
             for lo, hi in slices(sizes, STEP_BYTES):
-                for ids, decoded in both([raw.decode() for raw in text_bytes(raws[lo:hi])]):
-                    row = (ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(),
-                           hashlib.sha256(decoded).hexdigest())
-                    out.append((*row, np.fromstring(ids, np.int32, sep=" "), decoded.decode(errors="replace"))
-                               if with_ids else row)
-            columns = list(zip(*out)) or [()] * (5 if with_ids else 3)
-            types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
-            arrays = [batch.column(0)] + [pa.array(c, t) for c, t in zip(columns, types)]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(arrays, names[:len(arrays)])
+                counts, digests, hashes, tokens, decoded = [], [], [], [], []
+                for ids in both([raw.decode() for raw in text_bytes(raws[lo:hi])]):
+                    numbers = ids.tolist()
+                    text = both.bpe.decode(numbers)
+                    counts.append(len(numbers))
+                    digests.append(hashlib.sha256(both.decimal(numbers).encode()).hexdigest())
+                    hashes.append(hashlib.sha256(text).hexdigest())
+                    if with_ids:
+                        tokens.append(ids)
+                        decoded.append(text.decode(errors="replace"))
+                arrays = [batch.column(0)[lo:hi], pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(hashes, pa.string())]
+                if with_ids:
+                    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                    arrays += [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tokens))), pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays(arrays, names[:len(arrays)])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, schema)

@@ -70,6 +70,14 @@ def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False), offsets
 
 
+class Numbering(dict):
+    """Numbers its keys from 0 in the order in which they are first looked up."""
+
+    def __missing__(self, key) -> int:
+        number = self[key] = len(self)
+        return number
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cellpulse.llm import resample
 from cellpulse.llm import url_filter as u
 
 
@@ -48,4 +49,35 @@ SELECT page_id, host, path, {rule} AS rule,
 FROM parsed JOIN host_p USING (host)"""
 
 
-ORACLE = {"op4_url_filter": url_filter_sql()}
+def resample_sql(percent: int = 10, min_words: int = 20, seed: str = "2024", buckets: int = resample.BUCKETS) -> str:
+    """Features of one word. The checksum is computed from its polynomial, once per distinct word."""
+    words = (f"string_split_regex(translate(coalesce(text, ''), '{u.UPPER}', '{u.LOWER}'), "
+             r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+    return f"""
+WITH rows AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+held AS (SELECT r, word FROM (SELECT r, unnest({words}) AS word FROM rows) WHERE word <> ''),
+wanted AS (SELECT word FROM (SELECT unnest({words}) AS word FROM benchmark) WHERE word <> ''),
+steps AS (SELECT list(c ORDER BY i) AS c FROM (SELECT i,
+  list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) t(i))),
+hashed AS (SELECT word, xor(4294967295, list_reduce(
+    list_transform(range(strlen(word)), lambda i: CAST('0x' || substr(hex(encode(word)), 2 * i + 1, 2) AS BIGINT)),
+    lambda a, b: xor(c[(xor(a, b) & 255) + 1], a >> 8), 4294967295)) % {buckets} AS bucket
+  FROM (SELECT word FROM held UNION SELECT word FROM wanted), steps),
+corpus AS (SELECT bucket, count(*) AS s FROM held JOIN hashed USING (word) GROUP BY bucket),
+target AS (SELECT bucket, count(*) AS t FROM wanted JOIN hashed USING (word) GROUP BY bucket),
+gain AS (SELECT bucket, CAST(floor(1000 * ln(
+    CAST((coalesce(t, 0) + 1) * ((SELECT count(*) FROM held) + {buckets}) AS DOUBLE)
+    / CAST((s + 1) * ((SELECT count(*) FROM wanted) + {buckets}) AS DOUBLE))) AS BIGINT) AS g
+  FROM corpus LEFT JOIN target USING (bucket)),
+weighed AS (SELECT r, count(*) AS n, CAST(sum(g) AS BIGINT) AS weight
+  FROM held JOIN hashed USING (word) JOIN gain USING (bucket) GROUP BY r),
+scored AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+    (CAST('0x' || substr(sha256('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM rows LEFT JOIN weighed USING (r)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= {min_words} ORDER BY score DESC, doc_id NULLS LAST) AS place FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= {min_words}
+  AND place <= (SELECT count(*) FROM scored WHERE n_features >= {min_words}) * {percent} // 100 THEN place END AS rank
+FROM placed"""
+
+
+ORACLE = {"op4_url_filter": url_filter_sql(), "op11_resample": resample_sql()}

@@ -40,9 +40,10 @@ def test_empty_table(spark, nothing):
 @given(st.text(max_size=80))
 def test_any_text_as_the_reference(text):
     text = text.encode("utf-8", "ignore").decode()
-    (ids, decoded), = CODEC([text])
-    assert [int(i) for i in ids.split()] == REFERENCE.encode_ordinary(text)
-    assert decoded == text.encode()
+    ids, = CODEC([text])
+    assert ids.tolist() == REFERENCE.encode_ordinary(text)
+    assert CODEC.bpe.decode(ids.tolist()) == text.encode()
+    assert CODEC.decimal(ids.tolist()) == " ".join(map(str, ids))
 
 
 piece = st.text(alphabet="abcdeghilnorstu", min_size=1, max_size=40).map(str.encode)
@@ -78,3 +79,22 @@ def test_pieces_in_order_share_prefixes():
 def test_vocabulary_without_all_bytes_is_refused():
     with pytest.raises(ValueError):
         bpe.PrefixBPE({b"a": 0})
+
+
+def test_memory_of_pieces_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "PIECE_MEMORY", 40_000)
+    both = bpe.Codec(PATH, P.PATTERN)
+    for n in range(60):
+        text = " ".join(f"zq{n}x{i}vw" for i in range(40)) + " common words again"
+        ids, = both([text])
+        assert ids.tolist() == REFERENCE.encode_ordinary(text)
+        held = sum(bpe.PIECE_EXTRA + len(p) + len(i) for known in (both.known, both.older) for p, i in known.items())
+        assert held <= 40_000 + 2 * (bpe.PIECE_EXTRA + 40) * 300
+
+
+def test_a_large_batch_comes_back_whole(spark):
+    rows = [(i, f"text {i} " * 20) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    got = {r.doc_id: r for r in bpe.encode(docs, PATH, P.PATTERN).collect()}
+    assert {i: r.decoded for i, r in got.items()} == dict(rows)
+    assert all(r.ids == REFERENCE.encode_ordinary(dict(rows)[i]) for i, r in got.items())
