@@ -1,17 +1,18 @@
 """Word-level BPE encoding and decoding by a table of distinct words.
 
 1. Texts are normalised and split into words; consecutive documents form a
-   *block* (``BLOCK_BYTES`` of text), which lists its distinct words once and
-   keeps, per document, the place of each word in that list.
-2. The distinct words of all blocks are encoded once each, whoever holds them.
-3. Their ids are joined to the pieces of the vocabulary, which gives the text
-   that each word decodes to.
-4. Words and ids go back to the blocks that hold them, and every document
-   looks its ids up by position.
-
-What is shuffled on words is one row per word and block, never one per
-occurrence, so a word that is a third of all text is one row per block. The
-positions are shuffled once, packed. A task holds one block.
+   *block* (``BLOCK_BYTES`` of text), which lists its distinct words once,
+   frequent ones first, and keeps each document as places in that list.
+2. The lists are cut by a hash of the word into buckets of about
+   ``BUCKET_WORDS`` words. The task of a bucket gets its words from all blocks,
+   encodes each distinct word once and answers every block.
+3. A block's documents look their ids up by place. Ids are decoded by a look-up
+   join with the id-to-piece table of the vocabulary, which every task holds.
+
+What is shuffled on words is one entry per word and block, never one per
+occurrence, so a word that is a third of all text is one entry per block.
+Lists, places and answers are shuffled packed. A task holds one block, or the
+distinct words of one bucket.
 """
 
 from __future__ import annotations
@@ -21,21 +22,24 @@ import heapq
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cellpulse.llm.common import Numbering, text_bytes, written
-from cellpulse.session import bounded_broadcast
 
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 32_000_000
+#: Words of all blocks' lists that share a bucket.
+BUCKET_WORDS = 250_000
 #: A special token's place in the word list: no word holds a space.
 SPECIAL = " "
 #: Letters of a word from which on merges are kept in a heap.
@@ -179,88 +183,124 @@ def vocabulary(path: str) -> WordVocabulary:
     return WordVocabulary(path)
 
 
-def _pack(places: list[int]) -> bytes:
-    return pa.compress(np.array(places, "<u4").tobytes(), codec="zstd", asbytes=True)
+def _packed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _packed_numbers(numbers: np.ndarray) -> bytes:
+    """Small unsigned numbers: bytes of the same weight lie together, so the high ones cost nothing."""
+    return _packed(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpacked_numbers(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_unpacked(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def _blocks(path: str, block_bytes: int, id_type: pa.DataType):
     """Batches of (id, text) -> one row per block."""
-    names = ["block", "ids", "counts", "places", "size", "words"]
-
-    def row(ids: list, counts: list[int], places: list[int], words: Numbering) -> pa.RecordBatch:
-        columns = [pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(id_type)), pa.array([counts], pa.list_(pa.int32())),
-                   pa.array([_pack(places)], pa.binary()), pa.array([len(places)], pa.int64()), pa.array([list(words)], pa.list_(pa.string()))]
+    names = ["block", "ids", "counts", "places", "words", "n_words"]
+
+    def row(ids: list, places: list[np.ndarray], words: Numbering) -> pa.RecordBatch:
+        found = np.concatenate(places)
+        order = np.argsort(-np.bincount(found, minlength=len(words)), kind="stable")
+        rank = np.empty(len(words), np.uint32)
+        rank[order] = np.arange(len(words))
+        listed = list(words)
+        columns = [pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(id_type)), pa.array([[len(p) for p in places]], pa.list_(pa.int32())),
+                   pa.array([_packed_numbers(rank[found])], pa.binary()),
+                   pa.array([_packed("\n".join([listed[i] for i in order]).encode())], pa.binary()), pa.array([len(words)], pa.int64())]
         return pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = vocabulary(path).split
-        ids, counts, places, words, size = [], [], [], Numbering(), 0
+        ids, places, words, size = [], [], Numbering(), 0
         for batch in batches:
             for key, raw in zip(batch.column(0), text_bytes(batch.column(1))):
                 if ids and size + len(raw) > block_bytes:
-                    yield row(ids, counts, places, words)
-                    ids, counts, places, words, size = [], [], [], Numbering(), 0
+                    yield row(ids, places, words)
+                    ids, places, words, size = [], [], Numbering(), 0
                 found = split(raw.decode())
                 ids.append(key.as_py())
-                counts.append(len(found))
-                places.extend(map(words.__getitem__, found))
+                places.append(np.fromiter(map(words.__getitem__, found), np.uint32, len(found)))
                 size += len(raw) + 64
         if ids:
-            yield row(ids, counts, places, words)
+            yield row(ids, places, words)
 
     return run
 
 
-def pieces(spark: SparkSession, path: str) -> DataFrame:
-    """(id, piece): the vocabulary as a table, broadcast if its bytes allow."""
-    named = vocabulary(path).pieces
-    table = spark.createDataFrame(list(named.items()), "id int, piece string")
-    return bounded_broadcast(table, known_bytes=sum(len(p.encode()) + 48 for p in named.values()))
+def _lists(buckets: int):
+    """A block's word list -> a row per bucket: its words and their places in the block."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data in zip(batch.column(0), batch.column(1)):
+                words = _unpacked(data.as_py()).decode().split("\n")
+                bucket = np.fromiter((zlib.crc32(w.encode()) * buckets >> 32 for w in words), np.int64, len(words))
+                order = np.argsort(bucket, kind="stable")
+                used, starts = np.unique(bucket[order], return_index=True)
+                parts = np.split(order, starts[1:])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(used), pa.array([block.as_py()] * len(used)),
+                     pa.array([_packed("\n".join([words[i] for i in part]).encode()) for part in parts], pa.binary()),
+                     pa.array([_packed_numbers(np.diff(part, prepend=0)) for part in parts], pa.binary())],
+                    ["bucket", "block", "words", "steps"])
+
+    return run
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids, decoded) of each distinct ``word``; ``decoded`` comes from the id-to-piece join."""
+def _answers(path: str):
+    """All lists of one bucket -> the ids of their words; each distinct word is encoded once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = vocabulary(path).encode
+        known: dict[str, list[int]] = {}
         for batch in batches:
-            column = batch.column(0)
-            yield pa.RecordBatch.from_arrays(
-                [column, pa.array([encode(w) for w in column.to_pylist()], pa.list_(pa.int32()))], ["word", "ids"])
-
-    encoded = words.select("word").distinct().mapInArrow(run, "word string, ids array<int>")
-    each = encoded.select("word", F.posexplode("ids").alias("at", "id"))
-    named = each.join(pieces(words.sparkSession, path), "id")
-    at = F.sort_array(F.collect_list(F.struct("at", "id", "piece")))
-    return (named.groupBy("word").agg(at.alias("p"))
-            .select("word", F.col("p.id").alias("ids"), F.concat_ws(" ", "p.piece").alias("decoded")))
-
-
-def _assembled(with_ids: bool):
-    """One block and its encoded words -> its documents."""
-    def run(blocks: pa.Table, words: pa.Table) -> pa.Table:
-        order = np.argsort(words["place"].to_numpy())
-        ids = words["ids"].combine_chunks() if words.num_rows else pa.array([], pa.list_(pa.int32()))
-        starts = ids.offsets.to_numpy()[:-1][order]
-        widths = np.diff(ids.offsets.to_numpy())[order]
-        flat = ids.values.to_numpy(zero_copy_only=False)
-        texts = [words["decoded"][int(i)].as_py() for i in order]
+            for block, words, steps in zip(*(batch.column(batch.schema.names.index(c)) for c in ("block", "words", "steps"))):
+                ids = []
+                for word in _unpacked(words.as_py()).decode().split("\n"):
+                    found = known.get(word)
+                    if found is None:
+                        found = known[word] = encode(word)
+                    ids.append(found)
+                widths = np.fromiter(map(len, ids), np.uint32, len(ids))
+                flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(widths.sum()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block.as_py()]), pa.array([steps.as_py()], pa.binary()), pa.array([_packed_numbers(widths)], pa.binary()),
+                     pa.array([_packed_numbers(flat)], pa.binary())], ["block", "steps", "widths", "flat"])
+
+    return run
+
+
+def _assembled(path: str, with_ids: bool):
+    """One block and the answers to it -> its documents."""
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        pieces = vocabulary(path).pieces.__getitem__
         out = []
-        for block in blocks.to_batches():
-            for r in range(block.num_rows):
-                size = block["size"][r].as_py()
-                places = np.frombuffer(pa.decompress(block["places"][r].as_py(), 4 * size, codec="zstd", asbytes=True), "<u4")
-                keys, counts = block["ids"][r].as_py(), block["counts"][r].values.to_numpy()
-                ends = np.cumsum(counts)
-                for key, lo, hi in zip(keys, ends - counts, ends):
-                    here = places[lo:hi]
-                    wide = widths[here]
-                    total = int(wide.sum())
-                    # The ids of each word lie together: start of the word, and the step inside it.
-                    inside = np.arange(total) - np.repeat(np.cumsum(wide) - wide, wide)
-                    tokens = flat[np.repeat(starts[here], wide) + inside].astype("<u4")
-                    decoded = " ".join(map(texts.__getitem__, here.tolist()))
-                    line = (key, total, hashlib.sha256(tokens.tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-                    out.append((*line, tokens.astype(np.int32), decoded) if with_ids else line)
+        for row in blocks.to_pylist():
+            widths, starts = np.zeros(row["n_words"], np.int64), np.zeros(row["n_words"], np.int64)
+            parts, before = [], 0
+            for answer in answers.to_pylist():
+                places, wide = np.cumsum(_unpacked_numbers(answer["steps"])), _unpacked_numbers(answer["widths"]).astype(np.int64)
+                parts.append(_unpacked_numbers(answer["flat"]))
+                widths[places], starts[places] = wide, before + np.cumsum(wide) - wide
+                before += len(parts[-1])
+            flat = np.concatenate(parts) if parts else np.zeros(0, "<u4")
+            texts = [" ".join(map(pieces, flat[s:s + w].tolist())) for s, w in zip(starts.tolist(), widths.tolist())]
+            found = _unpacked_numbers(row["places"])
+            ends = np.cumsum(row["counts"])
+            for key, lo, hi in zip(row["ids"], ends - row["counts"], ends):
+                here = found[lo:hi]
+                wide = widths[here]
+                total = int(wide.sum())
+                # The ids of a word lie together: the start of the word and the step inside it.
+                inside = np.arange(total) - np.repeat(np.cumsum(wide) - wide, wide)
+                tokens = flat[np.repeat(starts[here], wide) + inside].astype("<u4")
+                decoded = " ".join(map(texts.__getitem__, here.tolist()))
+                line = (key, total, hashlib.sha256(tokens.tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+                out.append((*line, tokens.astype(np.int32), decoded) if with_ids else line)
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
         types = [blocks.schema.field("ids").type.value_type, pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
         columns = list(zip(*out)) or [()] * (6 if with_ids else 4)
@@ -269,8 +309,8 @@ def _assembled(with_ids: bool):
     return run
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
-           with_ids: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True,
+           block_bytes: int = BLOCK_BYTES, bucket_words: int = BUCKET_WORDS) -> DataFrame:
     """Encode every text and decode its ids, one row out per row in.
 
     Returns ``doc_id``, ``n_tokens``, ``ids_sha256`` (of the ids as
@@ -283,16 +323,17 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     A text longer than ``block_bytes`` is a block of its own. ``path`` must be
     readable on every executor.
     """
-    typ = docs.schema[id_col].dataType
+    typ = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     arrow = rows.select("doc_id").limit(0).toArrow().schema.field(0).type
-    blocks = written(rows.mapInArrow(
-        _blocks(path, block_bytes, arrow),
-        f"block string, ids array<{typ.simpleString()}>, counts array<int>, places binary, size bigint, words array<string>"), "word-blocks")
-    listed = blocks.select("block", F.posexplode("words").alias("place", "word"))
-    found = listed.join(encode_words(listed, path), "word").select(F.col("block").alias("block"), "place", "ids", "decoded")
-    schema = f"doc_id {typ.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    blocks = written(rows.mapInArrow(_blocks(path, block_bytes, arrow), (
+        f"block string, ids array<{typ}>, counts array<int>, places binary, words binary, n_words bigint")), "word-blocks")
+    listed = blocks.agg(F.sum("n_words")).first()[0] or 0
+    lists = blocks.where("n_words > 0").select("block", "words").mapInArrow(
+        _lists(1 + listed // bucket_words), "bucket bigint, block string, words binary, steps binary")
+    answers = lists.groupBy("bucket").applyInArrow(_answers(path), "block string, steps binary, widths binary, flat binary")
+    schema = f"doc_id {typ}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     if with_ids:
         schema += ", ids array<int>, decoded string"
-    return (blocks.drop("words").groupBy("block").cogroup(found.groupBy("block"))
-            .applyInArrow(_assembled(with_ids), schema))
+    return (blocks.drop("words").groupBy("block").cogroup(answers.groupBy("block"))
+            .applyInArrow(_assembled(path, with_ids), schema))

@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -30,13 +31,13 @@ def sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-@pytest.mark.parametrize("block_bytes", [1, 5_000, 16_000_000])
-def test_every_row_as_the_library(spark, awkward, block_bytes):
+@pytest.mark.parametrize("block_bytes,bucket_words", [(1, 40), (5_000, 3), (16_000_000, 250_000)])
+def test_every_row_as_the_library(spark, awkward, block_bytes, bucket_words):
     more = spark.createDataFrame(SPECIALS, "doc_id bigint, text string")
     docs = awkward.select("doc_id", "text").unionByName(more)
     if block_bytes == 1:
         docs = docs.where("doc_id is null or doc_id < 20 or doc_id > 200")
-    got = word_bpe.encode(docs, PATH, block_bytes=block_bytes).collect()
+    got = word_bpe.encode(docs, PATH, block_bytes=block_bytes, bucket_words=bucket_words).collect()
     want = [(r.doc_id, *plain(r.text)) for r in docs.collect()]
     assert sorted(((r.doc_id, list(r.ids), r.decoded) for r in got), key=repr) == sorted(want, key=repr)
     for r in got:
@@ -86,11 +87,29 @@ def test_both_ways_of_merging_agree(word):
     assert OURS._short(list(symbols)) == OURS._long(list(symbols))
 
 
-def test_each_distinct_word_is_encoded_once_and_hot_words_are_a_row_per_block(spark):
-    docs = spark.createDataFrame([(i, "same words " * 50) for i in range(200)], "doc_id bigint, text string").repartition(4)
-    out = word_bpe.encode_words(docs.selectExpr("explode(split(text, ' ')) word").where("word <> ''"), PATH).collect()
-    assert sorted(r.word for r in out) == ["same", "words"]
-    assert {r.n_tokens for r in word_bpe.encode(docs, PATH, with_ids=False).collect()} == {len(plain("same words " * 50)[0])}
+def test_each_distinct_word_is_encoded_once(monkeypatch):
+    """A bucket's task meets a word in many blocks and encodes it once."""
+    seen = []
+    monkeypatch.setattr(OURS, "encode", lambda w: seen.append(w) or [len(w)])
+    lists = pa.RecordBatch.from_pydict({
+        "bucket": [0, 0, 0], "block": ["a", "b", "c"], "words": [word_bpe._packed(b"same\nother"), word_bpe._packed(b"same"), word_bpe._packed(b"other\nnew")],
+        "steps": [word_bpe._packed_numbers(np.array([0, 1])), word_bpe._packed_numbers(np.array([4])), word_bpe._packed_numbers(np.array([1, 2]))]})
+    answers = [b.to_pylist()[0] for b in word_bpe._answers(PATH)(iter([lists]))]
+    assert sorted(seen) == ["new", "other", "same"]
+    assert [word_bpe._unpacked_numbers(a["flat"]).tolist() for a in answers] == [[4, 5], [4], [5, 3]]
+
+
+def test_a_hot_word_is_one_entry_per_block(spark):
+    docs = spark.createDataFrame([(i, "same words " * 50) for i in range(200)], "doc_id bigint, text string").coalesce(1)
+    ids, _ = plain("same words " * 50)
+    got = word_bpe.encode(docs, PATH, block_bytes=10_000).collect()
+    assert len(got) == 200 and all(r.ids == ids for r in got)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 2 ** 32 - 1)))
+def test_packed_numbers_come_back(numbers):
+    assert word_bpe._unpacked_numbers(word_bpe._packed_numbers(np.array(numbers, np.uint32))).tolist() == numbers
 
 
 def test_another_file_is_refused():
