@@ -36,7 +36,7 @@ PIECE_EXTRA = 180
 #: Token pairs whose test is remembered.
 PAIR_MEMORY = 300_000
 #: Bytes of text split at a time.
-STEP_BYTES = 4_000_000
+STEP_BYTES = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
