@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import DEVICE_BEHAVIOUR, SKIPPED_PERIODS
+from .prune import keep_keys
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order_col: str, cols: Sequence[str],
@@ -63,13 +64,13 @@ def changed_between_periods(snap: DataFrame, targets: DataFrame, key: str = "use
     in ``'all'`` mode it blocks a change and in ``'any'`` mode another
     differing attribute still makes one. Periods in ``skip`` are never reported.
 
-    One pass: keep targets (semi join), then ``lag`` over each key's own
-    periods. The window is partitioned by key and a key has at most one row
+    One pass: keep targets (``keep_keys``, before the shuffle), then ``lag``
+    over each key's own periods. The window is partitioned by key and a key has at most one row
     per period, so no window partition grows with the data.
     """
     attrs = dict(attrs or {"vendor": "vendor", "dtype": "type"})
     w = Window.partitionBy(key).orderBy(period)
-    cur = snap.join(targets.select(key), key, "left_semi")
+    cur = keep_keys(snap, targets, key)
     prev_period = F.lag(period).over(w)
     lagged = cur.select(
         period, key,
@@ -94,32 +95,46 @@ def periods_with_changes(snap: DataFrame, period: str = "period",
                 .select(F.sort_array(F.collect_set(period))).scalar())
 
 
+def label_rows(snap: DataFrame, targets: DataFrame, changes: DataFrame, key: str = "user_id", period: str = "period",
+               behaviour: Sequence[str] = DEVICE_BEHAVIOUR, skip: Sequence[int] = SKIPPED_PERIODS,
+               periods: Sequence[int] | None = None, **limits) -> DataFrame:
+    """The rows that the labels are folded from, before their one shuffle.
+
+    The target x period grid, the targets' snapshot shifted by one period,
+    and the change rows: at most three rows per target and period, whatever
+    the number of other subscribers (a bitmap for very long target lists lets
+    a few of them through; the fold drops them).
+    """
+    wanted = periods_with_changes(snap, period, skip) if periods is None else F.lit(list(periods))
+    grid = targets.select(key, F.explode(wanted).alias(period))
+    record = T.StructType([T.StructField(c, snap.schema[c].dataType) for c in behaviour])
+    none = F.lit(None).cast(record)
+    own = keep_keys(snap.select(key, period, *behaviour), targets, key, exact=False, **limits)
+    return (grid.select(key, period, F.lit(1).alias("_grid"), none.alias("_prev"), F.lit(0).alias("_hit"))
+            .unionByName(own.select(key, (F.col(period) + 1).alias(period), F.lit(0).alias("_grid"),
+                                    F.struct(*behaviour).cast(record).alias("_prev"),
+                                    F.lit(0).alias("_hit")))
+            .unionByName(changes.select(key, period, F.lit(0).alias("_grid"), none.alias("_prev"),
+                                        F.lit(1).alias("_hit"))))
+
+
 def label_previous_period(snap: DataFrame, targets: DataFrame, changes: DataFrame,
                           key: str = "user_id", period: str = "period",
                           behaviour: Sequence[str] = DEVICE_BEHAVIOUR,
                           skip: Sequence[int] = SKIPPED_PERIODS,
-                          periods: Sequence[int] | None = None) -> DataFrame:
+                          periods: Sequence[int] | None = None, **limits) -> DataFrame:
     """Every target in every labelled period p: its behaviour in p-1 and a 0/1 label.
 
     label = 1 when the target is in ``changes`` for p; the output has exactly
-    |targets| x |periods| rows (targets are a set of keys). The period grid
-    is ``explode`` of a scalar subquery, not a cross join; ``periods`` gives it
-    instead, for a snapshot that holds some periods only.
+    |targets| x |periods| rows (targets are a set of keys, without null). The
+    period grid is ``explode`` of a scalar subquery, not a cross join;
+    ``periods`` gives it instead, for a snapshot that holds some periods only.
 
-    The grid, the snapshot shifted by one period and the change rows are
-    unioned and folded by one group-by on (key, period): a single shuffle, no
-    sort-merge joins.
+    The rows of ``label_rows`` are folded by one group-by on (key, period): a
+    single shuffle of target rows only, no sort-merge joins. ``limits`` go to
+    ``keep_keys``.
     """
-    wanted = periods_with_changes(snap, period, skip) if periods is None else F.lit(list(periods))
-    grid = targets.select(key, F.explode(wanted).alias(period))
-    record = T.StructType([T.StructField(c, snap.schema[c].dataType) for c in behaviour])
-    none = F.lit(None).cast(record)
-    rows = (grid.select(key, period, F.lit(1).alias("_grid"), none.alias("_prev"), F.lit(0).alias("_hit"))
-            .unionByName(snap.select(key, (F.col(period) + 1).alias(period), F.lit(0).alias("_grid"),
-                                     F.struct(*behaviour).cast(record).alias("_prev"),
-                                     F.lit(0).alias("_hit")))
-            .unionByName(changes.select(key, period, F.lit(0).alias("_grid"), none.alias("_prev"),
-                                        F.lit(1).alias("_hit"))))
+    rows = label_rows(snap, targets, changes, key, period, behaviour, skip, periods, **limits)
     # At most one previous-period record per (key, period), so first() is exact.
     folded = rows.groupBy(key, period).agg(F.max("_grid").alias("_grid"),
                                            F.first("_prev", ignorenulls=True).alias("_prev"),
@@ -130,8 +145,8 @@ def label_previous_period(snap: DataFrame, targets: DataFrame, changes: DataFram
 
 def rows_in_period(snap: DataFrame, targets: DataFrame, value: int,
                    key: str = "user_id", period: str = "period") -> DataFrame:
-    """Targets joined with their snapshot row of one period (inner join)."""
-    return snap.where(F.col(period) == value).join(targets.select(key), key, "inner")
+    """The targets' snapshot rows of one period (targets are a set of keys)."""
+    return keep_keys(snap.where(F.col(period) == value), targets, key)
 
 
 def counts_per_period(df: DataFrame, period: str = "period") -> DataFrame:

@@ -28,9 +28,11 @@ def distinct_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(pairs.alias("p")).select("p.column", "p.value").distinct()
 
 
-def category_index(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def category_index(df: DataFrame, cols: Sequence[str], known: DataFrame | None = None) -> DataFrame:
     """(column, value, idx): 0-based rank of each distinct non-null value within its column.
 
+    With ``known`` (column, value), only the values that it lacks are ranked.
+
     Distributed, with no single-task step over the values: the distinct
     values of all columns are range-partitioned and sorted (``orderBy``),
     numbered with ``monotonically_increasing_id`` (partition id in the high
@@ -41,6 +43,8 @@ def category_index(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     first place of its column.
     """
     values = distinct_values(df, cols).where(F.col("value").isNotNull())
+    if known is not None:
+        values = values.join(known.select("column", "value"), ["column", "value"], "left_anti")
     numbered = materialize(values.orderBy("column", "value").select(
         "column", "value", F.monotonically_increasing_id().alias("_id")))
     numbered = numbered.select("column", "value", F.shiftright("_id", 33).alias("_part"),
@@ -62,12 +66,11 @@ def with_category_index(df: DataFrame, cols: Sequence[str], index: DataFrame) ->
 
     ``index`` (of ``category_index``) is built from the whole device log, so
     an index does not depend on which rows were selected. It is computed
-    once, and a column's part is broadcast after a check of its bytes: the
-    rows are not shuffled on a category of a few values. Beyond the bound the
-    join is left to Spark.
+    once by the caller (a table or a checkpoint), and a column's part is
+    broadcast after a check of its bytes: the rows are not shuffled on a
+    category of a few values. Beyond the bound the join is left to Spark.
     """
-    index = materialize(index)
-    sizes = {r["column"]: r["n"] for r in index.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {c: n - 1 for c, n in arities(index, cols).items()}
     out = df
     for c in cols:
         part = index.where(F.col("column") == c).select(F.col("value").alias(f"_{c}"), F.col("idx").alias(f"{c}_idx"))

@@ -9,17 +9,21 @@ list.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
+import json
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_root, materialize
+from ..sources.folders import is_whole, read_note, write_note
 
 
 def hash_bucket(key: Column, k: int) -> Column:
@@ -149,40 +153,91 @@ def score(model: RandomForestClassificationModel, rows: DataFrame, keep: Sequenc
 
 
 class FoldResult(NamedTuple):
-    """One grid point on one fold: its settings, its model, and how that did on the fold."""
+    """One grid point on one fold: its settings, its model, and how that did on the fold.
+
+    ``precision``, ``recall`` and ``f_measure`` are those of class 1, from the
+    fold's own confusion matrix ``counts`` (actual, predicted, rows); null
+    where there is nothing to divide by.
+    """
     point: dict
     fold: int
     model: RandomForestClassificationModel
     n_train: int
-    n_valid: int
-    f_measure: float
-    precision: float
-    recall: float
+    counts: list[tuple[int, int, int]]
+
+    @property
+    def n_valid(self) -> int:
+        return sum(n for _, _, n in self.counts)
+
+    def _share(self, hits, of) -> float | None:
+        total = sum(n for a, p, n in self.counts if of(a, p))
+        return sum(n for a, p, n in self.counts if of(a, p) and hits(a, p)) / total if total else None
+
+    @property
+    def accuracy(self) -> float | None:
+        return self._share(lambda a, p: a == p, lambda a, p: True)
+
+    @property
+    def precision(self) -> float | None:
+        return self._share(lambda a, p: a == 1, lambda a, p: p == 1)
+
+    @property
+    def recall(self) -> float | None:
+        return self._share(lambda a, p: p == 1, lambda a, p: a == 1)
+
+    @property
+    def f_measure(self) -> float | None:
+        p, r = self.precision, self.recall
+        return 2 * p * r / (p + r) if p and r else (None if p is None or r is None else 0.0)
+
+
+def fingerprint(data: DataFrame, cols: Sequence[str]) -> str:
+    """Digest of a table's rows, whatever their order: their number and two sums of their hashes."""
+    both = data.select(F.xxhash64(*cols).alias("a"), F.hash(*cols).alias("b"))
+    found = both.agg(F.count(F.lit(1)), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("long"))).first()
+    return "-".join(str(v) for v in found)
 
 
 def forest_grid_cv(rows: DataFrame, grid: Mapping[str, Sequence], folds: int, fold_col: str = "fold",
-                   label: str = "label", parallelism: int = 3, seed: int = 1) -> list[FoldResult]:
+                   label: str = "label", parallelism: int = 3, seed: int = 1, store: str | None = None) -> list[FoldResult]:
     """Grid x k-fold search: a model and its validation figures per grid point and fold.
 
-    The figures are overall ones over all classes, as the original reported:
-    each counts every row once, so F, precision and recall all equal the
-    share of right predictions. Folds come from ``fold_col`` (a hash fold), so
-    they are reproducible; fits run side by side; no model is fitted and
-    thrown away. ``rows`` needs ``features``, ``label`` and ``fold_col`` only,
-    and is computed once.
+    Folds come from ``fold_col`` (a hash fold), so they are reproducible; fits
+    run side by side; no model is fitted and thrown away. ``rows`` needs
+    ``features``, ``label`` and ``fold_col`` only, and is computed once.
+
+    With ``store``, each finished fit is kept there, model first and figures
+    last, under a name made of its settings, fold, seed and the data's
+    fingerprint. A search that was killed goes on with what is missing; other
+    data or settings share nothing with it.
     """
     data = materialize(rows.select(F.col(label).cast("double").alias(label), fold_col, "features"))
+    spark = data.sparkSession
     sizes = {r[fold_col]: r["n"] for r in data.groupBy(fold_col).agg(F.count(F.lit(1)).alias("n")).collect()}
     points = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
+    mark = "" if store is None else fingerprint(
+        data.withColumn("features", vector_to_array("features")), [label, fold_col, "features"])
+
+    def place(point: dict, fold: int) -> str:
+        name = json.dumps([sorted(point.items()), fold, folds, seed, label, mark], default=str)
+        return f"{store}/{hashlib.sha256(name.encode()).hexdigest()[:24]}"
 
     def run(task: tuple[dict, int]) -> FoldResult:
         point, fold = task
+        n_train = sum(n for f, n in sizes.items() if f != fold)
+        if store is not None and is_whole(spark, f"{place(point, fold)}/figures"):
+            note = read_note(spark, f"{place(point, fold)}/figures")
+            return FoldResult(point, fold, RandomForestClassificationModel.load(f"{place(point, fold)}/model"),
+                              note["n_train"], [tuple(c) for c in note["counts"]])
         model = fit_forest(data.where(F.col(fold_col) != fold), label, seed=seed, **point)
         scored = model.transform(data.where(F.col(fold_col) == fold))
-        right = scored.agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
-        right = float("nan") if right is None else right
-        return FoldResult(point, fold, model, sum(n for f, n in sizes.items() if f != fold),
-                          sizes.get(fold, 0), right, right, right)
+        # At most classes x classes rows.
+        counts = [(int(r[0]), int(r[1]), r[2]) for r in
+                  scored.groupBy(label, "prediction").count().orderBy(label, "prediction").collect()]
+        if store is not None:
+            model.write().overwrite().save(f"{place(point, fold)}/model")
+            write_note(spark, f"{place(point, fold)}/figures", {"point": point, "fold": fold, "n_train": n_train, "counts": counts})
+        return FoldResult(point, fold, model, n_train, counts)
 
     with ThreadPoolExecutor(parallelism) as pool:
         return list(pool.map(run, itertools.product(points, range(folds))))
@@ -191,7 +246,7 @@ def forest_grid_cv(rows: DataFrame, grid: Mapping[str, Sequence], folds: int, fo
 def grid_table(spark, results: Sequence[FoldResult]) -> DataFrame:
     """The figures of a grid search as a frame: a row per grid point and fold."""
     names = list(results[0].point) if results else []
-    out = [tuple(r.point.values()) + (r.fold, r.n_train, r.n_valid, r.f_measure, r.precision, r.recall) for r in results]
+    out = [tuple(r.point.values()) + (r.fold, r.n_train, r.n_valid, r.accuracy, r.f_measure, r.precision, r.recall) for r in results]
     kinds = [f"{n} {'string' if isinstance(results[0].point[n], str) else 'int'}" for n in names]
     return spark.createDataFrame(out, ", ".join(kinds + [
-        "fold int", "n_train bigint", "n_valid bigint", "f_measure double", "precision double", "recall double"]))
+        "fold int", "n_train bigint", "n_valid bigint", "accuracy double", "f_measure double", "precision double", "recall double"]))

@@ -104,21 +104,58 @@ def nearest_centre(points: DataFrame, centres: DataFrame, area: str = "areaid",
     return dealt.join(copies, [area, "_salt"], "left").select(*points.columns, best)
 
 
+#: A key with more than this share of the rows is hot: there are at most 200 of them.
+HOT_SHARE = 1 / 200
+
+
+def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
+    """Keys that hold more than ``share`` of the rows: fewer than 1 / ``share``, whatever the data.
+
+    A count per key, combined in the map tasks; null is no key.
+    """
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).scalar()
+    return sorted(r[key] for r in counts.where(F.col("n") > total * share).collect())
+
+
+def join_split_by_heat(left: DataFrame, right: DataFrame, left_key: str, right_key: str, hot: Sequence,
+                       max_bytes: int | None = None) -> DataFrame:
+    """Left outer join in which the rows of the keys ``hot`` are not dealt out by key.
+
+    The right rows of the hot keys, few as the keys are, are broadcast after a
+    check of their bytes, so the hot left rows stay where they are. Beyond the
+    bound (many right rows per key) the hot left rows are dealt by key and a
+    salt from their own values, and each salt gets a copy of the right rows.
+    All other rows are joined as usual. The rows are the same in any case.
+    """
+    if not hot:
+        return left.join(right, left[left_key] == right[right_key], "left")
+    is_hot = F.coalesce(F.col(left_key).isin(list(hot)), F.lit(False))
+    few = right.where(F.col(right_key).isin(list(hot)))
+    cold = left.where(~is_hot).join(right, left[left_key] == right[right_key], "left")
+    limits = {} if max_bytes is None else {"max_bytes": max_bytes}
+    small = bounded_broadcast(few, **limits)
+    if small is not few:
+        warm = left.where(is_hot).join(small, left[left_key] == right[right_key], "left")
+        return cold.unionByName(warm)
+    dealt = left.where(is_hot).withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)))
+    copies = few.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    warm = dealt.join(copies, (dealt[left_key] == copies[right_key]) & (F.col("_salt") == F.col("_copy")), "left")
+    return cold.unionByName(warm.drop("_salt", "_copy"))
+
+
 def located_with_tags(located: DataFrame, tags: DataFrame, key: str = "user_id",
                       date=None, hour=None, area=None, cluster=None,
-                      date_col: str = "dt", hour_col: str = "hr") -> DataFrame:
+                      date_col: str = "dt", hour_col: str = "hr", hot: Sequence = ()) -> DataFrame:
     """Located records (optionally filtered) left-joined with the tag row of their key.
 
-    The filters apply before the join. Tags have one row per key and are
-    derived, so their size is only known once computed: the join is left to
+    The filters apply before the join. ``hot`` (of ``hot_keys``) are keys whose
+    records are kept out of the exchange; the rest of the join is left to
     AQE, which broadcasts the tag side when its materialised shuffle is under
-    ``spark.sql.adaptive.autoBroadcastJoinThreshold`` and otherwise keeps a
-    sort-merge join whose skewed (hot key) partitions it splits.
+    ``spark.sql.adaptive.autoBroadcastJoinThreshold``.
     """
     cond = F.lit(True)
     for col, val in ((date_col, date), (hour_col, hour), ("areaid", area), ("clusterid", cluster)):
         if val is not None:
             cond = cond & (F.col(col) == val)
-    left = located.where(cond)
-    right = tags.withColumnRenamed(key, f"tag_{key}")
-    return left.join(right, left[key] == right[f"tag_{key}"], "left")
+    return join_split_by_heat(located.where(cond), tags.withColumnRenamed(key, f"tag_{key}"), key, f"tag_{key}", hot)

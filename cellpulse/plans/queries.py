@@ -16,14 +16,16 @@ from pyspark.sql import functions as F
 from ..constants import (CATEGORY_COLUMNS, CV_FOLDS, DEVICE_CATEGORICAL, DEVICE_FIELDS, DEVICE_NUMERIC,
                          FOREST_GRID, FOREST_PARAMS, LAST_PERIOD, PROFILE_COLUMNS)
 from ..functions import text
-from ..operators import change, features, model, quality
+from ..operators import bundle, change, dictionary, features, model, quality
 from ..operators import profile as prof_op
 from ..operators import spatial as spatial_op
 from ..session import materialize, scratch_path
 from ..sources import csv as io
+from ..sources import rejects
 from ..sources.tables import read_table
 from . import fixtures
 from .device import DeviceInputs
+from .monthly import MonthStore
 from .profile import ProfileInputs
 from .spatial import SpatialInputs
 
@@ -88,6 +90,27 @@ def label_one_period(spark, sf_dir):
     return _last_two(spark, sf_dir).labeled
 
 
+def _months(spark, sf_dir) -> MonthStore:
+    """A store that got the last two months one after the other, each from its own events."""
+    root = scratch_path(spark, "months")
+    for month in (LAST_PERIOD - 1, LAST_PERIOD):
+        store = MonthStore(spark, root)
+        store.append(month, DeviceInputs(spark, sf_dir, periods=(month, month)).snap)
+    return MonthStore(spark, root)
+
+
+@register("month_switch")
+def month_switch(spark, sf_dir):
+    """The change set of a newly added month."""
+    return _months(spark, sf_dir).changes_of(LAST_PERIOD, DeviceInputs(spark, sf_dir).targets)
+
+
+@register("month_label")
+def month_label(spark, sf_dir):
+    """The labels of a newly added month."""
+    return _months(spark, sf_dir).labels_of(LAST_PERIOD, DeviceInputs(spark, sf_dir).targets)
+
+
 @register("target_scoring_rows")
 def target_scoring_rows(spark, sf_dir):
     return _scoring_rows(spark, sf_dir)
@@ -119,7 +142,7 @@ def category_index(spark, sf_dir):
 @register("feature_rows")
 def feature_rows(spark, sf_dir):
     d = DeviceInputs(spark, sf_dir, reuse=True)
-    return features.feature_rows(d.labeled, features.category_index(d.snap, CATEGORICAL), CATEGORICAL, NUMERIC)
+    return features.feature_rows(d.labeled, materialize(features.category_index(d.snap, CATEGORICAL)), CATEGORICAL, NUMERIC)
 
 
 # --- profile ----------------------------------------------------------------
@@ -199,7 +222,8 @@ def cluster_centres(spark, sf_dir):
 @register("located_with_tags")
 def located_with_tags(spark, sf_dir):
     """All located records with the tags of their user; users off the target list have none."""
-    return spatial_op.located_with_tags(SpatialInputs(spark, sf_dir).clus, _target_tags(spark, sf_dir))
+    located = materialize(SpatialInputs(spark, sf_dir).clus)
+    return spatial_op.located_with_tags(located, _target_tags(spark, sf_dir), hot=spatial_op.hot_keys(located, "user_id"))
 
 
 def _target_tags(spark, sf_dir) -> DataFrame:
@@ -250,6 +274,21 @@ def distinct_users(spark, sf_dir):
     return quality.distinct_count(read_table(spark, sf_dir, "events"), "user_id")
 
 
+@register("distinct_by_period")
+def distinct_by_period(spark, sf_dir):
+    """Users per period and in all (period 0): exact, and whether stored and merged sketches come within 3 %."""
+    ev = fixtures.with_period(read_table(spark, sf_dir, "events")).select("period", "user_id")
+    path = scratch_path(spark, "sketches")
+    quality.distinct_sketches(ev, "period", "user_id").write.parquet(path)
+    sketches = spark.read.parquet(path)
+    exact = ev.cube("period").agg(F.count_distinct("user_id").alias("n"))
+    exact = exact.select(F.coalesce("period", F.lit(0)).alias("period"), "n")
+    estimates = quality.merged_distinct(sketches, "period").unionByName(
+        quality.merged_distinct(sketches).withColumn("period", F.lit(0)))
+    close = F.abs(F.col("estimate") - F.col("n")) <= F.greatest(F.lit(1.0), F.col("n") * 0.03)
+    return exact.join(estimates, "period").select("period", "n", close.alias("within_bound"))
+
+
 @register("column_profile")
 def column_profile(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events")
@@ -319,42 +358,55 @@ class ForestInputs:
     read them instead of deriving them again.
     """
 
-    def __init__(self, spark, sf_dir):
-        d = DeviceInputs(spark, sf_dir, reuse=True)
-        self.index = materialize(features.category_index(d.snap, CATEGORICAL))
+    def __init__(self, spark, sf_dir, device: DeviceInputs | None = None, index: DataFrame | None = None):
+        d = device or DeviceInputs(spark, sf_dir, reuse=True)
+        self.index = materialize(features.category_index(d.snap, CATEGORICAL)) if index is None else index
         self.arity = features.arities(self.index, CATEGORICAL)
         rows = features.feature_rows(d.labeled, self.index, CATEGORICAL, NUMERIC)
         rows = model.holdout_split(rows, _row_key(), (8, 1)).withColumn("fold", model.hash_bucket(_row_key(), CV_FOLDS))
         self.rows = materialize(rows)
 
-    def part(self, name: str) -> DataFrame:
-        return model.assembled(self.rows.where(F.col("split") == name), CATEGORICAL, NUMERIC, self.arity)
+    def part(self, name: str, label: Column | None = None) -> DataFrame:
+        """One side of the split, with another label if given."""
+        rows = self.rows.where(F.col("split") == name)
+        rows = rows if label is None else rows.withColumn("label", label)
+        return model.assembled(rows, CATEGORICAL, NUMERIC, self.arity)
+
+    def fit(self, train: DataFrame | None = None, **params):
+        return model.fit_forest(self.part("train") if train is None else train, **{**FOREST_PARAMS, **params})
+
 
-    def fit(self, **params):
-        return model.fit_forest(self.part("train"), **{**FOREST_PARAMS, **params})
+def _easy_label() -> Column:
+    """A label that the features decide: 3G, or many messages. A right forest must get every row."""
+    return ((F.col("net_idx") == 1) | (F.col("sms") >= 50)).cast("int")
 
 
 @register("rf_fit_predict")
 def rf_fit_predict(spark, sf_dir):
-    """Train on the 8/9 split and score the 1/9 hold-out.
+    """Train on the 8/9 split and score the 1/9 hold-out, on the change label and on one that the features decide.
 
-    Returns per label how many hold-out rows were scored with a class that
-    exists; which class is the forest's own business and is tested on a
-    label that a right forest must get exactly (``rf_separable``).
+    Returns per label and actual class the hold-out rows scored and, for the
+    label that a forest must get, how many it got.
     """
     f = ForestInputs(spark, sf_dir)
-    scored = model.score(f.fit(), f.part("holdout"), ["label"])
-    return scored.where(F.col("prediction").isin(0, 1)).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    out = []
+    for name in ("change", "decided"):
+        easy = name == "decided"
+        train, holdout = (f.part(part, _easy_label() if easy else None) for part in ("train", "holdout"))
+        # All features at every split where every row must be right: no luck of the draw.
+        fitted = model.fit_forest(train, **{**FOREST_PARAMS, **({"featureSubsetStrategy": "all"} if easy else {})})
+        counts = model.confusion(model.score(fitted, holdout, ["label"]), classes=[0, 1])
+        right = F.when(F.col("label") == 0, F.col("pred_0")).otherwise(F.col("pred_1"))
+        out.append(counts.select(F.lit(name).alias("kind"), "label", (F.col("pred_0") + F.col("pred_1")).alias("n"),
+                                 (right if easy else F.lit(None).cast("bigint")).alias("n_right")))
+    return out[0].unionByName(out[1])
 
 
 @register("rf_separable")
 def rf_separable(spark, sf_dir):
-    """The same forest on a label that its features decide (3G, or many messages): its confusion matrix on the hold-out."""
+    """The same forest on a label that its features decide: its confusion matrix on the hold-out."""
     f = ForestInputs(spark, sf_dir)
-    label = ((F.col("net_idx") == 1) | (F.col("sms") >= 50)).cast("int").alias("label")
-    rows = f.rows.select("split", label, *[f"{c}_idx" for c in CATEGORICAL], *NUMERIC)
-    train, holdout = (model.assembled(rows.where(F.col("split") == part), CATEGORICAL, NUMERIC, f.arity)
-                      for part in ("train", "holdout"))
+    train, holdout = (f.part(part, _easy_label()) for part in ("train", "holdout"))
     # All features at every split: the label must not depend on which are drawn.
     fitted = model.fit_forest(train, **{**FOREST_PARAMS, "featureSubsetStrategy": "all"})
     return model.confusion(model.score(fitted, holdout, ["label"]), classes=[0, 1])
@@ -362,23 +414,50 @@ def rf_separable(spark, sf_dir):
 
 @register("rf_grid_cv")
 def rf_grid_cv(spark, sf_dir):
-    """Grid points x folds with the sizes of both sides; the figures agree, as overall ones do."""
-    found = model.forest_grid_cv(ForestInputs(spark, sf_dir).part("train"), FOREST_GRID, CV_FOLDS)
-    table = model.grid_table(spark, found)
-    sound = F.col("f_measure").between(0, 1) & (F.col("f_measure") == F.col("precision")) & (
-        F.col("precision") == F.col("recall"))
-    return table.select(*FOREST_GRID, "fold", "n_train", "n_valid", sound.alias("figures_agree"))
+    """Grid points x folds, each with its sizes and the figures of its confusion matrix.
+
+    The label is 3G or gender F, categories that every fold's forest must get
+    right; the fits are kept in a store as they end.
+    """
+    f = ForestInputs(spark, sf_dir)
+    rows = f.part("train", ((F.col("net_idx") == 1) | (F.col("gender_idx") == 0)).cast("int"))
+    found = model.forest_grid_cv(rows, {**FOREST_GRID, "featureSubsetStrategy": ["all"]}, CV_FOLDS,
+                                 store=scratch_path(spark, "grid"))
+    return model.grid_table(spark, found).select(
+        *FOREST_GRID, "fold", "n_train", "n_valid", "accuracy", "f_measure", "precision", "recall")
 
 
 @register("predict_target")
 def predict_target(spark, sf_dir):
-    """The forest of the 8/9 split scores each target's last-period record; the
-    predictions go through the text sink and are read back."""
-    f = ForestInputs(spark, sf_dir)
-    current = features.feature_rows(_scoring_rows(spark, sf_dir), f.index, CATEGORICAL, NUMERIC, keep=["user_id"])
-    path = scratch_path(spark, "predictions")
-    io.write_predictions(model.score(f.fit(), model.assembled(current, CATEGORICAL, NUMERIC, f.arity), ["user_id"]), path)
-    return io.read_predictions(spark, path).select("user_id", F.col("prediction").isin(0, 1).alias("scored"))
+    """A forest saved with its dictionary, read back after the dictionary has grown, scores each
+    target's last-period record; the predictions go through the text sink and are read back.
+
+    The label is one that the features decide, so that every prediction is known.
+    """
+    d = DeviceInputs(spark, sf_dir, reuse=True)
+    known = dictionary.CategoryDictionary(spark, scratch_path(spark, "dictionary"))
+    version = known.grow(d.snap, CATEGORICAL)
+    f = ForestInputs(spark, sf_dir, d, known.read(version).select("column", "value", "idx"))
+    path = scratch_path(spark, "bundle")
+    fitted = f.fit(f.part("train", _easy_label()), featureSubsetStrategy="all")
+    bundle.save(fitted, path, version, f.arity, CATEGORICAL, NUMERIC, spark)
+    # Values of a later month, which sort before and after the known ones.
+    known.grow(d.snap.withColumns({c: F.concat(F.lit("0"), c) for c in CATEGORICAL}), CATEGORICAL)
+    scored = bundle.score_rows(bundle.load(spark, path), _scoring_rows(spark, sf_dir), known, ["user_id"])
+    out = scratch_path(spark, "predictions")
+    io.write_predictions(scored, out)
+    return io.read_predictions(spark, out).select("user_id", "prediction")
+
+
+@register("dictionary_growth")
+def dictionary_growth(spark, sf_dir):
+    """The dictionary of the first period, grown by all others: old indices stay, new values follow."""
+    snap = DeviceInputs(spark, sf_dir, reuse=True).snap.withColumn("handset", F.concat_ws("/", "dtype", "bytes", "age"))
+    known = dictionary.CategoryDictionary(spark, scratch_path(spark, "dictionary"))
+    cols = [*CATEGORY_COLUMNS, "handset"]
+    known.grow(snap.where(F.col("period") == 1), cols)
+    known.grow(snap, cols)
+    return known.read().select("column", "value", "idx")
 
 
 # --- sources and sinks (write, read back) -------------------------------------
@@ -394,6 +473,23 @@ def csv_roundtrip(spark, sf_dir):
     return io.read_device_logs(spark, path)
 
 
+@register("reject_report")
+def reject_report(spark, sf_dir):
+    """Device rows as text, some with a word or a letter in a number field: the bad tokens and the rows that are left."""
+    path = scratch_path(spark, "dirty")
+    rows = read_table(spark, sf_dir, "events").select(
+        "event_id", "event_type",
+        F.when(F.col("event_id") % 97 == 0, F.concat(F.lit("x"), F.floor("value"))).otherwise(F.floor("value").cast("string")).alias("voice"),
+        F.when(F.col("event_id") % 89 == 0, "none").when(F.col("event_id") % 7 == 0, None)
+         .otherwise((F.col("event_id") % 100).cast("string")).alias("sms"))
+    rows.write.option("header", True).csv(path)
+    found = rejects.read_checked(spark, path, "event_id bigint, event_type string, voice int, sms int", most=0.05, header=True)
+    bad = found.rejects.groupBy("field", "token").agg(F.count(F.lit(1)).alias("n"))
+    # The rows that went on, by the sum of their typed numbers.
+    kept = found.rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("voice") + F.coalesce("sms", F.lit(0))).cast("string").alias("token"))
+    return bad.unionByName(kept.select(F.lit("kept").alias("field"), "token", "n"))
+
+
 @register("wide_scan_fill")
 def wide_scan_fill(spark, sf_dir):
     """Wide rows as ragged text (a row ends with its last point, inner gaps are empty), read back and filled."""

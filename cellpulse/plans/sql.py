@@ -6,7 +6,7 @@ the sizes of folds, and the matrix on a label that it must get exactly.
 
 from __future__ import annotations
 
-from ..constants import DEVICE_BEHAVIOUR, PROFILE_COLUMNS
+from ..constants import CATEGORY_COLUMNS, DEVICE_BEHAVIOUR, PROFILE_COLUMNS
 from .oracle import fcols, with_ctes
 
 ORACLE: dict[str, str] = {}
@@ -25,6 +25,8 @@ oracle("switch_one_period", "select * from switch where period = 12", "switch")
 oracle("switch_counts", "select period, count(*) as n from switch group by period", "switch")
 oracle("label_prev_period", "select * from labeled", "labeled")
 oracle("label_one_period", "select * from labeled where period = 12", "labeled")
+oracle("month_switch", "select * from switch where period = 12", "switch")
+oracle("month_label", "select * from labeled where period = 12", "labeled")
 oracle("target_scoring_rows", "select s.* from tgt t join snap s using (user_id) where s.period = 12", "tgt", "snap")
 oracle("label_counts", "select label, count(*) as n from labeled group by label", "labeled")
 
@@ -83,6 +85,10 @@ oracle("top_rows", "select * from clus order by user_id, dt, hr limit 10", "clus
 
 # --- quality ----------------------------------------------------------------
 oracle("distinct_users", "select count(distinct user_id) as n from events")
+_period = "cast(floor(date_diff('day', date '2024-01-01', cast(ts as date)) * 12 / 30) as int) + 1"
+oracle("distinct_by_period", f"""
+select {_period} as period, count(distinct user_id) as n, true as within_bound from events group by 1
+union all select 0, count(distinct user_id), true from events""")
 oracle("column_profile", """
 select 'value' as "column", count(v) as n, round(avg(v), 6) as mean,
        round(stddev_pop(v), 6) as stdev, max(v) as max, min(v) as min,
@@ -128,23 +134,39 @@ select (tp + tn) / nullif(tp + fp + fn + tn, 0) as accuracy, p as precision_1, r
 from m""", "conf")
 
 # Forests: what SQL can state about them.
-oracle("rf_fit_predict", "select label, count(*) as n from parts where h % 9 = 8 group by label", "parts")
-oracle("rf_separable", """
+_decided = "case when net_idx = 1 or sms >= 50 then 1 else 0 end"
+oracle("rf_fit_predict", f"""
+select 'change' as kind, label, count(*) as n, cast(null as bigint) as n_right from parts where h % 9 = 8 group by label
+union all select 'decided', {_decided}, count(*), count(*) from parts where h % 9 = 8 group by 2""", "parts")
+oracle("rf_separable", f"""
 select c.label, cast(count(*) filter (p.truth = c.label and c.label = 0) as bigint) as pred_0,
        cast(count(*) filter (p.truth = c.label and c.label = 1) as bigint) as pred_1
 from (values (0), (1)) c(label)
-left join (select case when net_idx = 1 or sms >= 50 then 1 else 0 end as truth from parts where h % 9 = 8) p on true
+left join (select {_decided} as truth from parts where h % 9 = 8) p on true
 group by c.label""", "parts")
 oracle("rf_grid_cv", """
 select 32 as "numTrees", g.depth as "maxDepth", 20 as "maxBins", 'entropy' as impurity, cast(f.fold as int) as fold,
        count(*) filter (p.h % 3 <> f.fold) as n_train, count(*) filter (p.h % 3 = f.fold) as n_valid,
-       true as figures_agree
+       1e0 as accuracy, 1e0 as f_measure, 1e0 as precision, 1e0 as recall
 from (values (20), (30)) g(depth), range(3) f(fold), parts p where p.h % 9 < 8 group by g.depth, f.fold""", "parts")
-oracle("predict_target", "select t.user_id, true as scored from tgt t join snap s using (user_id) where s.period = 12",
-       "tgt", "snap")
+oracle("predict_target", "select t.user_id, case when s.net = '3G' or s.sms >= 50 then 1 else 0 end as prediction "
+       "from tgt t join snap s using (user_id) where s.period = 12", "tgt", "snap")
+_handset = "concat_ws('/', dtype, bytes, age)"
+_first_seen = " union all ".join(
+    f"select '{c}' as \"column\", {e} as value, min(period) > 1 as later from snap group by {e}"
+    for c, e in [*((c, c) for c in CATEGORY_COLUMNS), ("handset", _handset)])
+oracle("dictionary_growth", f"""
+select "column", value, cast(row_number() over (partition by "column" order by later, value) - 1 as int) as idx
+from ({_first_seen}) v where value is not null""", "snap")
 
 # --- sources and sinks --------------------------------------------------------
 oracle("csv_roundtrip", "select * replace (concat_ws(',', dtype, upper(vendor)) as dtype) from snap", "snap")
+oracle("reject_report", """
+select field, token, count(*) as n from (
+  select 'voice' as field, 'x' || cast(floor(value) as bigint) as token from events where event_id % 97 = 0
+  union all select 'sms', 'none' from events where event_id % 89 = 0) b group by field, token
+union all select 'kept', cast(sum(cast(floor(value) as bigint) + case when event_id % 7 = 0 then 0 else event_id % 100 end) as varchar), count(*)
+from events where event_id % 97 <> 0 and event_id % 89 <> 0""")
 oracle("profile_project_fill", "select * from prof", "prof")
 oracle("tag_roundtrip", "select * from tags", "tags")
 

@@ -86,10 +86,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+#: Scratch paths given out by this process, for ``folders.scratch_scope``.
+SCRATCH_PATHS: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never-reused path under the checkpoint root for written tables."""
     root = checkpoint_root(spark).rstrip("/")
-    return f"{root}/cellpulse/{name}-{uuid.uuid4().hex}"
+    path = f"{root}/cellpulse/{name}-{uuid.uuid4().hex}"
+    SCRATCH_PATHS.append(path)
+    return path
 
 
 def materialize(df: DataFrame) -> DataFrame:
