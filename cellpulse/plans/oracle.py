@@ -127,6 +127,9 @@ select user_id, dt, hr, x, y, areaid, clusterid from (
                             order by (a.x - c.cx) * (a.x - c.cx) + (a.y - c.cy) * (a.y - c.cy),
                                      c.clusterid) as rn
   from area a left join cent c on a.areaid = c.areaid) z where rn = 1""", ("area", "cent")),
+    "many": ("""
+select areaid, cx, cy, cast(row_number() over (partition by areaid order by cx, cy) - 1 as int) as clusterid
+from (select distinct areaid, x as cx, y as cy from area where dt = date '2024-01-05') p""", ("area",)),
     "conf": ("select quality as label, toxic as prediction, count(*) as n "
              "from labels group by quality, toxic", ()),
 }

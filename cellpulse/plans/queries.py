@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import (CATEGORY_COLUMNS, CV_FOLDS, DEVICE_CATEGORICAL, DEVICE_FIELDS, DEVICE_NUMERIC,
@@ -205,6 +205,16 @@ def nearest_centre(spark, sf_dir):
     return SpatialInputs(spark, sf_dir).clus
 
 
+@register("nearest_of_many")
+def nearest_of_many(spark, sf_dir):
+    """Each located record and the nearest of many centres: the points seen on one day, numbered per area."""
+    located = materialize(SpatialInputs(spark, sf_dir).area)
+    seen = located.where(F.col("dt") == F.lit("2024-01-05").cast("date")).select("areaid", F.col("x").alias("cx"), F.col("y").alias("cy")).distinct()
+    # The points of an area are a grid of fixed steps, so their number is bounded.
+    number = F.row_number().over(Window.partitionBy("areaid").orderBy("cx", "cy")) - 1
+    return spatial_op.nearest_of_many(located, materialize(seen.withColumn("clusterid", number.cast("int"))))
+
+
 @register("cluster_centres")
 def cluster_centres(spark, sf_dir):
     """Centres stored in the model format (an x,y file per area) and read
@@ -529,8 +539,8 @@ def multi_path_union(spark, sf_dir):
 @register("record_to_line")
 def record_to_line(spark, sf_dir):
     """The five line formats: target id, device record, usage record, located record, tag record."""
-    d = DeviceInputs(spark, sf_dir)
-    p, s = ProfileInputs(spark, sf_dir), SpatialInputs(spark, sf_dir)
+    d = DeviceInputs(spark, sf_dir, periods=(LAST_PERIOD, LAST_PERIOD))
+    p, s = ProfileInputs(spark, sf_dir, reuse=True), SpatialInputs(spark, sf_dir)
     whole = [F.col(c).cast("bigint") for c in PROFILE_COLUMNS]
     lines = [
         d.targets.select(F.lit("target").alias("kind"), text.to_line(["user_id"]).alias("line")),

@@ -66,6 +66,11 @@ oracle("wide_scan_fill", "select * from wide", "wide")
 oracle("unpivot_hours", "select * from long", "long")
 oracle("area_assign", "select * from area", "area")
 oracle("nearest_centre", "select * from clus", "clus")
+oracle("nearest_of_many", """
+select a.user_id, a.dt, a.hr, a.x, a.y, a.areaid, (
+    select arg_min(m.clusterid, [(a.x - m.cx) * (a.x - m.cx) + (a.y - m.cy) * (a.y - m.cy), m.clusterid])
+    from many m where m.areaid = a.areaid) as clusterid
+from area a""", "area", "many")
 oracle("cluster_centres", """
 select c.areaid, c.clusterid, c.cx, c.cy, cast(coalesce(m.n, 0) as bigint) as n
 from cent c left join (select areaid, clusterid, count(*) as n from clus
