@@ -30,13 +30,13 @@ from cellpulse.llm.common import slices, text_bytes
 
 #: Bytes of remembered pieces and ids per Python worker. Half of them are forgotten at
 #: a time: those that the latest half of the pieces did not hold.
-PIECE_MEMORY = 48_000_000
+PIECE_MEMORY = 64_000_000
 #: Bytes that Python takes for a remembered piece besides its own and its ids'.
 PIECE_EXTRA = 180
 #: Token pairs whose test is remembered.
-PAIR_MEMORY = 300_000
+PAIR_MEMORY = 600_000
 #: Bytes of text split at a time.
-STEP_BYTES = 1_000_000
+STEP_BYTES = 2_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -135,7 +135,7 @@ class PrefixBPE:
             yield self.walk(last)
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join([self.bytes_of[i] for i in ids])
+        return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
 class PrefixTable:
