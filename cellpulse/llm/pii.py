@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +41,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _BARE_PHONE = re.compile(r"(?<![0-9+(.])(?:\([0-9]{2,4}\)|[0-9]{2,4}(?=[\x20.-]))(?:[\x20.-]?[0-9]{2,4}){2,4}(?![0-9.])")
-_SPELLED = re.compile(r"(?i)\b[a-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\])\x20?[a-z0-9-]{1,63}"
-                      r"(?:\x20?(?:\(dot\)|\[dot\]|\.)\x20?[a-z0-9-]{1,63}){1,4}")
+# The local part is a whole run, of any length: no place inside a run is tried.
+_SPELLED = re.compile(r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++\x20?(?:\(at\)|\[at\])\x20?[a-z0-9-]++"
+                      r"(?:(?:\x20?(?:\(dot\)|\[dot\])\x20?|\.)[a-z0-9-]++)++")
 #: Words that announce personal data, in the four languages of the corpus.
 CUES = {
     "email": "email e-mail mail contact write courriel correo kontakt".split(),
@@ -96,7 +98,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans that the base patterns leave, clear of base spans and of each other."""
-    taken = [(a, b) for _, a, b in base]
+    # Taken stretches, apart from each other and in order.
+    starts, ends = [], []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     found = [(2, *m.span()) for m in _CARD.finditer(text)
              if 12 < m.end() - m.start() < 40 and 13 <= len(_digits(m.group())) <= 19]
     found += [(3, *m.span()) for m in _BARE_PHONE.finditer(text) if 7 <= len(_digits(m.group())) <= 12]
@@ -104,9 +113,11 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         found += [(0, *m.span()) for m in _SPELLED.finditer(text)]
     out = []
     for kind, a, b in found:
-        if all(b <= x or a >= y for x, y in taken):
+        at = bisect_right(ends, a)  # the first stretch that ends after the span starts
+        if at == len(starts) or starts[at] >= b:
             out.append((kind, a, b))
-            taken.append((a, b))
+            starts.insert(at, a)
+            ends.insert(at, b)
     return out
 
 
@@ -115,7 +126,20 @@ _TLDS = set("com org net edu gov info io de fr es uk eu".split())
 LABELLERS = ("form", "check", "gazetteer", "context", "neighbours")
 
 
-def votes(text: str, span: tuple[int, int, int], others: list[tuple[int, int, int]]) -> tuple[int, ...]:
+class Spans:
+    """Places of a text's spans, in order, to ask what is near one of them."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.starts, self.ends = sorted(a for _, a, _ in spans), sorted(b for _, _, b in spans)
+
+    def near(self, a: int, b: int) -> bool:
+        """Another span starts near the end, or ends near the start, of the span at (a, b)."""
+        own = b - a <= CONTEXT  # then it counts itself
+        return any(bisect_right(places, at + CONTEXT) - bisect_left(places, at - CONTEXT) > own
+                   for places, at in ((self.starts, b), (self.ends, a)))
+
+
+def votes(text: str, span: tuple[int, int, int], others: Spans) -> tuple[int, ...]:
     """Votes of the labellers on one span: personal (1), not (0), abstain (-1)."""
     kind, a, b = span
     got = text[a:b]
@@ -137,7 +161,7 @@ def votes(text: str, span: tuple[int, int, int], others: list[tuple[int, int, in
     # A number that stands alone between words; not glued into a longer token.
     free = (a == 0 or text[a - 1] in " \t\n\r(\"'|,:;") and (b == len(text) or not (text[b].isalnum() or text[b] in "_/=-"))
     neighbours = int(free)
-    if any(s != span and min(abs(s[1] - b), abs(a - s[2])) <= CONTEXT for s in others):
+    if others.near(a, b):
         neighbours = 1
     return form, check, gazetteer, context, neighbours
 
@@ -165,10 +189,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = base_spans(text) if any(c in raw for c in b"0123456789@+") else []
             more = candidates(text, own) if _has_candidate(raw) else []
             every = own + more
+            others = Spans(every)
             base.append([{"kind": k, "a": a, "b": b} for k, a, b in own])
             rows = []
             for i, s in enumerate(every):
-                v = votes(text, s, every)
+                v = votes(text, s, others)
                 rows.append({"kind": s[0], "a": s[1], "b": s[2], "added": i >= len(own),
                              "votes": list(v), "features": features(text, s, v)})
             spans.append(rows)

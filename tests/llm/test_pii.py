@@ -96,3 +96,48 @@ def test_label_model_finds_who_is_reliable():
     right = np.mean([(p >= 0.5) == t for p, (_, t) in zip(model.posterior(np.array([r for r, _ in truth])), truth)])
     assert right > 0.9
     assert len(label_model.fit([], []).posterior(np.empty((0, 0), np.int64))) == 0
+
+
+def plain_candidates(text, base):
+    """Every found span against every taken one."""
+    taken, out = [(a, b) for _, a, b in base], []
+    found = [(2, *m.span()) for m in pii._CARD.finditer(text) if 12 < m.end() - m.start() < 40 and 13 <= len(pii._digits(m.group())) <= 19]
+    found += [(3, *m.span()) for m in pii._BARE_PHONE.finditer(text) if 7 <= len(pii._digits(m.group())) <= 12]
+    found += [(0, *m.span()) for m in pii._SPELLED.finditer(text)]
+    for kind, a, b in found:
+        if all(b <= x or a >= y for x, y in taken):
+            out.append((kind, a, b))
+            taken.append((a, b))
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["4111 1111 1111 1111", "068-555-7713", "+1 068 555 7713", "a (at) b (dot) c", "a@b.c", "1.2.3.4",
+                                 " ", ",", "-", "4000 0000 0000 0001", "x" * 70]), max_size=25))
+def test_candidates_and_neighbours_as_compared_one_by_one(parts):
+    text = "".join(parts)
+    base = pii.base_spans(text)
+    every = base + pii.candidates(text, base)
+    assert every == base + plain_candidates(text, base)
+    for s in every:
+        near = any(o != s and min(abs(o[1] - s[2]), abs(s[1] - o[2])) <= pii.CONTEXT for o in every)
+        assert pii.Spans(every).near(s[1], s[2]) == near
+
+
+def test_text_of_50_000_numbers():
+    import time
+    text = "".join(f"call 068-555-{i:04d} or +1 068 555 {i:04d}, " for i in range(10_000)) * 5
+    start = time.process_time()
+    base = pii.base_spans(text)
+    every = base + pii.candidates(text, base)
+    others = pii.Spans(every)
+    assert len(base) == 50_000 and len(every) == 100_000
+    assert all(pii.votes(text, s, others)[4] == 1 for s in every[::7])
+    assert time.process_time() - start < 30
+
+
+def test_spelled_addresses_of_any_length():
+    long = "j" * 200 + " (at) " + "m" * 90 + " (dot) a (dot) b (dot) c (dot) d (dot) e (dot) org"
+    assert pii.candidates(f"write {long}, please", []) == [(0, 6, 6 + len(long))]
+    assert pii.candidates("jane (at) example.com. Then more", []) == [(0, 0, 21)]
+    assert pii.candidates("a." * 100_000 + " (at)", []) == []
