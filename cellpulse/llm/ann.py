@@ -15,6 +15,7 @@ blocks of at most ``BLOCK`` entries, is what one task searches.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,34 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(size)
 
 
+@lru_cache(maxsize=16)
+def _corner(n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """All (i, j) below ``size`` with (i + 1) * (j + 1) <= n."""
+    widths = np.minimum(n // np.arange(1, min(n, size) + 1), size)
+    i = np.repeat(np.arange(len(widths)), widths)
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(widths) - widths, widths)
+
+
+class Counts:
+    """Vectors per bucket of each table, for the buckets that hold any."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, signed: int):
+        order = np.argsort(keys)
+        self.keys, self.counts, self.signed = keys[order], counts[order], signed
+
+    def table(self, table: int) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of a table that hold vectors, and how many."""
+        lo, hi = np.searchsorted(self.keys, [table * self.signed ** 2, (table + 1) * self.signed ** 2])
+        return self.keys[lo:hi] - table * self.signed ** 2, self.counts[lo:hi]
+
+    def of(self, table: int, buckets: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(buckets), np.int64)
+        keys = table * self.signed ** 2 + buckets
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.counts[at], 0)
+
+
 class CrossPolytope:
     """The rotations of all tables for vectors of ``size`` components.
 
@@ -80,14 +109,31 @@ class CrossPolytope:
             out.append(axis * 2 + (y[np.arange(len(y)), axis] > 0))
         return out[0], out[1]
 
-    def probes(self, unit: np.ndarray, table: int, counts: np.ndarray, least: int, points: int) -> np.ndarray:
-        """Buckets (first * 2 axes + second) one query probes in a table, likeliest first."""
+    def probes(self, unit: np.ndarray, table: int, counts: Counts, least: int, points: int) -> np.ndarray:
+        """Buckets (first * 2 axes + second) one query probes in a table, likeliest first.
+
+        The ``n`` likeliest are among the pairs of the i-th best first and the
+        j-th best second axis with i * j <= n, so only those are compared.
+        """
+        signed = 2 * self.axes
         a, b = (np.stack([-y, y], axis=1).ravel() for y in
                 (self.turned(unit[None, :], table, 0)[0], self.turned(unit[None, :], table, 1)[0]))
-        order = np.argsort(-(a[:, None] + b[None, :]).ravel(), kind="stable")
-        enough = int(np.searchsorted(np.cumsum(counts[order]), points)) + 1
-        chosen = order[:max(least, enough)]
-        return chosen[counts[chosen] > 0]
+        by_a, by_b, n = np.argsort(-a, kind="stable"), np.argsort(-b, kind="stable"), min(max(least, 1), signed ** 2)
+        known, members = counts.table(table)
+        while True:
+            i, j = _corner(n, signed)
+            i, j = by_a[i], by_b[j]
+            bucket = i * signed + j
+            bucket = bucket[np.lexsort((bucket, -(a[i] + b[j])))[:n]]
+            held = counts.of(table, bucket)
+            total = np.cumsum(held)
+            if total[-1] >= points or n == signed ** 2:
+                last = max(least, int(np.searchsorted(total, points)) + 1)
+                return bucket[:last][held[:last] > 0]
+            if 2 * n >= len(known):  # fewer to rank: the buckets that hold any
+                order = np.lexsort((known, -(a[known // signed] + b[known % signed])))
+                return known[order[:int(np.searchsorted(np.cumsum(members[order]), points)) + 1]]
+            n = min(2 * n, signed ** 2)
 
 
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
@@ -107,16 +153,17 @@ def _index(hashing: CrossPolytope, size: int):
     return run
 
 
-def _probe(hashing: CrossPolytope, size: int, counts: np.ndarray, least: int, points: int):
+def _probe(hashing: CrossPolytope, size: int, shared, least: int, points: int):
     signed = 2 * hashing.axes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts(*shared.value, signed)
         for batch in batches:
             unit = hashing.unit(_matrix(batch.column(1), size), query=True)
             row, g, probes = [], [], []
             for i in range(len(unit)):
                 for table in range(hashing.tables):
-                    chosen = hashing.probes(unit[i], table, counts[table], least, points)
+                    chosen = hashing.probes(unit[i], table, counts, least, points)
                     for first in np.unique(chosen // signed):
                         row.append(i)
                         g.append(table * signed + int(first))
@@ -137,19 +184,20 @@ def dot(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 
 def _search(size: int, signed: int, keep: int):
-    schema = pa.schema([("q", pa.int64()), ("scores", pa.list_(pa.float64())), ("found", pa.list_(pa.int64()))])
+    schema = pa.schema([("q", pa.int64()), ("t", pa.int32()), ("scores", pa.list_(pa.float64())), ("found", pa.list_(pa.int64()))])
 
     def run(points: pa.Table, queries: pa.Table) -> pa.Table:
         if not len(points) or not len(queries):
             return schema.empty_table()
         points, queries = points.combine_chunks(), queries.combine_chunks()
+        table = points["g"][0].as_py() // signed
         x, y = _matrix(points["embedding"], size), _matrix(queries["embedding"], size)
         second = points["second"].to_numpy()
         members, member_offsets = lists(points["ids"])
         probes, probe_offsets = lists(queries["probes"])
         ids = queries["q"].to_numpy()
         least = members[member_offsets[:-1]]
-        out: list[tuple[int, np.ndarray, np.ndarray]] = []
+        out: list[tuple[int, int, np.ndarray, np.ndarray]] = []
         for lo in range(0, len(y), STEP):
             part = y[lo:lo + STEP]
             asked = np.zeros((len(part), signed), bool)
@@ -170,8 +218,8 @@ def _search(size: int, signed: int, keep: int):
                 each = np.repeat(score, n)
                 order = np.lexsort((every, -each))[:keep]
                 if len(order):
-                    out.append((int(ids[lo + i]), each[order], every[order]))
-        columns = list(zip(*out)) or [(), (), ()]
+                    out.append((int(ids[lo + i]), table, each[order], every[order]))
+        columns = list(zip(*out)) or [(), (), (), ()]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
     return run
 
@@ -182,9 +230,19 @@ def _merge(keep: int):
         scores, a = lists(rows["scores"])
         found, b = lists(rows["found"])
         scores, found = scores[a[0]:a[-1]], found[b[0]:b[-1]]
-        found, first = np.unique(found, return_index=True)  # of several tables: the same score
-        scores = scores[first]
-        order = np.lexsort((found, -scores))[:keep]
+        table = np.repeat(rows["t"].to_numpy(), np.diff(a))
+        # A table holds a vector once: what is there again, as the same id and score, is another vector of that
+        # id. The n-th of an id and score in one table is the n-th in all.
+        order = np.lexsort((table, found, -scores))
+        scores, found, table = scores[order], found[order], table[order]
+        new = np.ones(len(found), bool)
+        new[1:] = (found[1:] != found[:-1]) | (scores[1:] != scores[:-1]) | (table[1:] != table[:-1])
+        at = np.arange(len(found))
+        nth = at - np.maximum.accumulate(np.where(new, at, 0))
+        order = np.lexsort((nth, found, -scores))
+        scores, found, nth = scores[order], found[order], nth[order]
+        new[1:] = (found[1:] != found[:-1]) | (scores[1:] != scores[:-1]) | (nth[1:] != nth[:-1])
+        order = np.flatnonzero(new)[:keep]
         return pa.table({"q": rows["q"][:1], "scores": pa.array([scores[order]], pa.list_(pa.float64())),
                          "found": pa.array([found[order]], pa.list_(pa.int64()))})
     return run
@@ -204,49 +262,65 @@ def search(vectors: DataFrame, queries: Column, k: int = NEIGHBOURS, id_col: str
     Returns ``query_id``, ``rank`` (from 1), ``vec_id`` and ``score`` (inner
     product of the original vectors), largest first, ties to the smaller id; a
     row is not its own neighbour. Rows with a null id, and vectors that are null, zero
-    or hold a null or non-finite component, or have not the most frequent
-    number of components, take no part. Rows that repeat an id and a vector count
-    once; rows with one id and different vectors are different candidates.
-    Fewer than two vectors, or no query, give an empty result. Other columns
-    are ignored.
+    or hold a null or non-finite component, take no part. A query's candidates
+    are the vectors with as many components as it has: each length is searched
+    on its own. Rows that repeat an id and a vector count
+    once; rows with one id and different vectors are different candidates, and
+    different queries. Fewer than two vectors, or no query, give an empty
+    result. Other columns are ignored.
     """
-    keep = k + 1  # one may be the query itself
     vector = F.col(vector_col).cast("array<double>")
     rows = (vectors.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("embedding"))
             .where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))))
-    sizes = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    size = sizes["n"] if sizes else 1
-    rows = rows.where(F.size("embedding") == size)
-
+    # Places for the query's own vectors among those found: one each.
+    own = (rows.where(queries).distinct().groupBy(F.size("embedding").alias("n"), "vec_id").count()
+           .groupBy("n").agg(F.max("count").alias("own")).orderBy("n").collect())
+    out = None
+    for r in own:
+        part = _search_length(rows.where(F.size("embedding") == r["n"]), queries, r["n"], k, k + r["own"],
+                              tables, probes, min_points, block)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    return out
+
+
+def _search_length(rows: DataFrame, queries: Column, size: int, k: int, keep: int, tables: int, probes: int,
+                   min_points: int, block: int) -> DataFrame:
+    """``search`` among usable vectors of ``size`` components."""
+    spark = rows.sparkSession
     # Of equal vectors no more than the first ``keep`` ids can be among a query's nearest.
     place = F.dense_rank().over(W.partitionBy("embedding").orderBy("vec_id"))
     entries = (rows.withColumn("place", place).where(F.col("place") <= keep)
                .groupBy("embedding").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")))
-    entries = written(entries.select("ids", "embedding"), "ann-entries")
+    entries = written(entries.select(F.monotonically_increasing_id().alias("entry"), "ids", "embedding"), "ann-entries")
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
     low, high = entries.agg(F.min(norm), F.max(norm)).first()
     hashing = CrossPolytope(size, high if high and high > low * 1.001 else 0.0, tables)
     signed = 2 * hashing.axes
 
-    index = written(entries.mapInArrow(
+    index = written(entries.select("ids", "embedding").mapInArrow(
         _index(hashing, size), "g int, second int, ids array<bigint>, embedding array<double>"), "ann-index")
-    # At most tables x signed x signed counts.
-    counts = np.zeros((tables, signed * signed), np.int64)
-    for r in index.groupBy("g", "second").count().collect():
-        counts[r["g"] // signed, r["g"] % signed * signed + r["second"]] = r["count"]
-    blocks = -(-counts.reshape(tables * signed, signed).sum(axis=1) // block)
+    # No more counts than buckets that hold a vector.
+    held = index.groupBy("g", "second").count().toArrow()
+    first, second, number = (held[c].to_numpy().astype(np.int64) for c in ("g", "second", "count"))
+    blocks = -(-np.bincount(first, number, tables * signed).astype(np.int64) // block)
+    counts = spark.sparkContext.broadcast((first * signed + second, number))
 
     asked = rows.where(queries).select(F.col("vec_id").alias("query_id"), "embedding").distinct()
-    asked = written(asked.join(entries, "embedding").select("query_id", F.col("ids")[0].alias("q"), "embedding"), "ann-queries")
-    probing = (asked.select("q", "embedding").dropDuplicates(["q", "embedding"])
-               .mapInArrow(_probe(hashing, size, counts, probes, min_points),
-                           "g int, q bigint, probes array<int>, embedding array<double>"))
+    asked = written(asked.join(entries, "embedding").select("query_id", F.col("entry").alias("q"), "embedding"), "ann-queries")
+    # Few bytes and much work: dealt out by number, which is not coalesced.
+    dealt = asked.select("q", "embedding").dropDuplicates(["q"]).repartition(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), "q")
+    probing = dealt.mapInArrow(_probe(hashing, size, counts, probes, min_points),
+                               "g int, q bigint, probes array<int>, embedding array<double>")
     # A query goes to all blocks of a first axis, a vector to one.
-    number = F.element_at(F.array(*[F.lit(int(n)) for n in blocks]), F.col("g") + 1)
-    points = index.withColumn("block", F.pmod(F.xxhash64("ids"), F.greatest(number, F.lit(1))).cast("int"))
-    probing = probing.withColumn("block", F.explode(F.sequence(F.lit(0), F.greatest(number, F.lit(1)) - 1)))
+    hot = [F.lit(int(x)) for g in np.flatnonzero(blocks > 1) for x in (g, blocks[g])]
+    number = F.coalesce(F.try_element_at(F.create_map(*hot), F.col("g")), F.lit(1)) if hot else F.lit(1)
+    points = index.withColumn("block", F.pmod(F.xxhash64("ids"), number).cast("int"))
+    probing = probing.withColumn("block", F.explode(F.sequence(F.lit(0), number - 1)))
     found = (points.groupBy("g", "block").cogroup(probing.groupBy("g", "block"))
-             .applyInArrow(_search(size, signed, keep), "q bigint, scores array<double>, found array<bigint>"))
+             .applyInArrow(_search(size, signed, keep), "q bigint, t int, scores array<double>, found array<bigint>"))
     merged = written(found.groupBy("q").applyInArrow(_merge(keep), "q bigint, scores array<double>, found array<bigint>"),
                      "ann-found")
     others = F.filter(F.arrays_zip("scores", "found"), lambda x: x["found"] != F.col("query_id"))

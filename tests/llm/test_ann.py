@@ -90,3 +90,53 @@ def test_rotations_keep_lengths():
     assert np.allclose(ann.hadamard(np.eye(8)) @ ann.hadamard(np.eye(8)), np.eye(8))
     longer = ann.CrossPolytope(40, 20.0)
     assert np.allclose((longer.unit(x, False) ** 2).sum(axis=1), 1)
+
+
+def plain_by_length(rows):
+    out = {}
+    for n in {len(v) for _, v in rows}:
+        out.update(plain([(i, v) for i, v in rows if len(v) == n]))
+    return out
+
+
+def test_each_length_is_searched(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=2 if i % 5 == 0 else 3 + i % 2).astype(np.float32).tolist()) for i in range(1, 200)]
+    assert run(make(spark, rows)) == {q: found for q, found in plain_by_length(rows).items() if found}
+
+
+def test_one_id_with_several_vectors(spark):
+    """Candidates of their own, whatever their scores, and no places lost to a query's own vectors."""
+    rows = [(7, [0.9, 0.1]), (7, [0.2, 0.5]), (8, [0.0, 1.0]), (8, [0.0, 2.0]), (20, [1.0, 0.0])]
+    got = run(make(spark, rows))[20]
+    assert [(i, round(s, 6)) for i, s in got] == [(7, 0.9), (7, 0.2), (8, 0.0), (8, 0.0)]
+    rng = np.random.default_rng(7)
+    rows = [(40, rng.normal(size=4).astype(np.float32).tolist()) for _ in range(30)]
+    rows += [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(1, 30) if i % 20]
+    found = ann.search(make(spark, rows), F.col("vec_id") % 20 == 0).collect()
+    assert len(found) == 30 * 20 and all(r.vec_id != 40 for r in found)
+
+
+def test_768_components(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=768).astype(np.float32).tolist()) for i in range(1, 401)]
+    want, got = plain(rows), run(make(spark, rows))
+    hits = sum(len({i for i, _ in want[q]} & {i for i, _ in got[q]}) for q in want)
+    assert hits >= 0.9 * sum(map(len, want.values()))
+
+
+@pytest.mark.parametrize("least,points", [(1, 0), (10, 5), (30, 400), (300, 2_000), (5, 10 ** 9)])
+def test_probes_are_the_likeliest_buckets(least, points):
+    rng = np.random.default_rng(9)
+    hashing = ann.CrossPolytope(12, 0.0, tables=2)
+    signed = 2 * hashing.axes
+    held = rng.integers(0, 4, size=(2, signed * signed))
+    keys = np.flatnonzero(held.ravel())
+    counts = ann.Counts(keys, held.ravel()[keys], signed)
+    unit = hashing.unit(rng.normal(size=(1, 12)), query=True)[0]
+    for table in range(2):
+        a, b = (np.stack([-y, y], axis=1).ravel() for y in (hashing.turned(unit[None], table, h)[0] for h in (0, 1)))
+        order = np.argsort(-(a[:, None] + b[None, :]).ravel(), kind="stable")
+        order = order[:max(least, int(np.searchsorted(np.cumsum(held[table][order]), points)) + 1)]
+        want = [int(o) for o in order if held[table][o]]
+        assert hashing.probes(unit, table, counts, least, points).tolist() == want
