@@ -24,6 +24,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,34 +59,76 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return x * np.uint64(0xD6E8FEB86659FD93)
 
 
-def tiles(doc: np.ndarray, item: np.ndarray, seed: int) -> list[tuple[int, int, int]]:
+def _seed_ids(doc: np.ndarray, item: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """A number per start in ``doc`` and ``item``, equal where the same ``seed`` tokens start; -1 in ``doc`` for others.
+
+    Found by rolling hash, then compared token by token: equal hashes are not proof.
+    """
+    of_doc, of_item = _hashes(doc, seed), _hashes(item, seed)
+    ids, found = np.full(len(of_item), -1), np.full(len(of_doc), -1)
+    places, todo, count = np.flatnonzero(np.isin(of_doc, of_item)), np.arange(len(of_item)), 0
+    doc_seeds, item_seeds = sliding_window_view(doc, seed), sliding_window_view(item, seed)
+    while len(todo):  # once, but for two seeds of one hash
+        known, first, group = np.unique(of_item[todo], return_index=True, return_inverse=True)
+        example = todo[first]
+        same = (item_seeds[todo] == item_seeds[example[group]]).all(axis=1)
+        ids[todo[same]] = count + group[same]
+        at = np.minimum(np.searchsorted(known, of_doc[places]), len(known) - 1)
+        equal = (doc_seeds[places] == item_seeds[example[at]]).all(axis=1)
+        found[places[equal]] = count + at[equal]
+        count, todo = count + len(known), todo[~same]
+    return found, ids
+
+
+def _edges(here: np.ndarray, there: np.ndarray, starts: list[np.ndarray], step: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start in doc, start in item) of equal seeds that have none ``step`` further on in both.
+
+    ``here`` and ``there`` are the seed's number and that of its neighbour at each start in doc. Places with
+    the same two seeds have the same answer, which is worked out once.
+    """
+    places = np.flatnonzero(here >= 0)
+    kinds, kind = np.unique(here[places] * (len(starts) + 1) + there[places] + 1, return_inverse=True)
+    order = np.argsort(kind, kind="stable")
+    bounds = np.searchsorted(kind[order], np.arange(len(kinds) + 1))
+    p, q = [], []
+    for i, k in enumerate(kinds.tolist()):
+        own, near = divmod(k, len(starts) + 1)
+        at = starts[own] if not near else np.setdiff1d(starts[own], starts[near - 1] - step, assume_unique=True)
+        if len(at):
+            group = places[order[bounds[i]:bounds[i + 1]]]
+            p.append(np.repeat(group, len(at)))
+            q.append(np.tile(at, len(group)))
+    none = np.empty(0, np.int64)
+    p, q = np.concatenate([none, *p]), np.concatenate([none, *q])
+    order = np.lexsort((p, p - q))
+    return p[order], q[order]
+
+
+def tiles(doc: np.ndarray, item: np.ndarray, seed: int, least: float = 0) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (start in doc, start in item, length), longest first.
 
-    Ties go to the smaller start in ``doc``, then in ``item``.
+    Ties go to the smaller start in ``doc``, then in ``item``. Common runs are
+    found by their ends, so repeated tokens cost no more than the runs they
+    make. No tiles are looked for if the item's tokens under any shared seed
+    are fewer than ``least``: tiles lie under shared seeds.
     """
     seed = min(seed, len(item))
     if not seed or len(doc) < seed:
         return []
-    where = defaultdict(list)
-    for q, h in enumerate(_hashes(item, seed).tolist()):
-        where[h].append(q)
-    hashed = _hashes(doc, seed)
-    places = np.flatnonzero(np.isin(hashed, np.fromiter(where, np.uint64, len(where))))
-    pairs = [(p, q) for p in places.tolist() for q in where[int(hashed[p])]]
-    if not pairs:
+    here, ids = _seed_ids(doc, item, seed)
+    shared = np.zeros(len(item) + 1, np.int64)
+    held = np.flatnonzero(np.isin(ids, here))
+    np.add.at(shared, held, 1)
+    np.add.at(shared, held + seed, -1)
+    if not len(held) or np.count_nonzero(np.cumsum(shared)) < least:
         return []
-    p, q = np.array(pairs).T
-    same = np.ones(len(p), bool)
-    for j in range(seed):  # equal hashes are not proof
-        same &= doc[p + j] == item[q + j]
-    p, q = p[same], q[same]
-    order = np.lexsort((p, p - q))
-    p, q = p[order], q[order]
-    new = np.ones(len(p), bool)
-    new[1:] = (np.diff(p) != 1) | (np.diff(q) != 1)
-    first = np.flatnonzero(new)
-    length = np.diff(np.append(first, len(p))) + seed - 1
-    heap = [(-n, a, b) for n, a, b in zip(length.tolist(), p[first].tolist(), q[first].tolist())]
+    order = np.argsort(ids, kind="stable")
+    starts = np.split(order, np.flatnonzero(np.diff(ids[order])) + 1)
+    edge = np.array([-1])
+    p, first_q = _edges(here, np.concatenate([edge, here[:-1]]), starts, -1)
+    last_p, _ = _edges(here, np.concatenate([here[1:], edge]), starts, 1)
+    length = last_p - p + seed  # per diagonal, the runs' starts and ends come in turn
+    heap = [(-n, a, b) for n, a, b in zip(length.tolist(), p.tolist(), first_q.tolist())]
     heapq.heapify(heap)
     doc_marked, item_marked, out = np.zeros(len(doc), bool), np.zeros(len(item), bool), []
     while heap:
@@ -95,6 +138,8 @@ def tiles(doc: np.ndarray, item: np.ndarray, seed: int) -> list[tuple[int, int,
         if free.all():
             doc_marked[a:a + n] = item_marked[b:b + n] = True
             out.append((a, b, n))
+            if not (sliding_window_view(item_marked, seed).sum(axis=1) == 0).any():
+                break  # no room for a tile is left
             continue
         edge = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8)))
         for lo, hi in edge.reshape(-1, 2).tolist():
@@ -149,7 +194,7 @@ class Benchmark:
         for d, numbers in sorted(self.candidates(ids, bounds).items()):
             for number in sorted(numbers):
                 item_id, item = self.items[number]
-                tiled = sum(n for _, _, n in tiles(parts[d], item, self.seed))
+                tiled = sum(n for _, _, n in tiles(parts[d], item, self.seed, coverage * len(item)))
                 if tiled >= coverage * len(item):
                     yield d, item_id, tiled, len(item)
 
@@ -214,7 +259,8 @@ def keep_clean(docs: DataFrame, items: DataFrame, seed: int = SEED, coverage: fl
                text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that cover no item; all columns are kept.
 
-    The test is on the row itself, so nothing is joined back by id.
+    The test is on the row itself, so nothing is joined back by id. Null and empty texts stay, repeated rows
+    and null ids are judged like any other; an empty table on either side changes nothing.
     """
     tests = items.select(F.col(items.columns[0]).alias("item_id"), F.col("text").cast("string").alias("text"))
     names = docs.columns

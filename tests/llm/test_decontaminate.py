@@ -104,3 +104,37 @@ def test_empty_tables(spark, nothing, awkward):
     assert dc.matches(nothing, some).collect() == []
     assert dc.matches(awkward, none).collect() == []
     assert dc.keep_clean(awkward, none).count() == awkward.count()
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_tiles_when_all_hashes_are_equal(seed, monkeypatch):
+    """Equal hashes are told apart by the tokens."""
+    monkeypatch.setattr(dc, "_hashes", lambda ids, size: np.zeros(max(0, len(ids) - size + 1), np.uint64))
+    test_tiles_as_defined(seed)
+
+
+@pytest.mark.parametrize("doc,item", [([1] * 60, [1] * 17), ([1, 2] * 25, [2, 1] * 9), ([1] * 30 + [2] + [1] * 30, [1] * 9 + [2] + [1] * 9),
+                                      ([1, 1, 2] * 15, [1, 2, 1] * 8), ([3] + [1] * 20, [1] * 25)])
+def test_tiles_of_repeats(doc, item):
+    for least in (1, 3, 5):
+        assert dc.tiles(np.array(doc), np.array(item), least) == plain_tiles(doc, item, min(least, len(item)))
+
+
+def test_long_repeated_texts_take_seconds(spark):
+    same, period = np.ones(100_000, np.int64), np.tile(np.array([1, 2, 3]), 30_000)
+    assert dc.tiles(same, np.ones(2_000, np.int64), 5) == [(0, 0, 2_000)]
+    assert sum(n for *_, n in dc.tiles(period, np.tile(np.array([3, 1, 2]), 700), 5)) == 2_100
+    docs = [(1, "a " * 100_000), (2, "a b c d e " * 20_000), (3, "a b c d e f")]
+    items = [(1, "a " * 2_000), (2, "e a b c d " * 400), (3, "a b c d e f g h i j")]
+    assert run(spark, docs, items) == [(1, 1, 2_000, 2_000), (2, 2, 2_000, 2_000)]
+
+
+def test_too_few_shared_tokens_need_no_tiling():
+    rng = random.Random(12)
+    for _ in range(200):
+        doc, item = (np.array([rng.randrange(3) for _ in range(rng.randint(1, 40))], np.int64) for _ in range(2))
+        whole = dc.tiles(doc, item, 4)
+        least = 0.8 * len(item)
+        tiled = sum(n for *_, n in whole)
+        got = dc.tiles(doc, item, 4, least)
+        assert got == whole or (got == [] and tiled < least)
