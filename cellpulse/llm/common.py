@@ -35,6 +35,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with underscores put before it until no column has it (in any case of letters)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of a text (null: no words)."""
     parts = F.split(F.coalesce(text, F.lit("")), SPACE_CLASS)

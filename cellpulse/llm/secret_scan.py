@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cellpulse.llm.common import written
+from cellpulse.llm.common import fresh, written
 
 #: Characters of a token; '=' only pads its end, so that a value after '=' or ':' starts a token of its own.
 TOKEN = r"A-Za-z0-9_+/\-"
@@ -194,20 +194,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """The rows of ``docs`` with each secret replaced by ``MASK``, and their length in ``chars_col`` if there is one.
 
-    All rows and columns stay. Only texts with a candidate are shuffled.
+    All rows and columns stay, whatever their names. Only texts with a candidate are shuffled.
+    Null and empty texts stay as they are, null ids and repeated rows too; an empty table stays empty.
     """
-    bad = (scan(docs, id_col, text_col).where("secret").groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
-           .agg(F.collect_set("k").alias("__k")))
+    doc, h, ks, own, items, gaps = fresh(docs.columns, "found_id", "found_h", "found_k", "own_h", "items", "gaps")
+    bad = (scan(docs, id_col, text_col).where("secret").groupBy(F.col("doc_id").alias(doc), F.col("h").alias(h))
+           .agg(F.collect_set("k").alias(ks)))
     has = F.coalesce(F.col(text_col).rlike(CANDIDATE), F.lit(False))
-    some = docs.where(has).withColumn("__own", F.xxhash64(F.col(text_col)))
-    some = some.join(bad, some[id_col].eqNullSafe(bad["__id"]) & (some["__own"] == bad["__h"]), "left")
-    found, parts = found_in(F.col(text_col)), F.split(text_col, CANDIDATE)
-    some = some.withColumns({"__found": found, "__parts": parts})
-    masked = F.transform("__found", lambda item, k: F.concat(
-        F.get("__parts", k), item["lead"], F.when(F.array_contains("__k", k), F.lit(MASK)).otherwise(item["value"])))
-    text = F.concat(F.concat_ws("", masked), F.element_at("__parts", -1))
-    some = some.withColumn(text_col, F.when(F.col("__k").isNull(), F.col(text_col)).otherwise(text))
+    some = docs.where(has).withColumn(own, F.xxhash64(F.col(text_col)))
+    some = some.join(bad, some[id_col].eqNullSafe(bad[doc]) & (some[own] == bad[h]), "left")
+    some = some.withColumns({items: found_in(F.col(text_col)), gaps: F.split(text_col, CANDIDATE)})
+    masked = F.transform(items, lambda item, k: F.concat(
+        F.get(gaps, k), item["lead"], F.when(F.array_contains(ks, k), F.lit(MASK)).otherwise(item["value"])))
+    text = F.concat(F.concat_ws("", masked), F.element_at(gaps, -1))
+    some = some.withColumn(text_col, F.when(F.col(ks).isNull(), F.col(text_col)).otherwise(text))
     if chars_col in docs.columns:
-        some = some.withColumn(chars_col, F.when(F.col("__k").isNull(), F.col(chars_col)).otherwise(
+        some = some.withColumn(chars_col, F.when(F.col(ks).isNull(), F.col(chars_col)).otherwise(
             F.length(text_col)).cast(docs.schema[chars_col].dataType))
     return docs.where(~has).unionByName(some.select(*docs.columns))

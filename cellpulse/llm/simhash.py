@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellpulse.llm.common import text_bytes
+from cellpulse.llm.common import fresh, text_bytes
 from cellpulse.llm.components import components
 from cellpulse.session import materialize
 
@@ -232,14 +232,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with the smallest id (null last), then text hash, of each component.
 
-    Of repeated rows one stays. All columns are kept.
+    Of repeated rows one stays. All columns are kept, whatever their names.
+    Null, empty and blank texts are texts like any other; an empty table stays empty.
     """
+    row_id, row_h, kept_id, kept_h = fresh(docs.columns, "row_id", "row_h", "kept_id", "kept_h")
     found = near_duplicates(docs, id_col, text_col)
     kept = (found.groupBy(F.coalesce("component_id", F.lit(-1)).alias("c"), F.col("component_id").isNull().alias("none"))
             .agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")).alias("first"))
-            .select(F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__h")))
+            .select(F.col("first.doc_id").alias(kept_id), F.col("first.h").alias(kept_h)))
     text_hash = F.xxhash64(F.col(text_col).cast("string"))
-    keyed = docs.withColumn("__row_id", F.col(id_col).cast("long")).withColumn("__row_h", text_hash)
-    same = keyed["__row_id"].eqNullSafe(kept["__id"]) & (keyed["__row_h"] == kept["__h"])
-    return (keyed.join(kept, same, "left_semi").dropDuplicates(["__row_id", "__row_h"])
-            .drop("__row_id", "__row_h"))
+    keyed = docs.withColumn(row_id, F.col(id_col).cast("long")).withColumn(row_h, text_hash)
+    same = keyed[row_id].eqNullSafe(kept[kept_id]) & (keyed[row_h] == kept[kept_h])
+    return keyed.join(kept, same, "left_semi").dropDuplicates([row_id, row_h]).drop(row_id, row_h)

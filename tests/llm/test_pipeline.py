@@ -57,3 +57,17 @@ def test_last_stage_writes_ids_and_decoded_text(spark):
     got = corpus_pipeline.encode_tokens(spark, docs, SF_SMALL).collect()
     assert {r.doc_id: r.decoded for r in got} == want
     assert {r.doc_id: r.ids for r in got} == {i: encoding.encode_ordinary(t) for i, t in want.items()}
+
+
+def test_columns_named_like_helpers_stay(spark):
+    """Neither redaction nor near-dedup takes a column for its own."""
+    names = ["found_id", "found_h", "FOUND_K", "own_h", "items", "gaps", "row_id", "row_h", "kept_id", "kept_h", "__id", "__k", "__found"]
+    text = 'token = "ghp_0123456789abcdefghijklmnopqrstuvwxyz" and some words more'
+    rows = [(1, text, *range(13)), (2, "plain words only here", *range(13)), (3, text, *range(13)), (None, None, *range(13))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"{n} int" for n in names))
+    masked = secret_scan.redact(docs)
+    assert masked.columns == docs.columns and masked.count() == 4
+    assert all("ghp_0123" not in (r.text or "") and r[2:] == tuple(range(13)) for r in masked.collect())
+    one = simhash.keep_one(docs)
+    assert one.columns == docs.columns
+    assert {r.doc_id for r in one.collect()} == {1, 2, None}
