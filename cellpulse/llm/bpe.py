@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +53,11 @@ class PrefixBPE:
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
+        # Longest token by its last four bytes: what is not in here ends no token of four or more.
+        self.reach: dict[bytes, int] = {}
+        for token in ranks:
+            if len(token) > 3:
+                self.reach[token[-4:]] = max(len(token), self.reach.get(token[-4:], 0))
         self._pairs: dict[tuple[int, int], bool] = {}
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
@@ -84,10 +90,11 @@ class PrefixBPE:
 
     def extend(self, data: bytes, last: list[int], to: int | None = None) -> None:
         """Append the valid last tokens of the prefixes ``len(last) + 1`` to ``to`` (default: all) of ``data``."""
-        get, pairs, longest = self.ranks.get, self._pairs, self.longest
+        get, pairs, reach = self.ranks.get, self._pairs, self.reach.get
         known = pairs.get
         for end in range(len(last) + 1, (len(data) if to is None else to) + 1):
-            for start in range(end - longest if end > longest else 0, end):
+            first = end - reach(data[end - 4:end], 3) if end > 3 else 0
+            for start in range(first if first > 0 else 0, end):
                 token = get(data[start:end])
                 if token is None:
                     continue
@@ -186,7 +193,10 @@ class Codec:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.size = 0
-        self.numeral = {i: str(i) for i in self.bpe.bytes_of}
+        # By id: its number and a space, and its bytes (ids that the vocabulary lacks are never taken).
+        every = range(max(self.bpe.bytes_of) + 1)
+        self.numerals = pa.array([b"%d " % i for i in every], pa.large_binary())
+        self.tokens = pa.array([self.bpe.bytes_of.get(i, b"") for i in every], pa.large_binary())
 
     def _remember(self, new: set[str]) -> None:
         """Ids of pieces, packed as 32-bit integers."""
@@ -197,7 +207,7 @@ class Codec:
         found = {piece: ids for piece in missing if (ids := older(piece)) is not None}
         order = sorted(piece.encode() for piece in missing.difference(found))
         for piece, ids in zip(order, self.bpe.encode_sorted(order)):
-            found[piece.decode()] = np.array(ids, np.int32).tobytes()
+            found[piece.decode()] = array("i", ids).tobytes()
         self.known.update(found)
         self.size += sum(PIECE_EXTRA + len(piece) + len(ids) for piece, ids in found.items())
 
@@ -209,9 +219,20 @@ class Codec:
         for pieces in split:
             yield np.frombuffer(b"".join(map(known, pieces)), np.int32)
 
-    def decimal(self, ids: list[int]) -> str:
+    def decimal(self, ids: np.ndarray | list[int]) -> str:
         """The ids as decimal numbers with a space between."""
-        return " ".join(map(self.numeral.__getitem__, ids))
+        return str(joined(self.numerals, ids)[:-1], "ascii")
+
+    def decode(self, ids: np.ndarray) -> memoryview:
+        """The bytes that the ids stand for."""
+        return joined(self.tokens, ids)
+
+
+def joined(values: pa.Array, at: np.ndarray | list[int]) -> memoryview:
+    """The chosen values, one after another: taken, they lie so in Arrow's buffer."""
+    taken = values.take(pa.array(at, pa.int32()))
+    end = int(np.frombuffer(taken.buffers()[1], np.int64)[len(at)]) if len(at) else 0
+    return memoryview(taken.buffers()[2])[:end] if end else memoryview(b"")
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -250,14 +271,13 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             for lo, hi in slices(sizes, STEP_BYTES):
                 counts, digests, hashes, tokens, decoded = [], [], [], [], []
                 for ids in both([raw.decode() for raw in text_bytes(raws[lo:hi])]):
-                    numbers = ids.tolist()
-                    text = both.bpe.decode(numbers)
-                    counts.append(len(numbers))
-                    digests.append(hashlib.sha256(both.decimal(numbers).encode()).hexdigest())
+                    text = both.decode(ids)
+                    counts.append(len(ids))
+                    digests.append(hashlib.sha256(both.decimal(ids).encode()).hexdigest())
                     hashes.append(hashlib.sha256(text).hexdigest())
                     if with_ids:
                         tokens.append(ids)
-                        decoded.append(text.decode(errors="replace"))
+                        decoded.append(str(text, "utf-8", "replace"))
                 arrays = [batch.column(0)[lo:hi], pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(hashes, pa.string())]
                 if with_ids:
                     ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
