@@ -309,9 +309,10 @@ def _search_length(rows: DataFrame, queries: Column, size: int, k: int, keep: in
 
     asked = rows.where(queries).select(F.col("vec_id").alias("query_id"), "embedding").distinct()
     asked = written(asked.join(entries, "embedding").select("query_id", F.col("entry").alias("q"), "embedding"), "ann-queries")
-    # Few bytes and much work: dealt out by number, which is not coalesced.
+    # Few bytes and much work: dealt out by number, which is not coalesced, and by another key than the
+    # duplicates are, or Spark takes the second exchange for a repeat of the first.
     dealt = asked.select("q", "embedding").dropDuplicates(["q"]).repartition(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), "q")
+        int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("q"))
     probing = dealt.mapInArrow(_probe(hashing, size, counts, probes, min_points),
                                "g int, q bigint, probes array<int>, embedding array<double>")
     # A query goes to all blocks of a first axis, a vector to one.
