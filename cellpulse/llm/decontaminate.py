@@ -10,32 +10,45 @@ its coverage, which does not depend on the order of the passages.
 Tokens are words, A-Z lower-cased, ASCII punctuation taken as space. An item
 under ``seed`` tokens is its own seed.
 
-The benchmark goes to the tasks in blocks of bounded size, so its size is no
-matter: each block meets all documents in one scan.
+Seeds of both sides meet in a shuffled join on their hash, so neither table is
+held whole anywhere. Equal texts are one text, named by a digest. What keeps
+the join small, without losing a pair:
+
+* a bitmap of the benchmark's seeds, of bounded size, drops the documents'
+  other seeds before the shuffle;
+* a tile's tokens lie under shared seeds, so a covered item shares at least
+  ``coverage * tokens / seed`` of its seed places with the document. One place
+  fewer than that, of the seeds that most documents hold, need not be joined,
+  and a pair with fewer shared places need not be tiled;
+* a seed that is still held by very many documents is split by a salt.
 """
 
 from __future__ import annotations
 
 import heapq
 import string
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellpulse.llm.common import slices, text_bytes
+from cellpulse.llm.common import Numbering, fresh, slices, text_bytes, written
+from cellpulse.operators.prune import keep_keys
+from cellpulse.session import bounded_broadcast
 
 SEED = 5
 COVERAGE = 0.8
-#: Benchmark text (UTF-8 bytes) and items of one block, which every task holds.
-BLOCK_BYTES = 8 << 20
-BLOCK_ITEMS = 20_000
 STEP_BYTES = 4 << 20
+#: Bits of the bitmap of the benchmark's seeds: this many a seed, and at most 16 MB in all.
+SEED_BITS, MOST_BITS = 64, 1 << 27
+#: A seed held by more documents than this is split; at most ``HOT_SEEDS`` are (the bound rises with the table).
+HOT, HOT_SEEDS = 20_000, 100_000
+#: Items tiled against one copy of a document: as many bytes as the document has, but at least this.
+CHUNK_BYTES = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 _PUNCTUATION = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
@@ -148,69 +161,150 @@ def tiles(doc: np.ndarray, item: np.ndarray, seed: int, least: float = 0) -> lis
     return out
 
 
-class Benchmark:
-    """One block of items: vocabulary, and the seeds with the items that hold them."""
-
-    def __init__(self, items: list[tuple[int, bytes]], seed: int):
-        self.seed, self.vocabulary, self.items = seed, {}, {}
-        seeds: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-        for number, (item_id, raw) in enumerate(items):
-            words = tokens(raw)
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], np.int64)
-            self.items[number] = (item_id, ids)
-            size = min(seed, len(words))
-            for h in (_mixed(_hashes(ids, size)).tolist() if size else ()):
-                seeds[size][h].add(number)
-        self.seeds = {n: (np.sort(np.fromiter(s, np.uint64, len(s))), s) for n, s in seeds.items()}
-
-    def candidates(self, ids: np.ndarray, bounds: np.ndarray) -> dict[int, set[int]]:
-        """Items that share a seed with each document of a concatenation."""
-        out: dict[int, set[int]] = defaultdict(set)
-        for size, (known, holders) in self.seeds.items():
-            runs = ids >= 0
-            total = np.concatenate([[0], np.cumsum(runs)])
-            start = np.flatnonzero(total[size:] - total[:-size] == size)  # all tokens known
-            if not len(start):
-                continue
-            hashed = np.zeros(len(start), np.uint64)
-            for j in range(size):
-                hashed = hashed * BASE + ids[start + j].astype(np.uint64) + np.uint64(2)
-            hashed = _mixed(hashed)
-            at = np.minimum(np.searchsorted(known, hashed), len(known) - 1)
-            hit = known[at] == hashed
-            start, hashed = start[hit], hashed[hit]
-            doc = np.searchsorted(bounds, start, side="right") - 1
-            inside = start + size <= bounds[doc + 1]
-            for d, h in set(zip(doc[inside].tolist(), hashed[inside].tolist())):
-                out[d] |= holders[h]
-        return out
-
-    def matches(self, texts: list[bytes], coverage: float):
-        """(document, item id, tiled tokens, item tokens) of the texts that cover an item."""
-        get, none = self.vocabulary.get, repeat(-1)
-        parts = [np.fromiter(map(get, words, none), np.int64, len(words)) for words in map(tokens, texts)]
-        bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-        ids = np.concatenate(parts) if parts else np.empty(0, np.int64)
-        for d, numbers in sorted(self.candidates(ids, bounds).items()):
-            for number in sorted(numbers):
-                item_id, item = self.items[number]
-                tiled = sum(n for _, _, n in tiles(parts[d], item, self.seed, coverage * len(item)))
-                if tiled >= coverage * len(item):
-                    yield d, item_id, tiled, len(item)
-
-
-def blocks(items: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
-    """The benchmark in blocks of bounded bytes and items, one in the driver at a time."""
-    block, size = [], 0
-    for row in items.orderBy("item_id", "text").toLocalIterator():
-        raw = (row["text"] or "").encode()
-        if block and (size + len(raw) > BLOCK_BYTES or len(block) >= BLOCK_ITEMS):
-            yield block
-            block, size = [], 0
-        block.append((row["item_id"], raw))
-        size += len(raw)
-    if block:
-        yield block
+def _key(text: Column) -> Column:
+    """Digest that stands for a text (null for null)."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
+def _texts(df: DataFrame, text_col: str) -> DataFrame:
+    """(key, text) of the rows that have a text."""
+    rows = df.select(F.col(f"`{text_col}`").cast("string").alias("text"))
+    return rows.where(F.length("text") > 0).select(_key(F.col("text")).alias("key"), "text")
+
+
+def _runs(ids: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(ids) < size:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    inside = row[size - 1:] == row[:len(row) - size + 1]
+    hashed = _mixed(_hashes(ids, size) + np.uint64(size))
+    return row[:len(inside)][inside], hashed[inside].view(np.int64)
+
+
+def _item_seeds(seed: int):
+    """Per item and distinct seed: its hash, its places in the item, the item's tokens and the seed's size."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, raw in enumerate(text_bytes(batch.column(1))):
+                words = tokens(raw)
+                size = min(seed, len(words))
+                if not size:
+                    continue
+                ids = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+                hashed, places = np.unique(_runs(ids, np.zeros(len(ids), np.int64), size)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(batch.column(0)[at], len(hashed)), pa.array(hashed), pa.array(places.astype(np.int64)),
+                     pa.repeat(pa.scalar(len(words), pa.int64()), len(hashed)), pa.repeat(pa.scalar(size, pa.int32()), len(hashed))],
+                    ["item", "hash", "places", "n", "size"])
+    return run
+
+
+def _doc_seeds(shared, sizes: list[int]):
+    """Per document and distinct seed in the bitmap: key, hash, bytes of the text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.frombuffer(shared.value, np.uint8)
+        mask = np.int64(len(bitmap) * 8 - 1)
+        for batch in batches:
+            texts = list(text_bytes(batch.column(1)))
+            lengths = np.array([len(t) for t in texts], np.int64)
+            for lo, hi in slices(lengths, STEP_BYTES):
+                parts = [tokens(t) for t in texts[lo:hi]]
+                counts = np.array([len(p) for p in parts], np.int64)
+                ids = np.fromiter((xxhash.xxh3_64_intdigest(w) for p in parts for w in p), np.uint64, int(counts.sum()))
+                of = np.repeat(np.arange(lo, hi), counts)
+                for size in sizes:
+                    row, hashed = _runs(ids, of, size)
+                    slot = hashed & mask
+                    held = (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+                    pairs = np.unique(np.stack([row[held], hashed[held]], axis=1), axis=0)
+                    if len(pairs):
+                        yield pa.RecordBatch.from_arrays(
+                            [batch.column(0).take(pa.array(pairs[:, 0])), pa.array(pairs[:, 1]), pa.array(lengths[pairs[:, 0]])],
+                            ["doc", "hash", "bytes"])
+    return run
+
+
+def _bitmap(seeds: DataFrame, count: int) -> bytes:
+    """One bit per slot of the seeds' hashes; its size is bounded by ``MOST_BITS``."""
+    bits = min(MOST_BITS, max(1 << 15, 1 << (SEED_BITS * count - 1).bit_length()))
+    slot = F.col("hash").bitwiseAND(F.lit(bits - 1)) + 1  # Spark's bitmap functions count from 1
+    parts = (seeds.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("part"))
+             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")))
+    out = bytearray(bits // 8)
+    for row in parts.toLocalIterator():
+        out[(row["part"] - 1) * 4096:row["part"] * 4096] = row["bits"]
+    return bytes(out)
+
+
+def _pairs(docs: DataFrame, items: DataFrame, seed: int, coverage: float) -> DataFrame | None:
+    """(doc, item, bytes): texts that share enough seeds for the item to be covered; None if there are no seeds."""
+    spark = docs.sparkSession
+    known = written(items.mapInArrow(_item_seeds(seed), "item binary, hash bigint, places bigint, n bigint, size int"), "item_seeds")
+    sizes = {r["size"]: r["count"] for r in known.groupBy("size").count().collect()}
+    if not sizes:
+        return None
+    shared = spark.sparkContext.broadcast(_bitmap(known, sum(sizes.values())))
+    found = docs.mapInArrow(_doc_seeds(shared, sorted(sizes)), "doc binary, hash bigint, bytes bigint")
+    hits = written(found.distinct(), "doc_seeds")
+
+    # Of each item's seeds, ordered by how many documents hold them, all that a covering document could do without go.
+    holders = hits.groupBy("hash").agg(F.count(F.lit(1)).alias("holders"))
+    need = F.greatest(F.ceil(F.col("n") * F.lit(float(coverage)) / F.col("size") - F.lit(1e-9)), F.lit(1))
+    most_held = Window.partitionBy("item").orderBy(F.desc("holders"), "hash").rowsBetween(Window.unboundedPreceding, 0)
+    kept = (known.join(holders, "hash").withColumns({"need": need, "running": F.sum("places").over(most_held)})
+            .where(F.col("running") >= F.col("need")))
+    # Places left out before the first seed that stays.
+    left_out = F.min(F.col("running") - F.col("places")).over(Window.partitionBy("item"))
+    kept = written(kept.select("item", "hash", "places", "holders", (F.col("need") - left_out).alias("need")), "joined_seeds")
+
+    most = max(HOT, hits.count() // HOT_SEEDS)
+    hot = (kept.where(F.col("holders") > most).groupBy("hash")
+           .agg(F.ceil(F.max("holders") / F.lit(most)).cast("int").alias("ways")))
+    hot = F.broadcast(hot)  # at most HOT_SEEDS rows of 12 bytes: more seeds cannot have as many holders
+    ways = F.coalesce("ways", F.lit(1))
+    here = hits.join(hot, "hash", "left").withColumn("salt", F.pmod(F.xxhash64("doc"), ways).cast("int"))
+    there = kept.join(hot, "hash", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), ways - 1)))
+    met = here.select("doc", "hash", "salt", "bytes").join(there.select("item", "hash", "salt", "places", "need"), ["hash", "salt"])
+    return (met.groupBy("doc", "item").agg(F.max("bytes").alias("bytes"), F.sum("places").alias("places"), F.max("need").alias("need"))
+            .where(F.col("places") >= F.col("need")).select("doc", "item", "bytes"))
+
+
+def _covered(docs: DataFrame, items: DataFrame, seed: int, coverage: float) -> DataFrame | None:
+    """(doc, item, tiled, item_tokens) of the distinct texts that cover an item, as a written table."""
+    pairs = _pairs(docs, items, seed, coverage)
+    if pairs is None:
+        return None
+    pairs = written(pairs, "shared_seeds")
+    tests = keep_keys(items, pairs.select(F.col("item").alias("key")).distinct(), "key").dropDuplicates(["key"])
+    texts = keep_keys(docs, pairs.select(F.col("doc").alias("key")).distinct(), "key").dropDuplicates(["key"])
+    # A document goes out once for each chunk of its items; a chunk has about the bytes of the document.
+    before = Window.partitionBy("doc").orderBy("item").rowsBetween(Window.unboundedPreceding, -1)
+    chunk = F.floor(F.coalesce(F.sum(F.octet_length("test")).over(before), F.lit(0)) / F.greatest("bytes", F.lit(CHUNK_BYTES)))
+    listed = (pairs.join(tests.select(F.col("key").alias("item"), F.col("text").alias("test")), "item").withColumn("chunk", chunk)
+              .groupBy("doc", "chunk").agg(F.collect_list(F.struct("item", "test")).alias("tests")))
+    work = listed.join(texts.select(F.col("key").alias("doc"), "text"), "doc").select("doc", "text", "tests")
+    return written(work.mapInArrow(_tiler(seed, coverage), "doc binary, item binary, tiled bigint, item_tokens bigint"), "covered")
+
+
+def _tiler(seed: int, coverage: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, tests, found = batch.column(0), batch.column(2), []
+            for at, raw in enumerate(text_bytes(batch.column(1))):
+                number = Numbering()
+                words = tokens(raw)
+                doc = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+                for test in tests[at].as_py():
+                    words = tokens(test["test"].encode())
+                    item = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+                    tiled = sum(n for _, _, n in tiles(doc, item, seed, coverage * len(item)))
+                    if tiled >= coverage * len(item):
+                        found.append((keys[at].as_py(), test["item"], tiled, len(item)))
+            if found:
+                doc, item, tiled, size = zip(*found)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(doc, pa.binary()), pa.array(item, pa.binary()), pa.array(tiled, pa.int64()), pa.array(size, pa.int64())],
+                    ["doc", "item", "tiled", "item_tokens"])
+    return run
 
 
 def matches(docs: DataFrame, items: DataFrame, seed: int = SEED, coverage: float = COVERAGE,
@@ -224,60 +318,29 @@ def matches(docs: DataFrame, items: DataFrame, seed: int = SEED, coverage: float
     are passed on. Empty tables on either side give an empty result. Other
     columns are ignored.
     """
-    def_id = dict(docs.dtypes)[id_col]
-    item_id = dict(items.dtypes)[item_col]
-    schema = f"doc_id {def_id}, item_id {item_id}, tiled bigint, item_tokens bigint, coverage double"
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    tests = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
-
-    spark, out = docs.sparkSession, None
-    for block in blocks(tests):
-        shared = spark.sparkContext.broadcast(block)
-        found = rows.mapInArrow(_matcher(shared, seed, coverage), schema)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], schema)
-
-
-def _matcher(shared, seed: int, coverage: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        benchmark = Benchmark(shared.value, seed)
-        for batch in batches:
-            texts = list(text_bytes(batch.column(1)))
-            for lo, hi in slices(np.array([len(t) for t in texts], np.int64), STEP_BYTES):
-                found = list(benchmark.matches(texts[lo:hi], coverage))
-                if not found:
-                    continue
-                doc, item, tiled, size = map(list, zip(*found))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array([lo + d for d in doc], pa.int64())), pa.array(item), pa.array(tiled, pa.int64()),
-                     pa.array(size, pa.int64()), pa.array([t / n for t, n in zip(tiled, size)], pa.float64())],
-                    ["doc_id", "item_id", "tiled", "item_tokens", "coverage"])
-    return run
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), _key(F.col(f"`{text_col}`").cast("string")).alias("doc"))
+    tests = items.select(F.col(f"`{item_col}`").alias("item_id"), _key(F.col(f"`{item_text_col}`").cast("string")).alias("item"))
+    found = _covered(_texts(docs, text_col), _texts(items, item_text_col), seed, coverage)
+    if found is None:
+        schema = f"doc_id {rows.dtypes[0][1]}, item_id {tests.dtypes[0][1]}, tiled bigint, item_tokens bigint, coverage double"
+        return docs.sparkSession.createDataFrame([], schema)
+    # Found pairs first meet the items, then the documents: copies of a text are rows of the result, no earlier.
+    named = found.join(tests, "item").select("doc", "item_id", "tiled", "item_tokens")
+    return rows.join(named, "doc").select("doc_id", "item_id", "tiled", "item_tokens",
+                                          (F.col("tiled") / F.col("item_tokens")).alias("coverage"))
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, seed: int = SEED, coverage: float = COVERAGE,
                text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that cover no item; all columns are kept.
 
-    The test is on the row itself, so nothing is joined back by id. Null and empty texts stay, repeated rows
+    Rows are told apart by their text, not by id. Null and empty texts stay, repeated rows
     and null ids are judged like any other; an empty table on either side changes nothing.
     """
-    tests = items.select(F.col(items.columns[0]).alias("item_id"), F.col("text").cast("string").alias("text"))
-    names = docs.columns
-    for block in blocks(tests):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-        docs = docs.mapInArrow(_filter(shared, names.index(text_col), seed, coverage), docs.schema)
-    return docs
-
-
-def _filter(shared, column: int, seed: int, coverage: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        benchmark = Benchmark(shared.value, seed)
-        for batch in batches:
-            texts = list(text_bytes(batch.column(column)))
-            keep = np.ones(len(texts), bool)
-            for lo, hi in slices(np.array([len(t) for t in texts], np.int64), STEP_BYTES):
-                for d, *_ in benchmark.matches(texts[lo:hi], coverage):
-                    keep[lo + d] = False
-            yield batch.filter(pa.array(keep))
-    return run
+    found = _covered(_texts(docs, text_col), _texts(items, "text"), seed, coverage)
+    if found is None:
+        return docs
+    (name,) = fresh(docs.columns, "__key")
+    dirty = bounded_broadcast(written(found.select(F.col("doc").alias(name)).distinct(), "dirty"))
+    rows = docs.withColumn(name, _key(F.col(f"`{text_col}`").cast("string")))
+    return rows.join(dirty, name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

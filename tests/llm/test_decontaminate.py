@@ -76,18 +76,48 @@ def test_reordered_partial_and_awkward(spark):
     assert {(d, i) for d, i, *_ in got} >= {(1, 1), (2, 5), (4, 4), (None, 1)}
 
 
-def test_blocks_of_the_benchmark_change_nothing(spark, monkeypatch):
+def test_sizes_of_bitmap_chunks_and_hot_seeds_change_nothing(spark, monkeypatch):
     rng = random.Random(4)
     items = [(i, prose(rng, 12)) for i in range(20)]
     docs = [(i, prose(rng, 20) + " " + (items[i % 20][1] if i % 2 else "")) for i in range(30)]
+    docs += [(100 + i, f"{prose(rng, 5)} {items[3][1]} {items[4][1]} {items[5][1]}") for i in range(10)]
     whole = run(spark, docs, items)
-    assert len(whole) >= 15
-    monkeypatch.setattr(dc, "BLOCK_ITEMS", 3)
+    assert len(whole) >= 45 and whole == plain(docs, items)
+    for name, value in (("MOST_BITS", 1 << 15), ("SEED_BITS", 1), ("HOT", 2), ("CHUNK_BYTES", 1)):
+        monkeypatch.setattr(dc, name, value)
     assert run(spark, docs, items) == whole
     clean = dc.keep_clean(make(spark, docs), spark.createDataFrame(items, "item_id bigint, text string"))
     assert {r.doc_id for r in clean.collect()} == {i for i, _ in docs} - {d for d, *_ in whole}
 
 
+def test_a_seed_of_all_items_and_documents(spark):
+    """A common passage makes no pair by itself; an item that is little else is found all the same."""
+    rng = random.Random(9)
+    common = "all rights are reserved by the owner of this page"
+    items = [(i, f"{prose(rng, 30)} i{i} {common}") for i in range(15)] + [(50, common), (51, f"{common} here"), (52, f"{common} {common}")]
+    docs = [(i, f"{prose(rng, 15)} d{i} {common} e{i} {prose(rng, 15)}") for i in range(40)]
+    docs += [(60 + i, f"{common} {items[i][1]}") for i in range(15)] + [(90, f"{common} x {common}")]
+    got = run(spark, docs, items)
+    assert got == plain(docs, items)
+    assert {(60 + i, i) for i in range(15)} <= {(d, i) for d, i, *_ in got}
+    pairs = dc._pairs(dc._texts(make(spark, docs), "text"), dc._texts(spark.createDataFrame(items, "item_id bigint, text string"), "text"),
+                      dc.SEED, dc.COVERAGE)
+    long = {r.item for r in dc._texts(spark.createDataFrame(items[:15], "item_id bigint, text string"), "text")
+            .selectExpr("key as item").collect()}
+    # The passage alone would make 15 x 56 pairs with the long items.
+    assert 15 <= pairs.where(pairs["item"].isin([bytes(k) for k in long])).count() < 30
+
+
+@pytest.mark.parametrize("coverage", [0.3, 0.8, 1.0])
+def test_random_rows_against_plain(spark, coverage):
+    rng = random.Random(int(coverage * 10))
+    def text(n):
+        return " ".join(rng.choice("abc") for _ in range(n))
+    docs = [(i, text(rng.randint(0, 60))) for i in range(40)]
+    items = [(i, text(rng.randint(0, 25))) for i in range(25)]
+    assert run(spark, docs, items, coverage=coverage) == plain(docs, items, coverage=coverage)
+
+
 def test_whole_table_has_every_planted_passage(spark):
     docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet")
     bench = spark.read.parquet(f"{SF_CHECK}/benchmark.parquet")
