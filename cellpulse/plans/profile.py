@@ -14,15 +14,16 @@ from . import fixtures
 class ProfileInputs:
     """Derived profile frames for one data directory.
 
-    With ``reuse=True`` the normalised profile (one row per user) is
-    materialised once in the shared checkpoint folder, so the threshold
-    subquery and the flags read it instead of aggregating ``events`` twice.
+    With ``reuse=True`` the summed profile (one row per user) is materialised
+    once in the shared checkpoint folder, so the sums, the threshold subquery
+    and the flags read it instead of aggregating ``events`` each on its own;
+    normalising is row by row and is done again by each reader.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, reuse: bool = False):
         self.events = read_table(spark, sf_dir, "events")
         self.reuse = reuse
-        self._norm: DataFrame | None = None
+        self._prof: DataFrame | None = None
 
     @property
     def raw(self) -> DataFrame:
@@ -30,14 +31,14 @@ class ProfileInputs:
 
     @property
     def prof(self) -> DataFrame:
-        return op.sum_by_key(self.raw, "user_id", PROFILE_COLUMNS)
+        if self._prof is None:
+            prof = op.sum_by_key(self.raw, "user_id", PROFILE_COLUMNS)
+            self._prof = materialize(prof) if self.reuse else prof
+        return self._prof
 
     @property
     def norm(self) -> DataFrame:
-        if self._norm is None:
-            norm = op.l2_normalize(self.prof, PROFILE_COLUMNS)
-            self._norm = materialize(norm) if self.reuse else norm
-        return self._norm
+        return op.l2_normalize(self.prof, PROFILE_COLUMNS)
 
     @property
     def thresholds(self) -> DataFrame:

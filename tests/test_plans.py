@@ -62,6 +62,11 @@ def test_materialised_queries_do_not_rescan_events(plans, key):
     assert "events.parquet" not in plans[key]
 
 
+def test_lines_of_five_formats_share_the_profile(plans):
+    """Device and located records read events; usage and tag lines read one checkpoint."""
+    assert len(re.findall(r"FileScan parquet .*events\.parquet", plans["record_to_line"])) == 2
+
+
 def test_period_filter_prunes_device_log_folders(spark):
     from pyspark.sql import functions as F
 
